@@ -38,3 +38,477 @@ def q_text_features(spark, sf):
 @query
 def q_risk_distribution(spark, sf):
     return PR.risk_distribution(dataset(spark, sf))
+
+
+# ---------------------------------------------------------------- helpers
+from ..functions import labels as L  # noqa: E402
+from ..functions import parse as P  # noqa: E402
+from ..operators import aggregates as A  # noqa: E402
+from ..operators import ensemble as EN  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+from ..operators import topk as K  # noqa: E402
+from ..sources import export as X  # noqa: E402
+from ..sources import store as ST  # noqa: E402
+from . import reports as R  # noqa: E402
+
+PRED_LOGS = [f"pred_log_{k}" for k in range(S.N_FOLDS)]
+PROBS = [[f"p0_{k}", f"p1_{k}", f"p2_{k}"] for k in range(S.N_FOLDS)]
+
+
+def split_df(spark, sf):
+    return SP.stratified_split(dataset(spark, sf))
+
+
+def ensembled(spark, sf):
+    p = EN.ensemble_effort(S.predictions(spark, sf), PRED_LOGS)
+    return EN.ensemble_risk(p, PROBS)
+
+
+def test_predictions(spark, sf):
+    s = split_df(spark, sf).filter(F.col("split") == "test").select("ticket_id")
+    return ensembled(spark, sf).join(s, "ticket_id", "left_semi")
+
+
+def runs_latest(spark, sf):
+    return K.upsert_latest(S.model_runs(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.2 scalar ops
+@query
+def q_fill_text(spark, sf):
+    return T.fill_text(S.tickets(spark, sf, fill_description=False)).select("ticket_id", "summary", "description")
+
+
+@query
+def q_concat_text(spark, sf):
+    t = S.tickets(spark, sf, fill_description=False)
+    t = T.fill_text(t)
+    return t.select("ticket_id", T.concat_text().alias("text"), T.concat_text(strip=True).alias("text_stripped"))
+
+
+def _features(spark, sf, cols):
+    t = S.tickets(spark, sf).withColumn("text", T.concat_text())
+    exprs = T.text_feature_columns()
+    return t.select("ticket_id", *[exprs[c].alias(c) for c in cols])
+
+
+@query
+def q_has_description(spark, sf):
+    return _features(spark, sf, ["has_description"])
+
+
+@query
+def q_has_code_block(spark, sf):
+    return _features(spark, sf, ["has_code_block"])
+
+
+@query
+def q_keyword_flags(spark, sf):
+    return _features(spark, sf, ["is_dev_task", "is_test_task", "is_analysis_task"])
+
+
+@query
+def q_text_len(spark, sf):
+    return _features(spark, sf, ["text_len"])
+
+
+@query
+def q_word_count(spark, sf):
+    return _features(spark, sf, ["word_count"])
+
+
+@query
+def q_seconds_to_workdays(spark, sf):
+    return S.tickets(spark, sf).select("ticket_id", "time_spent", L.to_workdays("time_spent").alias("logged_days"))
+
+
+@query
+def q_parse_region(spark, sf):
+    return S.tickets_raw(spark, sf).select("ticket_id", P.parse_region("region_raw").alias("region"))
+
+
+@query
+def q_parse_subsystem(spark, sf):
+    return S.tickets_raw(spark, sf).select("ticket_id", P.parse_subsystem("subsystem_raw").alias("subsystem"))
+
+
+@query
+def q_parse_commitments(spark, sf):
+    return S.tickets_raw(spark, sf).select("ticket_id", P.parse_commitments("commitments_raw").alias("commitments"))
+
+
+@query
+def q_filter_valid_tickets(spark, sf):
+    t = S.tickets(spark, sf).withColumn("logged_days", L.to_workdays("time_spent"))
+    return L.filter_valid(t).select("ticket_id", "estimate", "logged_days")
+
+
+@query
+def q_risk_level(spark, sf):
+    t = L.filter_valid(S.tickets(spark, sf).withColumn("logged_days", L.to_workdays("time_spent")))
+    return t.select("ticket_id", (F.col("logged_days") / F.col("estimate")).alias("ratio"),
+                    L.risk_level().alias("risk_level"))
+
+
+@query
+def q_project_dataset(spark, sf):
+    return dataset(spark, sf).select(*PR.DATASET_COLUMNS)
+
+
+@query
+def q_log_target(spark, sf):
+    d = dataset(spark, sf)
+    back = L.from_log(L.to_log("logged_days"))
+    return d.select("ticket_id", L.to_log("logged_days").alias("y_log"),
+                    (F.abs(back - F.col("logged_days")) <= 1e-9 * (1 + F.col("logged_days"))).alias("roundtrip_ok"))
+
+
+@query
+def q_delta_pct(spark, sf):
+    fb = S.feedback(spark, sf)
+    return fb.select("id", L.delta_pct("predicted_days", "actual_days").alias("delta_pct"))
+
+
+@query
+def q_delta_pct_abs(spark, sf):
+    fb = S.feedback(spark, sf)
+    return fb.select("id", L.delta_pct_abs("predicted_days", "actual_days").alias("delta_pct_abs"))
+
+
+@query
+def q_default_category(spark, sf):
+    r = S.tickets_raw(spark, sf)
+    return r.select("ticket_id", L.default_category("region_raw").alias("region"),
+                    L.default_category(F.when(F.col("subsystem_raw") != "oops", F.col("subsystem_raw")),
+                                       empty_is_missing=False).alias("subsystem"))
+
+
+@query
+def q_validate_summary(spark, sf):
+    docs = S.read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("summary"))
+    ok, bad = L.split_valid(docs)
+    return (ok.select("doc_id", F.lit("accepted").alias("status"))
+            .unionByName(bad.select("doc_id", F.lit("rejected").alias("status"))))
+
+
+@query
+def q_risk_buffer(spark, sf):
+    e = ensembled(spark, sf)
+    return e.select("ticket_id", L.risk_buffer_factor("p_medium", "p_critical").alias("buffer_factor"),
+                    L.predicted_hours("pred_days").alias("predicted_hours"),
+                    L.adjusted_hours("pred_days", "p_medium", "p_critical").alias("adjusted_hours"))
+
+
+@query
+def q_format_prediction(spark, sf):
+    e = ensembled(spark, sf)
+    f = e.select("ticket_id", *[v.alias(k) for k, v in L.format_prediction().items()])
+    return f.select("ticket_id", "predicted_time_hours", "adjusted_time_with_buffer_hours",
+                    "prediction_std_days", "risk_profile.*")
+
+
+@query
+def q_high_risk_flag(spark, sf):
+    e = ensembled(spark, sf)
+    f = e.select("ticket_id", *[v.alias(k) for k, v in L.format_prediction().items()])
+    return f.select("ticket_id", L.high_risk_flag(F.col("risk_profile.critical_risk_prob_pct")).alias("high_risk"),
+                    L.hours_to_days("predicted_time_hours").alias("predicted_days"))
+
+
+@query
+def q_fold_scores_json(spark, sf):
+    r = S.model_runs(spark, sf)
+    j = r.select("seq", L.fold_scores_to_json("fold_scores").alias("js"))
+    return j.select("seq", L.fold_scores_from_json("js").alias("fold_scores"),
+                    F.size(L.fold_scores_from_json(F.nullif(F.col("js"), F.lit("[]")))).alias("n_scores"))
+
+
+@query
+def q_cast_features(spark, sf):
+    return L.cast_features(dataset(spark, sf)).select("ticket_id", *L.NUMERIC_FEATURES, *L.CATEGORICAL_FEATURES)
+
+
+@query
+def q_short_revision(spark, sf):
+    return S.model_runs(spark, sf).select("seq", L.short_revision("run_id").alias("revision"))
+
+
+# ---------------------------------------------------------------- 2.3 joins
+@query
+def q_join_features(spark, sf):
+    emb = S.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("ticket_id"), "embedding")
+    meta = dataset(spark, sf).select("ticket_id", "region", "subsystem", "commitments", "logged_days")
+    return J.join_features(emb, meta)
+
+
+def _baseline_preds(spark, sf):
+    s = split_df(spark, sf)
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    return R.baseline_predictions(train, test)
+
+
+@query
+def q_lookup_with_fallback(spark, sf):
+    return _baseline_preds(spark, sf).select("ticket_id", "pred_subsystem", "pred_region")
+
+
+@query
+def q_mark_feedback_used(spark, sf):
+    fb = S.feedback(spark, sf)
+    ids = ST.unused_rows(fb).filter(F.col("commitments") == "click").select("id")
+    return J.mark_used(fb, ids).select("id", "is_used_for_training")
+
+
+@query
+def q_delete_matching(spark, sf):
+    fb = S.feedback(spark, sf)
+    keys = fb.filter(F.col("commitments") == "error").select("summary")
+    return J.delete_matching(fb, keys).select("id", "summary")
+
+
+# ---------------------------------------------------------------- 2.4 aggregates
+@query
+def q_feedback_counts(spark, sf):
+    return A.feedback_counts(S.feedback(spark, sf))
+
+
+@query
+def q_feedback_metrics(spark, sf):
+    return A.feedback_metrics(S.feedback(spark, sf))
+
+
+@query
+def q_target_profile(spark, sf):
+    return A.target_profile(dataset(spark, sf))
+
+
+@query
+def q_category_profile(spark, sf):
+    return A.category_profile(dataset(spark, sf))
+
+
+@query
+def q_global_median(spark, sf):
+    return _baseline_preds(spark, sf).select("ticket_id", "pred_global")
+
+
+@query
+def q_group_median(spark, sf):
+    s = split_df(spark, sf).filter(F.col("split") == "train")
+    return R.group_medians(s, "subsystem")
+
+
+def _yp(spark, sf):
+    return ensembled(spark, sf).select("ticket_id", F.col("logged_days").alias("y"), F.col("pred_days").alias("p"))
+
+
+@query
+def q_r2(spark, sf):
+    return M.r2(_yp(spark, sf))
+
+
+@query
+def q_mae(spark, sf):
+    return M.mae(_yp(spark, sf))
+
+
+@query
+def q_rmse(spark, sf):
+    return M.rmse(_yp(spark, sf))
+
+
+@query
+def q_error_distribution(spark, sf):
+    return M.error_distribution(_yp(spark, sf))
+
+
+@query
+def q_mdape(spark, sf):
+    return M.mdape(_yp(spark, sf))
+
+
+@query
+def q_grouped_errors(spark, sf):
+    return M.grouped_errors(R.with_errors(ensembled(spark, sf)), "region")
+
+
+@query
+def q_percentile_bounds(spark, sf):
+    cv = split_df(spark, sf).filter(F.col("split").isin("train", "val"))
+    return SP.fold_bounds(SP.kfold_assign(cv))
+
+
+@query
+def q_classification_report(spark, sf):
+    e = ensembled(spark, sf)
+    return M.classification_report(e, "risk_level", "pred_risk")
+
+
+@query
+def q_fold_summary(spark, sf):
+    r = runs_latest(spark, sf).select("run_id", F.explode("fold_scores").alias("score"))
+    return A.fold_summary(r, "score", by=["run_id"])
+
+
+@query
+def q_class_weights(spark, sf):
+    return A.class_weights(dataset(spark, sf))
+
+
+@query
+def q_row_accounting(spark, sf):
+    return A.row_accounting(S.tickets(spark, sf), dataset(spark, sf))
+
+
+@query
+def q_hours_saved(spark, sf):
+    fb = S.feedback(spark, sf).agg(F.count(F.lit(1)).alias("feedbacks_collected"))
+    return fb.withColumn("hours_saved", A.hours_saved(F.col("feedbacks_collected")))
+
+
+# ---------------------------------------------------------------- 2.5 top-k
+@query
+def q_latest_model_run(spark, sf):
+    return K.latest_model_run(runs_latest(spark, sf).drop("seq"))
+
+
+@query
+def q_top_subsystems_by_mae(spark, sf):
+    g = M.grouped_errors(R.with_errors(test_predictions(spark, sf)), "subsystem", decimals=None)
+    top = K.top_n_groups(g, "subsystem", 10)
+    return top.withColumns({"mae": F.bround("mae", 2), "median_actual": F.bround("median_actual", 2)})
+
+
+@query
+def q_worst_predictions(spark, sf):
+    return K.worst_predictions(R.with_errors(ensembled(spark, sf)))
+
+
+@query
+def q_recent_feedback(spark, sf):
+    return K.recent(S.feedback(spark, sf), 5, "id").select("id", "summary", "predicted_days", "actual_days")
+
+
+@query
+def q_recent_runs(spark, sf):
+    r = runs_latest(spark, sf)
+    top = K.top_k_per_group(r, ["model_type"], [F.col("created_at").desc(), F.col("run_id").desc()], 3)
+    return top.select("model_type", "rank", "run_id",
+                      *[F.bround(c, 4).alias(c) for c in ["r2", "mae", "rmse", "overrun_recall"]])
+
+
+# ---------------------------------------------------------------- 2.6 set ops
+@query
+def q_union_train_val(spark, sf):
+    s = split_df(spark, sf)
+    return SP.union_cv(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")) \
+        .select("ticket_id", "split")
+
+
+@query
+def q_unused_feedback_rows(spark, sf):
+    return ST.unused_rows(S.feedback(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.7 split / CV
+@query
+def q_stratified_split(spark, sf):
+    return split_df(spark, sf).select("ticket_id", "risk_level", "split")
+
+
+@query
+def q_kfold_assign(spark, sf):
+    cv = split_df(spark, sf).filter(F.col("split").isin("train", "val"))
+    return SP.kfold_assign(cv).select("ticket_id", "fold")
+
+
+@query
+def q_fold_outlier_trim(spark, sf):
+    cv = SP.kfold_assign(split_df(spark, sf).filter(F.col("split").isin("train", "val")))
+    roles = SP.fold_roles(cv)
+    return roles.groupBy("cv_fold", "role").agg(F.count(F.lit(1)).alias("n_rows"),
+                                               F.min("logged_days").alias("min_y"),
+                                               F.max("logged_days").alias("max_y"))
+
+
+# ---------------------------------------------------------------- 2.9 ensembles and evaluation
+@query
+def q_ensemble_effort(spark, sf):
+    return ensembled(spark, sf).select("ticket_id", "pred_log", "pred_days", "pred_std_days")
+
+
+@query
+def q_ensemble_risk(spark, sf):
+    return ensembled(spark, sf).select("ticket_id", "p_low", "p_medium", "p_critical", "pred_risk")
+
+
+@query
+def q_evaluate_effort(spark, sf):
+    t = test_predictions(spark, sf)
+    return M.evaluate_effort(t, "logged_days", "pred_days")
+
+
+@query
+def q_evaluate_risk(spark, sf):
+    return M.evaluate_risk(test_predictions(spark, sf), "risk_level", "pred_risk")
+
+
+# ---------------------------------------------------------------- 2.10 reports
+@query
+def q_baseline_report(spark, sf):
+    s = split_df(spark, sf)
+    train = s.filter(F.col("split") == "train")
+    test = s.filter(F.col("split") == "test").join(
+        ensembled(spark, sf).select("ticket_id", "pred_log"), "ticket_id")
+    return R.baseline_report(train, test, model_pred_log="pred_log")
+
+
+@query
+def q_error_report(spark, sf):
+    return R.error_report(test_predictions(spark, sf))
+
+
+@query
+def q_metrics_report(spark, sf):
+    return R.metrics_report(runs_latest(spark, sf), S.feedback(spark, sf))
+
+
+@query
+def q_model_status(spark, sf):
+    return R.model_status(runs_latest(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.1 sources (table-level)
+@query
+def q_filter_issue_export(spark, sf):
+    t = S.tickets(spark, sf).withColumn("project", F.col("region"))
+    return X.filter_export(t, "ASIA").select("ticket_id", "created_at", "estimate", "time_spent")
+
+
+@query
+def q_model_runs_upsert(spark, sf):
+    return runs_latest(spark, sf).select("run_id", "seq", "model_type", "trigger", "r2")
+
+
+@query
+def q_runs_insert_if_absent(spark, sf):
+    r = runs_latest(spark, sf)
+    existing = r.filter((F.col("trigger") == "feedback") & (F.col("model_type") == "estimate"))
+    defaults = spark.createDataFrame(
+        [("seed-estimate", "seed", "estimate", 0.144, 1.23, 1.85, None),
+         ("seed-risk", "seed", "risk", None, None, None, 0.59)],
+        "run_id string, trigger string, model_type string, r2 double, mae double, rmse double, "
+        "overrun_recall double")
+    return ST.insert_if_absent(existing.select("run_id", "trigger", "model_type", "r2", "mae", "rmse",
+                                               "overrun_recall"), defaults)
+
+
+@query
+def q_feedback_schema_evolve(spark, sf):
+    fb = S.feedback(spark, sf).select("id", "created_at", "summary", "description")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    old = fb.filter(F.col("created_at") < cut).drop("description")
+    new = fb.filter(F.col("created_at") >= cut)
+    return ST.union_evolved(old, new, {"description": ""}).select("id", "description")

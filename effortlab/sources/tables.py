@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True) -> DataFrame:
     """One work item per order.
 
     summary = 'T-<key> <customer>', description = document text (if any),
@@ -46,13 +46,15 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.col("o_orderkey").alias("ticket_id"),
         F.concat(F.lit("T-"), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("c_name")).alias("summary"),
-        F.coalesce(F.col("text"), F.lit("")).alias("description"),
+        (F.coalesce(F.col("text"), F.lit("")) if fill_description else F.col("text")).alias("description"),
         F.floor(F.col("o_totalprice") / 2).cast("bigint").alias("time_spent"),
         estimate.alias("estimate"),
         F.col("r_name").alias("region"),
         F.concat(F.col("r_name"), F.lit("/"), F.col("n_name")).alias("subsystem"),
         F.col("c_mktsegment").alias("commitments"),
         F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", "Done").when(F.col("o_orderstatus") == "O", "In Progress")
+         .otherwise("Open").alias("status"),
     )
 
 
@@ -140,10 +142,10 @@ def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, "feedback").when(F.col("event_id") % 3 == 1, "manual")
          .otherwise("seed").alias("trigger"),
         F.when(is_est, "estimate").otherwise("risk").alias("model_type"),
-        F.when(is_est, v / 1000.0).alias("r2"),
-        F.when(is_est, v / 100.0).alias("mae"),
-        F.when(is_est, v / 70.0).alias("rmse"),
-        F.when(~is_est, (v % 100) / 100.0).alias("overrun_recall"),
-        F.when(is_est, F.array(*[(v + i) / 1000.0 for i in range(5)]))
+        F.when(is_est, v / 997.0).alias("r2"),
+        F.when(is_est, v / 89.0).alias("mae"),
+        F.when(is_est, v / 71.0).alias("rmse"),
+        F.when(~is_est, (v % 100) / 101.0).alias("overrun_recall"),
+        F.when(is_est, F.array(*[(v + i) / 997.0 for i in range(5)]))
          .otherwise(F.array().cast("array<double>")).alias("fold_scores"),
     )
