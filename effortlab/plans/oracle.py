@@ -394,3 +394,23 @@ d as (select * from (values ('seed-estimate', 'seed', 'estimate', 0.144, 1.23, 1
 select * from ex union all select * from d where model_type not in (select model_type from ex)""")
 register("feedback_schema_evolve", with_(FEEDBACK) + """select id,
  case when created_at < timestamp '2024-01-15' then '' else coalesce(description, '') end as description from feedback""")
+
+TOKEN = r"'[\p{L}\p{N}_]{2,}'"
+register("tokenize", f"select doc_id, regexp_extract_all(lower(text), {TOKEN}) as tokens from documents")
+_VS = f"""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) as term from documents),
+tc as (select doc_id, term, count(*) as tf from tok group by 1, 2),
+st as (select term, count(doc_id) as df, sum(tf) as cf from tc group by term)
+"""
+register("vocabulary_stats", _VS + "select term, df, cast(cf as bigint) as cf from st")
+register("vocabulary_topk", _VS + """select term, df, cast(cf as bigint) as cf, cast(row_number() over (order by term) - 1 as integer) as term_idx
+ from (select * from st where df >= 2 order by cf desc, term limit 25000)""")
+register("tfidf", with_(TICKETS, DATASET, SPLIT) + f""", tok as (
+ select ticket_id, split, unnest(regexp_extract_all(lower(text), {TOKEN})) as term from split),
+tc as (select ticket_id, split, term, count(*) as tf from tok group by 1, 2, 3),
+st as (select term, count(*) as df, sum(tf) as cf from tc where split = 'train' group by term),
+vocab as (select term, df, row_number() over (order by term) - 1 as term_idx
+ from (select * from st where df >= 2 order by cf desc, term limit 25000)),
+n as (select count(*) as n from split where split = 'train'),
+w as (select ticket_id, term_idx, (1.0 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1.0) as w
+ from tc join vocab using (term) cross join n)
+select ticket_id, cast(term_idx as integer) as term_idx, w / sqrt(sum(w * w) over (partition by ticket_id)) as weight from w""")

@@ -512,3 +512,67 @@ def q_feedback_schema_evolve(spark, sf):
     old = fb.filter(F.col("created_at") < cut).drop("description")
     new = fb.filter(F.col("created_at") >= cut)
     return ST.union_evolved(old, new, {"description": ""}).select("id", "description")
+
+
+# ---------------------------------------------------------------- 2.8 text
+from ..operators import text as TX  # noqa: E402
+
+
+def _docs(spark, sf):
+    return S.read_table(spark, sf, "documents").select(F.col("doc_id"), F.col("text"))
+
+
+@query
+def q_tokenize(spark, sf):
+    return _docs(spark, sf).select("doc_id", TX.tokens("text").alias("tokens"))
+
+
+@query
+def q_vocabulary_stats(spark, sf):
+    return TX.vocabulary_stats(TX.term_counts(_docs(spark, sf), "doc_id"), "doc_id")
+
+
+@query
+def q_vocabulary_topk(spark, sf):
+    stats = TX.vocabulary_stats(TX.term_counts(_docs(spark, sf), "doc_id"), "doc_id")
+    return TX.vocabulary(stats, min_df=2, max_features=25_000)
+
+
+def _tfidf_model(spark, sf):
+    s = split_df(spark, sf)
+    model = TX.fit_tfidf(s.filter(F.col("split") == "train"))
+    return s, model
+
+
+@query
+def q_tfidf(spark, sf):
+    s, model = _tfidf_model(spark, sf)
+    return model.transform(s)
+
+
+def _lsa(spark, sf, k=32):
+    s, model = _tfidf_model(spark, sf)
+    train_w = model.transform(s.filter(F.col("split") == "train"))
+    lsa = TX.fit_lsa(train_w, model.size, k)
+    return s, model, train_w, lsa
+
+
+@query
+def q_lsa_fit(spark, sf):
+    _, _, _, lsa = _lsa(spark, sf)
+    rows = [(j, float(lsa.singular_values[j]), lsa.components[:, j].tolist()) for j in range(len(lsa.singular_values))]
+    return spark.createDataFrame(rows, "component int, singular_value double, vector array<double>")
+
+
+@query
+def q_lsa_transform(spark, sf):
+    s, model, _, lsa = _lsa(spark, sf)
+    return lsa.transform(model.transform(s), docs=s)
+
+
+@query
+def q_explained_variance(spark, sf):
+    s, model, train_w, lsa = _lsa(spark, sf)
+    train = s.filter(F.col("split") == "train")
+    emb = lsa.transform(train_w, docs=train)
+    return TX.explained_variance(train_w, emb, model.n_docs)
