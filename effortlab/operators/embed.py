@@ -1,0 +1,54 @@
+"""Batched text -> vector inference with a user-supplied model loader.
+
+``predict_batch_udf`` moves Arrow batches of ``batch_size`` rows to the
+Python worker, loads the model once per worker (``make_predict_fn``) and
+keeps the rest of the plan in the JVM.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def embed_batches(df: DataFrame, make_predict_fn, text: str = "text", dim: int | None = None,
+                  batch_size: int = 32, out: str = "embedding") -> DataFrame:
+    """Add ``out`` = model(text) as array<float>.  ``make_predict_fn()``
+    returns ``predict(texts: np.ndarray) -> np.ndarray[batch, dim]``."""
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
+                            batch_size=batch_size, input_tensor_shapes=None)
+    return df.withColumn(out, udf(F.coalesce(F.col(text), F.lit(""))))
+
+
+def hashing_embedder(dim: int = 64, seed: int = 0):
+    """A deterministic stand-in model: sub-linear token counts hashed into
+    ``dim`` buckets with a sign bit, L2-normalised."""
+    def make_predict_fn():
+        import re
+        import zlib
+        pattern = re.compile(r"\w\w+")
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for r, t in enumerate(texts):
+                counts: dict[int, float] = {}
+                for tok in pattern.findall(str(t).lower()):
+                    h = zlib.crc32(tok.encode("utf-8"), seed)
+                    b, s = h % dim, 1.0 if (h >> 31) & 1 == 0 else -1.0
+                    counts[b] = counts.get(b, 0.0) + s
+                for b, c in counts.items():
+                    out[r, b] = np.sign(c) * (1.0 + np.log(abs(c))) if c != 0 else 0.0
+                n = np.linalg.norm(out[r])
+                if n > 0:
+                    out[r] /= n
+            return out
+        return predict
+    return make_predict_fn

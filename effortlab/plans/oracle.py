@@ -414,3 +414,13 @@ n as (select count(*) as n from split where split = 'train'),
 w as (select ticket_id, term_idx, (1.0 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1.0) as w
  from tc join vocab using (term) cross join n)
 select ticket_id, cast(term_idx as integer) as term_idx, w / sqrt(sum(w * w) over (partition by ticket_id)) as weight from w""")
+
+_META = "has_description, has_code_block, is_dev_task, is_test_task, is_analysis_task, text_len, word_count, region, subsystem, commitments"
+register("augment_with_feedback", with_(TICKETS, DATASET, SPLIT, FEEDBACK) + f"""select 'dataset' as source, cast(ticket_id as varchar) as source_id,
+ {_META}, logged_days from split where split in ('train', 'val')
+union all
+select 'feedback', cast(id as varchar), {features_sql('text', 'description')},
+ coalesce(nullif(region, ''), 'Unknown'), coalesce(nullif(subsystem, ''), 'Unknown'), coalesce(nullif(commitments, ''), 'Unknown'),
+ actual_days
+from (select id, coalesce(description, '') as description, region, subsystem, commitments, actual_days,
+  {strip("concat(summary, ' ', coalesce(description, ''))")} as text from feedback where is_used_for_training = 0)""")

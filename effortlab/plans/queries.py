@@ -576,3 +576,244 @@ def q_explained_variance(spark, sf):
     train = s.filter(F.col("split") == "train")
     emb = lsa.transform(train_w, docs=train)
     return TX.explained_variance(train_w, emb, model.n_docs)
+
+
+# ---------------------------------------------------------------- 2.9 models (rows-only checks)
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..operators import explain as XP  # noqa: E402
+from ..operators import models as MD  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from . import train as TR  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf):
+    """Train once per session and scale factor; the fitted models (not data)
+    are kept in the driver, data stays in Spark."""
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = TR.train_all(dataset(spark, sf))
+    return _TRAINED[key]
+
+
+def _scratch(spark, name):
+    return _os.path.join(checkpoint_dir(spark), "queries", f"{name}-{_uuid.uuid4().hex}")
+
+
+@query
+def q_encode_categoricals(spark, sf):
+    t = trained(spark, sf)
+    return t.bundle.indexer.transform(dataset(spark, sf)).select("ticket_id", *MD.IDX)
+
+
+@query
+def q_train_effort_cv(spark, sf):
+    t = trained(spark, sf)
+    return spark.createDataFrame(list(enumerate(t.bundle.effort.scores)), "fold int, r2_days double")
+
+
+@query
+def q_train_risk_cv(spark, sf):
+    t = trained(spark, sf)
+    return spark.createDataFrame(list(enumerate(t.bundle.risk.scores)), "fold int, accuracy double")
+
+
+@query
+def q_score_batch(spark, sf):
+    t = trained(spark, sf)
+    test = S.tickets(spark, sf).join(t.splits.filter(F.col("split") == "test").select("ticket_id"), "ticket_id")
+    return t.bundle.score(test)
+
+
+@query
+def q_explain(spark, sf):
+    t = trained(spark, sf)
+    test = t.features.filter(F.col("split") == "test")
+    return XP.explain(test, t.bundle).drop("contributions")
+
+
+@query
+def q_top_features(spark, sf):
+    t = trained(spark, sf)
+    return XP.explain(t.features.filter(F.col("split") == "test"), t.bundle).select("ticket_id", "top_features")
+
+
+@query
+def q_mean_abs_shap(spark, sf):
+    t = trained(spark, sf)
+    last = len(t.bundle.effort.models) - 1
+    val = t.features.filter(F.col("fold") == last)
+    ex = XP.explain(val, t.bundle, fold=last)
+    names = XP.feature_names(t.bundle.lsa.components.shape[1], MD.NUMS, MD.CATS)
+    return XP.mean_abs_shap(ex, names, 20)
+
+
+@query
+def q_save_load_models(spark, sf):
+    t = trained(spark, sf)
+    path = _scratch(spark, "bundle")
+    MD.save_bundle(t.bundle, path)
+    loaded = MD.load_bundle(spark, path)
+    test = S.tickets(spark, sf).join(t.splits.filter(F.col("split") == "test").select("ticket_id"), "ticket_id")
+    a = t.bundle.score(test).select("ticket_id", F.col("pred_days").alias("pred_saved"))
+    b = loaded.score(test).select("ticket_id", F.col("pred_days").alias("pred_loaded"))
+    return a.join(b, "ticket_id")
+
+
+@query
+def q_write_embeddings(spark, sf):
+    t = trained(spark, sf)
+    path = _scratch(spark, "embeddings")
+    ST.write_embeddings(t.features, path)
+    return ST.read_embeddings(spark, path, "test")
+
+
+@query
+def q_log_run_metrics(spark, sf):
+    t = trained(spark, sf)
+    path = _scratch(spark, "run-metrics")
+    ev = TR.evaluate_bundle(t)
+    run = t.bundle.run_id
+    ST.log_metrics(spark, path, run, {"max_iter": MD.EffortParams().max_iter, "max_depth": MD.EffortParams().max_depth,
+                                      "n_folds": len(t.bundle.effort.models)}, kind="param")
+    for k, s in enumerate(t.bundle.effort.scores):
+        ST.log_metrics(spark, path, run, {f"fold_{k}_r2": s}, step=k)
+    ST.log_metrics(spark, path, run, {f"test_{m}": ev["effort"][m] for m in ("r2", "mae", "rmse")})
+    ST.log_metrics(spark, path, run, {"test_overrun_recall": ev["overrun_recall"]})
+    return spark.read.parquet(path).drop("logged_at")
+
+
+@query
+def q_score_stream(spark, sf):
+    from ..streaming import jobs as SJ
+    t = trained(spark, sf)
+    src = _scratch(spark, "requests")
+    test = S.tickets(spark, sf).join(t.splits.filter(F.col("split") == "test").select("ticket_id"), "ticket_id")
+    test.select(*SJ.REQUEST_SCHEMA.fieldNames()).repartition(4).write.parquet(src)
+    sink = _scratch(spark, "scored")
+    q = SJ.score_stream(spark, src, t.bundle, sink, _scratch(spark, "ckpt"), max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def _feedback_requests(spark, sf):
+    fb = S.feedback(spark, sf)
+    return fb.select(F.col("id").alias("ticket_id"), "summary", "description", "region", "subsystem", "commitments",
+                     "predicted_days", "actual_days")
+
+
+@query
+def q_feedback_append(spark, sf):
+    path = _scratch(spark, "feedback")
+    ST.append_feedback(_feedback_requests(spark, sf), path, batch_id=0)
+    ST.append_feedback(_feedback_requests(spark, sf), path, batch_id=0)      # replay: no duplicates
+    return ST.read_feedback(spark, path)
+
+
+@query
+def q_feedback_stream(spark, sf):
+    from ..streaming import jobs as SJ
+    src = _scratch(spark, "fb-requests")
+    _feedback_requests(spark, sf).repartition(4).write.parquet(src)
+    path = _scratch(spark, "feedback")
+    q = SJ.feedback_stream(spark, src, path, _scratch(spark, "ckpt"))
+    q.awaitTermination()
+    return A.feedback_counts(ST.read_feedback(spark, path))
+
+
+@query
+def q_retrain_job(spark, sf):
+    from . import jobs as JB
+    t = trained(spark, sf)
+    fb_path, marks, runs = _scratch(spark, "feedback"), _scratch(spark, "marks"), _scratch(spark, "runs")
+    ST.append_feedback(_feedback_requests(spark, sf), fb_path, batch_id=0)
+    bundle = MD.Bundle(t.bundle.tfidf, t.bundle.lsa, t.bundle.indexer, t.bundle.effort, t.bundle.risk, t.bundle.run_id)
+    res = JB.retrain_job(spark, bundle, t.splits, fb_path, marks, runs)
+    after = A.feedback_counts(ST.read_feedback(spark, fb_path, marks)).first()
+    return spark.createDataFrame(
+        [(res.status, res.unused, res.run_id, after["unused"], (res.metrics or {}).get("r2"))],
+        "status string, unused_before long, run_id string, unused_after long, test_r2 double")
+
+
+@query
+def q_retrain_trigger(spark, sf):
+    from ..streaming import jobs as SJ
+    from . import jobs as JB
+    t = trained(spark, sf)
+    src = _scratch(spark, "fb-requests")
+    _feedback_requests(spark, sf).repartition(3).write.parquet(src)
+    fb_path, marks, runs = _scratch(spark, "feedback"), _scratch(spark, "marks"), _scratch(spark, "runs")
+    bundle = MD.Bundle(t.bundle.tfidf, t.bundle.lsa, t.bundle.indexer, t.bundle.effort, t.bundle.risk, t.bundle.run_id)
+    trig = SJ.RetrainTrigger(spark, lambda: JB.retrain_job(spark, bundle, t.splits, fb_path, marks, runs,
+                                                           params=MD.EffortParams(max_iter=10)),
+                             fb_path, marks)
+    q = SJ.retrain_trigger_stream(spark, src, trig, _scratch(spark, "ckpt"))
+    q.awaitTermination()
+    return ST.read_runs(spark, runs).select("run_id", "trigger", "model_type", "r2", "mae", "rmse")
+
+
+# ---------------------------------------------------------------- 2.1 sources (files)
+from ..sources import csv as CSV  # noqa: E402
+
+
+@query
+def q_read_seed_csv(spark, sf):
+    path = _scratch(spark, "seed-csv")
+    seed = S.seed(spark, sf).select(F.col("ticket_id").cast("string").alias("key"), "summary", "description",
+                                   "time_spent", "estimate", "region", "subsystem", "commitments")
+    seed.write.option("header", True).option("escape", '"').csv(path)
+    return CSV.read_seed(spark, path)
+
+
+@query
+def q_read_features_csv(spark, sf):
+    path = _scratch(spark, "splits-csv")
+    CSV.write_splits(split_df(spark, sf).select(*PR.DATASET_COLUMNS, "split"), path, fmt="csv")
+    return CSV.read_split(spark, path + "/split=train", keep_empty=True)
+
+
+@query
+def q_write_splits(spark, sf):
+    path = _scratch(spark, "splits")
+    CSV.write_splits(split_df(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def q_flatten_issues(spark, sf):
+    path = _scratch(spark, "issue-pages")
+    t = S.tickets(spark, sf)
+    issue = F.struct(
+        F.concat(F.lit("T-"), F.col("ticket_id").cast("string")).alias("key"),
+        F.struct(F.col("summary"), F.when(F.col("description") != "", F.col("description")).alias("description"),
+                 F.col("time_spent").cast("double").alias("timespent"),
+                 F.col("created_at").cast("string").alias("created"), F.col("status"),
+                 F.col("region").alias("project"),
+                 F.col("estimate").alias(X.STORY_POINTS_FIELD),
+                 F.when(F.col("ticket_id") % 5 != 0, F.array(F.struct(F.col("region").alias("value")))).alias(X.REGION_FIELD),
+                 F.struct(F.col("region").alias("value"), F.struct(F.col("subsystem").alias("value")).alias("child"))
+                  .alias(X.SUBSYSTEM_FIELD),
+                 F.struct(F.col("commitments").alias("value")).alias(X.COMMITMENTS_FIELD)).alias("fields"))
+    # Pages of at most 1000 issues, as the export API returns them.
+    pages = t.groupBy(F.floor(F.col("ticket_id") / 1000).alias("page")).agg(
+        F.count(F.lit(1)).alias("total"), F.collect_list(issue).alias("issues"))
+    pages.select("total", "issues").write.json(path)
+    return X.flatten_issues(X.read_issue_pages(spark, path, one_page_per_file=False))
+
+
+@query
+def q_embed_batches(spark, sf):
+    from ..operators import embed as EM
+    docs = _docs(spark, sf)
+    return EM.embed_batches(docs, EM.hashing_embedder(dim=64), "text", dim=64).select("doc_id", "embedding")
+
+
+@query
+def q_augment_with_feedback(spark, sf):
+    from . import jobs as JB
+    cv = split_df(spark, sf).filter(F.col("split").isin("train", "val"))
+    return JB.augment(cv, ST.unused_rows(S.feedback(spark, sf)))

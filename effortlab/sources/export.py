@@ -40,9 +40,10 @@ PAGE_SCHEMA = T.StructType([
 ])
 
 
-def read_issue_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Search-result pages (one JSON document per file) with a fixed schema."""
-    return spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
+def read_issue_pages(spark: SparkSession, path: str, one_page_per_file: bool = True) -> DataFrame:
+    """Search-result pages with a fixed schema: one JSON document per file
+    (saved API responses) or JSON Lines with one page per line."""
+    return spark.read.schema(PAGE_SCHEMA).option("multiLine", one_page_per_file).json(path)
 
 
 def flatten_issues(pages: DataFrame, parse_options: bool = True) -> DataFrame:
