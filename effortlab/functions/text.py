@@ -50,7 +50,9 @@ def concat_text(summary="summary", description="description", strip: bool = Fals
 
 
 def has_description(description="description") -> Column:
-    return (F.length(strip_ws(F.coalesce(_c(description), F.lit("")))) > 0).cast("int")
+    """1 when the text has a non-whitespace character (``bool(s.strip())``);
+    a search that stops at the first such character, no stripped copy."""
+    return F.coalesce(_c(description), F.lit("")).rlike(f"[^{PY_WS}]").cast("int")
 
 
 def has_code_block(description="description") -> Column:
@@ -67,8 +69,9 @@ def text_len(text="text") -> Column:
 
 
 def word_count(text="text") -> Column:
-    """Number of Python-whitespace separated tokens (``len(s.split())``)."""
-    return F.size(F.regexp_extract_all(_c(text), F.lit(WORD_RE), 0))
+    """Number of Python-whitespace separated tokens (``len(s.split())``),
+    counted without materialising the tokens."""
+    return F.coalesce(F.regexp_count(_c(text), F.lit(WORD_RE)), F.lit(0))
 
 
 def text_feature_columns(text="text", description="description",
@@ -88,5 +91,12 @@ def text_feature_columns(text="text", description="description",
 
 
 def text_features(df: DataFrame, text="text", description="description", **kw) -> DataFrame:
-    """Add the 7 feature columns in one projection."""
-    return df.withColumns(text_feature_columns(text, description, **kw))
+    """Add the 7 feature columns in one projection (the lower-cased text is
+    computed once and shared by the three keyword flags)."""
+    d = df.withColumn("_text_lower", F.lower(_c(text)))
+    cols = text_feature_columns(text, description, **kw)
+    for name, words in (("is_dev_task", kw.get("dev_words", DEV_WORDS)),
+                        ("is_test_task", kw.get("test_words", TEST_WORDS)),
+                        ("is_analysis_task", kw.get("analysis_words", ANALYSIS_WORDS))):
+        cols[name] = keyword_flag(F.col("_text_lower"), words)
+    return d.withColumns(cols).drop("_text_lower")

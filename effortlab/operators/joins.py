@@ -20,11 +20,18 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
 
 def lookup_with_fallback(df: DataFrame, stats: DataFrame, key: str, value: str,
                          default: Column, out: str | None = None,
-                         max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                         max_broadcast_rows: int = MAX_BROADCAST_ROWS, persist: bool = True) -> DataFrame:
     """Map each row's ``key`` to ``stats.value``; unseen or null keys get
-    ``default`` (a column, e.g. a scalar subquery)."""
+    ``default`` (a column, e.g. a scalar subquery).
+
+    ``persist`` writes the (aggregated) stats once to the checkpoint folder,
+    so the row check and the join read the same small table instead of
+    recomputing it."""
     out = out or value
     s = stats.select(F.col(key).alias("_lk"), F.col(value).alias("_lv"))
+    if persist:
+        from ..session import materialize
+        s = materialize(s, "lookup")
     s = sized_broadcast(s, max_broadcast_rows)
     j = df.join(s, df[key] == s["_lk"], "left")
     return j.withColumn(out, F.coalesce(F.col("_lv"), default)).drop("_lk", "_lv")

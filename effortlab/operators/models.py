@@ -183,14 +183,16 @@ class Bundle:
 
 
 def featurize(df: DataFrame, tfidf, lsa, indexer: StringIndexerModel, doc: str = "ticket_id",
-              strip: bool = True) -> DataFrame:
+              strip: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """Requests/tickets -> model inputs: text, the 7 features, LSA
-    embedding, category indices.  Missing categories become 'Unknown'."""
+    embedding, category indices.  Missing categories become 'Unknown'.
+    ``weights`` are precomputed TF-IDF rows of the same documents."""
     d = T.fill_text(df) if "description" in df.columns else df.withColumn("description", F.lit(""))
     d = d.withColumn("text", T.concat_text("summary", "description", strip=strip))
     d = T.text_features(d, "text", "description")
     d = d.withColumns({c: L.default_category(c) if c in d.columns else F.lit(L.UNKNOWN) for c in CATS})
-    emb = lsa.transform(tfidf.transform(d, doc), doc, docs=d.select(doc))
+    w = weights if weights is not None else tfidf.transform(d, doc)
+    emb = lsa.transform(w, doc, docs=d.select(doc))
     d = d.join(emb, doc, "left")
     return model_input(indexer.transform(d))
 

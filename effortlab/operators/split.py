@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import percentile
-from .joins import sized_broadcast
 
 
 def salted_hash(id_col: str, salt: str):
@@ -35,8 +34,9 @@ def exact_rank(df: DataFrame, id_col: str, salt: str, partition_cols=(), bucket_
               .withColumn("_off", F.sum("_nb").over(wp.orderBy("_b")) - F.col("_nb"))
               .withColumn(size_col, F.sum("_nb").over(wp))
               .drop("_nb"))
-    # counts has (#strata x 16^digits) rows; checked before broadcasting.
-    d = d.join(sized_broadcast(counts), [*parts, "_b"])
+    # Joined on (stratum, bucket): the rows are shuffled once on those keys
+    # and the row_number window below reuses that partitioning.
+    d = d.join(counts, [*parts, "_b"])
     w = Window.partitionBy(*parts, "_b").orderBy("_h", id_col)
     return d.withColumn(rank_col, F.row_number().over(w) + F.col("_off")).drop("_h", "_b", "_off")
 

@@ -33,17 +33,18 @@ def tokens(c) -> Column:
 
 
 def term_counts(docs: DataFrame, doc: str = "ticket_id", text: str = "text",
-                partition: bool = True) -> DataFrame:
+                partition: bool = True, carry: tuple = ()) -> DataFrame:
     """(doc, term, tf) for every term occurrence in every document.
 
     ``partition`` first hash-partitions the documents by id, so the count
     (and any later per-document window or aggregate) needs no further
-    exchange."""
-    d = docs.select(doc, text)
+    exchange.  ``carry`` columns are per-document attributes kept in the key
+    (free: they are functions of the document)."""
+    d = docs.select(doc, text, *carry)
     if partition:
         d = d.repartition(doc)
-    ex = d.select(doc, F.explode(tokens(text)).alias("term"))
-    return ex.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    ex = d.select(doc, *carry, F.explode(tokens(text)).alias("term"))
+    return ex.groupBy(doc, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary_stats(tc: DataFrame, doc: str = "ticket_id") -> DataFrame:
@@ -73,25 +74,45 @@ class TfidfModel:
         return tfidf_transform(docs, self, doc, text)
 
 
+def fit_tfidf_counts(train_tc: DataFrame, n_docs: int, doc: str = "ticket_id", min_df: int = 2,
+                     max_features: int | None = 25_000) -> TfidfModel:
+    """Fit from term counts of the training documents (n = training
+    documents, including those without tokens).  The vocabulary is written
+    once to the checkpoint folder; its size is then known exactly."""
+    from ..session import materialize
+    vocab = vocabulary(vocabulary_stats(train_tc, doc), min_df, max_features)
+    vocab = vocab.withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
+    vocab = materialize(vocab, "vocab")
+    return TfidfModel(vocab, n_docs, vocab.count())
+
+
 def fit_tfidf(train: DataFrame, doc: str = "ticket_id", text: str = "text", min_df: int = 2,
-              max_features: int | None = 25_000, materialize_vocab: bool = True) -> TfidfModel:
+              max_features: int | None = 25_000) -> TfidfModel:
     """Fit on the training documents only (n and df come from train)."""
-    tc = term_counts(train, doc, text)
-    vocab = vocabulary(vocabulary_stats(tc, doc), min_df, max_features)
-    n = train.select(doc).count()
-    vocab = vocab.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
-    if materialize_vocab:
-        from ..session import materialize
-        vocab = materialize(vocab, "vocab")
-    size = vocab.count()
-    return TfidfModel(vocab, n, size)
+    return fit_tfidf_counts(term_counts(train, doc, text), train.select(doc).count(), doc, min_df, max_features)
+
+
+def fit_transform_tfidf(docs: DataFrame, is_train, doc: str = "ticket_id", text: str = "text",
+                        min_df: int = 2, max_features: int | None = 25_000) -> tuple[TfidfModel, DataFrame]:
+    """Fit on the rows where ``is_train`` holds and transform all rows with a
+    single tokenisation pass: term counts are written once (with the train
+    flag) and both the fit and the transform read them."""
+    from ..session import materialize
+    flagged = docs.select(doc, text, F.coalesce(is_train, F.lit(False)).alias("_train"))
+    tc = materialize(term_counts(flagged, doc, text, carry=("_train",)), "term-counts")
+    n = flagged.filter("_train").count()
+    model = fit_tfidf_counts(tc.filter("_train").drop("_train"), n, doc, min_df, max_features)
+    return model, tfidf_from_counts(tc.drop("_train"), model, doc)
 
 
 def tfidf_transform(docs: DataFrame, model: TfidfModel, doc: str = "ticket_id", text: str = "text") -> DataFrame:
     """(doc, term_idx, weight) with weight = (1 + ln tf) * idf, L2-normalised
     per document.  Documents without a known term have no rows (a zero
     vector)."""
-    tc = term_counts(docs, doc, text)
+    return tfidf_from_counts(term_counts(docs, doc, text), model, doc)
+
+
+def tfidf_from_counts(tc: DataFrame, model: TfidfModel, doc: str = "ticket_id") -> DataFrame:
     v = F.broadcast(model.vocab.select("term", "term_idx", "idf"))     # <= max_features rows
     w = tc.join(v, "term").select(doc, "term_idx", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))

@@ -61,14 +61,23 @@ def split_df(spark, sf):
     return SP.stratified_split(dataset(spark, sf))
 
 
-def ensembled(spark, sf):
-    p = EN.ensemble_effort(S.predictions(spark, sf), PRED_LOGS)
+def split_table(spark, sf):
+    """The split written once (read by several branches of a query)."""
+    from ..session import materialize
+    return materialize(split_df(spark, sf), "split")
+
+
+def ensemble_of(ds):
+    p = EN.ensemble_effort(S.with_fold_predictions(ds), PRED_LOGS)
     return EN.ensemble_risk(p, PROBS)
 
 
+def ensembled(spark, sf):
+    return ensemble_of(dataset(spark, sf))
+
+
 def test_predictions(spark, sf):
-    s = split_df(spark, sf).filter(F.col("split") == "test").select("ticket_id")
-    return ensembled(spark, sf).join(s, "ticket_id", "left_semi")
+    return ensemble_of(split_df(spark, sf).filter(F.col("split") == "test"))
 
 
 def runs_latest(spark, sf):
@@ -244,7 +253,7 @@ def q_join_features(spark, sf):
 
 
 def _baseline_preds(spark, sf):
-    s = split_df(spark, sf)
+    s = split_table(spark, sf)
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     return R.baseline_predictions(train, test)
 
@@ -458,10 +467,9 @@ def q_evaluate_risk(spark, sf):
 # ---------------------------------------------------------------- 2.10 reports
 @query
 def q_baseline_report(spark, sf):
-    s = split_df(spark, sf)
+    s = split_table(spark, sf)
     train = s.filter(F.col("split") == "train")
-    test = s.filter(F.col("split") == "test").join(
-        ensembled(spark, sf).select("ticket_id", "pred_log"), "ticket_id")
+    test = ensemble_of(s.filter(F.col("split") == "test"))
     return R.baseline_report(train, test, model_pred_log="pred_log")
 
 
@@ -539,40 +547,39 @@ def q_vocabulary_topk(spark, sf):
 
 
 def _tfidf_model(spark, sf):
-    s = split_df(spark, sf)
-    model = TX.fit_tfidf(s.filter(F.col("split") == "train"))
-    return s, model
+    s = split_table(spark, sf)
+    model, weights = TX.fit_transform_tfidf(s, F.col("split") == "train")
+    return s, model, weights
 
 
 @query
 def q_tfidf(spark, sf):
-    s, model = _tfidf_model(spark, sf)
-    return model.transform(s)
+    return _tfidf_model(spark, sf)[2]
 
 
 def _lsa(spark, sf, k=32):
-    s, model = _tfidf_model(spark, sf)
-    train_w = model.transform(s.filter(F.col("split") == "train"))
+    s, model, weights = _tfidf_model(spark, sf)
+    train_w = weights.join(s.filter(F.col("split") == "train").select("ticket_id"), "ticket_id", "left_semi")
     lsa = TX.fit_lsa(train_w, model.size, k)
-    return s, model, train_w, lsa
+    return s, model, weights, train_w, lsa
 
 
 @query
 def q_lsa_fit(spark, sf):
-    _, _, _, lsa = _lsa(spark, sf)
+    lsa = _lsa(spark, sf)[-1]
     rows = [(j, float(lsa.singular_values[j]), lsa.components[:, j].tolist()) for j in range(len(lsa.singular_values))]
     return spark.createDataFrame(rows, "component int, singular_value double, vector array<double>")
 
 
 @query
 def q_lsa_transform(spark, sf):
-    s, model, _, lsa = _lsa(spark, sf)
-    return lsa.transform(model.transform(s), docs=s)
+    s, model, weights, _, lsa = _lsa(spark, sf)
+    return lsa.transform(weights, docs=s)
 
 
 @query
 def q_explained_variance(spark, sf):
-    s, model, train_w, lsa = _lsa(spark, sf)
+    s, model, _, train_w, lsa = _lsa(spark, sf)
     train = s.filter(F.col("split") == "train")
     emb = lsa.transform(train_w, docs=train)
     return TX.explained_variance(train_w, emb, model.n_docs)

@@ -29,14 +29,17 @@ def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True) ->
     the priority digit, null for pending orders; region / subsystem /
     commitments from customer region, region/nation and market segment.
     nation and region are tiny dimension tables (25 / 5 rows): Spark
-    broadcasts them by size; customer and documents are sort-merge joins.
+    broadcasts them by size.  The document text is never broadcast (it
+    grows with the data): it is a shuffle (sort-merge) join, which also
+    spreads the per-row text work over ``spark.sql.shuffle.partitions``
+    tasks whatever the file layout of the inputs.
     """
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text")).hint("merge")
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(r, n.n_regionkey == r.r_regionkey)
@@ -109,13 +112,14 @@ N_FOLDS = 5
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic fold predictions for valid tickets (one row per ticket).
-
-    ``pred_log_k`` and fold class probabilities ``p{c}_k`` are exact
-    functions of the ticket, so every metric over them has an exact oracle.
-    """
+    """Deterministic fold predictions for valid tickets (one row per ticket)."""
     from ..plans.prepare import prepare_dataset
-    ds = prepare_dataset(tickets(spark, sf_dir))
+    return with_fold_predictions(prepare_dataset(tickets(spark, sf_dir)))
+
+
+def with_fold_predictions(ds: DataFrame) -> DataFrame:
+    """Add ``pred_log_k`` and fold class probabilities ``p{c}_k``: exact
+    functions of the ticket, so every metric over them has an exact oracle."""
     tid = F.col("ticket_id")
     cols = {}
     for k in range(N_FOLDS):
