@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +39,9 @@ CATS = L.CATEGORICAL_FEATURES
 NUMS = L.NUMERIC_FEATURES
 IDX = [f"{c}_idx" for c in CATS]
 TE = [f"{c}_te" for c in CATS]
+# Encoded means as plain numbers: the encoder copies the indexer's nominal
+# metadata to its outputs, which would make trees treat them as category ids.
+TE_NUM = [f"{c}_enc" for c in CATS]
 
 
 @dataclass
@@ -72,7 +75,12 @@ def model_input(df: DataFrame, emb: str = "embedding") -> DataFrame:
 
 
 def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=["emb_vec", *NUMS, *TE], outputCol="features")
+    return VectorAssembler(inputCols=["emb_vec", *NUMS, *TE_NUM], outputCol="features")
+
+
+def _plain_encodings() -> SQLTransformer:
+    cols = ", ".join(f"CAST({t} + 0.0 AS DOUBLE) AS {n}" for t, n in zip(TE, TE_NUM))
+    return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
 
 
 def _target_encoder(label: str, smoothing: float) -> TargetEncoder:
@@ -131,7 +139,7 @@ def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
             gbt = GBTRegressor(labelCol="y_log", featuresCol="features", maxIter=p.max_iter,
                                maxDepth=p.max_depth, stepSize=p.step_size, seed=p.seed + k,
                                validationIndicatorCol="is_val", validationTol=p.validation_tol)
-            fitted = Pipeline(stages=[_assembler(), gbt]).fit(both)
+            fitted = Pipeline(stages=[_plain_encodings(), _assembler(), gbt]).fit(both)
             model = PipelineModel(stages=[te, *fitted.stages])
             val = model.transform(data.filter(F.col("fold") == k))
             score = val.agg(r2_expr(F.col(target), F.greatest(F.expm1("prediction"), F.lit(0.0)))).first()[0]
@@ -153,7 +161,7 @@ def train_risk_cv(cv: DataFrame, folds: int = 5, label: str = "risk_level",
             te = _target_encoder("label_d", p.smoothing).fit(train)
             rf = RandomForestClassifier(labelCol="label_d", featuresCol="features", weightCol="weight",
                                         numTrees=p.num_trees, maxDepth=p.max_depth, seed=p.seed + k)
-            fitted = Pipeline(stages=[_assembler(), rf]).fit(te.transform(train))
+            fitted = Pipeline(stages=[_plain_encodings(), _assembler(), rf]).fit(te.transform(train))
             model = PipelineModel(stages=[te, *fitted.stages])
             val = model.transform(data.filter(F.col("fold") == k))
             acc = val.agg(F.avg((F.col("prediction") == F.col("label_d")).cast("double"))).first()[0]
