@@ -61,10 +61,22 @@ def split_df(spark, sf):
     return SP.stratified_split(dataset(spark, sf))
 
 
-def split_table(spark, sf):
-    """The split written once (read by several branches of a query)."""
+def split_table(spark, sf, cols=None):
+    """The split written once (read by several branches of a query); only
+    ``cols`` are computed and written (column pruning drops the rest)."""
     from ..session import materialize
-    return materialize(split_df(spark, sf), "split")
+    s = split_df(spark, sf)
+    return materialize(s.select(*cols) if cols else s, "split")
+
+
+BASELINE_COLS = ["ticket_id", "summary", "estimate", "logged_days", "risk_level", "region", "subsystem", "split"]
+
+
+def test_predictions_table(spark, sf):
+    """Ensembled test-split predictions written once (reports read them in
+    several branches)."""
+    from ..session import materialize
+    return materialize(test_predictions(spark, sf), "test-predictions")
 
 
 def ensemble_of(ds):
@@ -253,7 +265,7 @@ def q_join_features(spark, sf):
 
 
 def _baseline_preds(spark, sf):
-    s = split_table(spark, sf)
+    s = split_table(spark, sf, BASELINE_COLS)
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     return R.baseline_predictions(train, test)
 
@@ -461,13 +473,13 @@ def q_evaluate_effort(spark, sf):
 
 @query
 def q_evaluate_risk(spark, sf):
-    return M.evaluate_risk(test_predictions(spark, sf), "risk_level", "pred_risk")
+    return M.evaluate_risk(test_predictions_table(spark, sf), "risk_level", "pred_risk")
 
 
 # ---------------------------------------------------------------- 2.10 reports
 @query
 def q_baseline_report(spark, sf):
-    s = split_table(spark, sf)
+    s = split_table(spark, sf, BASELINE_COLS)
     train = s.filter(F.col("split") == "train")
     test = ensemble_of(s.filter(F.col("split") == "test"))
     return R.baseline_report(train, test, model_pred_log="pred_log")
@@ -475,7 +487,7 @@ def q_baseline_report(spark, sf):
 
 @query
 def q_error_report(spark, sf):
-    return R.error_report(test_predictions(spark, sf))
+    return R.error_report(test_predictions_table(spark, sf))
 
 
 @query
@@ -547,7 +559,7 @@ def q_vocabulary_topk(spark, sf):
 
 
 def _tfidf_model(spark, sf):
-    s = split_table(spark, sf)
+    s = split_table(spark, sf, ["ticket_id", "text", "split"])
     model, weights = TX.fit_transform_tfidf(s, F.col("split") == "train")
     return s, model, weights
 
