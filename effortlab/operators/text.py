@@ -55,10 +55,14 @@ def vocabulary_stats(tc: DataFrame, doc: str = "ticket_id") -> DataFrame:
 
 def vocabulary(stats: DataFrame, min_df: int = 2, max_features: int | None = 25_000) -> DataFrame:
     """Terms with df >= min_df; the ``max_features`` most frequent by corpus
-    frequency (ties by term).  ``term_idx`` is the alphabetical position."""
+    frequency (ties by term).  ``term_idx`` is the alphabetical position.
+
+    The vocabulary is broadcast and indexed in one task, so it must have a
+    size bound: ``max_features`` is required."""
+    if not max_features:
+        raise ValueError("max_features must bound the vocabulary size")
     v = stats.filter(F.col("df") >= min_df)
-    if max_features:
-        v = v.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+    v = v.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
     # <= max_features rows: a single-partition window is bounded.
     return v.withColumn("term_idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 

@@ -9,7 +9,7 @@ replayed micro-batch overwrites only its own ``batch_id`` partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +46,12 @@ RUNS_SCHEMA = T.StructType([
 def feedback_rows(requests: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     """Validated feedback requests -> store rows (UTC time, id, signed delta).
 
-    Ids are a hash of the batch and the row content, so recomputing a batch
-    after a lost executor yields the same ids.  Categories default to
-    'Unknown', description to ''.
+    Ids are the batch id, a hash of the row content and the row's position
+    in its input partition.  A file source splits the same files the same
+    way, so recomputing a batch after a lost executor yields the same ids;
+    identical requests still get distinct ids, without grouping them (one
+    request repeated many times can not overload a task).  Categories
+    default to 'Unknown', description to ''.
     """
     ok, _ = L.split_valid(requests)
     bid = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
@@ -69,10 +72,8 @@ def feedback_rows(requests: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     content = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
                                       for c in ["batch_id", "summary", "description", "region", "subsystem",
                                                 "commitments", "predicted_days", "actual_days"]])
-    # Identical requests inside one batch get distinct ids by occurrence.
-    rows = rows.withColumn("_content", F.sha2(content, 256))
-    occ = F.row_number().over(Window.partitionBy("_content").orderBy(F.lit(1)))
-    rows = rows.withColumn("id", F.concat_ws("-", F.col("_content"), occ.cast("string")))
+    rows = rows.withColumn("id", F.concat_ws("-", F.col("batch_id").cast("string"), F.sha2(content, 256),
+                                             F.monotonically_increasing_id().cast("string")))
     return rows.select(*FEEDBACK_SCHEMA.fieldNames())
 
 
