@@ -44,16 +44,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
     folder and is used as is.  Only when it is unset (local tests) a
-    scratch folder is created and recorded in the session.
+    scratch folder is created; it is recorded on the SparkContext.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
+        or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="effortlab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
