@@ -35,8 +35,9 @@ def filter_valid(df: DataFrame, target="logged_days", estimate="estimate",
 
 
 def risk_level(logged="logged_days", estimate="estimate") -> Column:
-    """0: ratio <= 1, 1: (1, 1.5], 2: > 1.5, else (NaN) 0."""
-    ratio = _c(logged) / _c(estimate)
+    """0: ratio <= 1, 1: (1, 1.5], 2: > 1.5, else (no ratio) 0.  ``try_divide``
+    keeps a zero estimate from failing under ANSI mode."""
+    ratio = F.try_divide(_c(logged), _c(estimate))
     return (F.when(ratio <= 1.0, 0).when(ratio <= 1.5, 1).when(ratio > 1.5, 2)
             .otherwise(0).cast("int"))
 

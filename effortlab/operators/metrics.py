@@ -15,7 +15,7 @@ def _c(c) -> Column:
 def r2_expr(y, p) -> Column:
     """1 - SSE / SST with SST = n * var_pop(y): one pass, no mean join."""
     y, p = _c(y), _c(p)
-    return 1.0 - F.sum((y - p) * (y - p)) / (F.count(y) * F.var_pop(y))
+    return 1.0 - F.try_divide(F.sum((y - p) * (y - p)), F.count(y) * F.var_pop(y))
 
 
 def mae_expr(y, p) -> Column:
