@@ -190,14 +190,24 @@ register("word_count", feat(["word_count"]))
 register("seconds_to_workdays", T_ONLY + "select ticket_id, time_spent, time_spent / 28800.0 as logged_days from tickets")
 
 _J = "replace({c}, '''', '\"')"
-_REGION = f"""case when j is not null and json_valid(j) and json_type(j) = 'ARRAY' and json_array_length(j) > 0
-  then array_to_string(list_sort(list_transform(list_filter(from_json(j, '["JSON"]'), lambda x: json_type(x) = 'OBJECT'),
+def region_sql(j: str) -> str:
+    return f"""case when {j} is not null and json_valid({j}) and json_type({j}) = 'ARRAY' and json_array_length({j}) > 0
+  then array_to_string(list_sort(list_transform(list_filter(from_json({j}, '["JSON"]'), lambda x: json_type(x) = 'OBJECT'),
        lambda x: coalesce(x ->> 'value', 'БАЗОВЫЙ'))), ', ')
   else 'БАЗОВЫЙ' end"""
-_SUBSYSTEM = """case when j is not null and json_valid(j) and json_type(j) = 'OBJECT' and (j ->> 'value') is not null
-  then rtrim(concat(j ->> 'value', '/', coalesce(j -> 'child' ->> 'value', '')), '/') else '' end"""
-_COMMIT = """case when j is not null and json_valid(j) and json_type(j) = 'OBJECT' and (j ->> 'value') is not null
-  then j ->> 'value' else '' end"""
+
+
+def subsystem_sql(j: str) -> str:
+    return f"""case when {j} is not null and json_valid({j}) and json_type({j}) = 'OBJECT' and ({j} ->> 'value') is not null
+  then rtrim(concat({j} ->> 'value', '/', coalesce({j} -> 'child' ->> 'value', '')), '/') else '' end"""
+
+
+def commitments_sql(j: str) -> str:
+    return f"""case when {j} is not null and json_valid({j}) and json_type({j}) = 'OBJECT' and ({j} ->> 'value') is not null
+  then {j} ->> 'value' else '' end"""
+
+
+_REGION, _SUBSYSTEM, _COMMIT = region_sql("j"), subsystem_sql("j"), commitments_sql("j")
 register("parse_region", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_REGION} as region from (select ticket_id, {_J.format(c='region_raw')} as j from tickets_raw)")
 register("parse_subsystem", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_SUBSYSTEM} as subsystem from (select ticket_id, {_J.format(c='subsystem_raw')} as j from tickets_raw)")
 register("parse_commitments", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_COMMIT} as commitments from (select ticket_id, {_J.format(c='commitments_raw')} as j from tickets_raw)")
@@ -424,3 +434,16 @@ select 'feedback', cast(id as varchar), {features_sql('text', 'description')},
  actual_days
 from (select id, coalesce(description, '') as description, region, subsystem, commitments, actual_days,
   {strip("concat(summary, ' ', coalesce(description, ''))")} as text from feedback where is_used_for_training = 0)""")
+
+register("prepare_dataset_raw", with_(TICKETS, TICKETS_RAW) + f""", parsed as (
+ select t.ticket_id, t.summary, t.description, t.time_spent, t.estimate,
+  {region_sql('jr')} as region, {subsystem_sql('js')} as subsystem, {commitments_sql('jc')} as commitments
+ from tickets t join (select ticket_id, {_J.format(c='region_raw')} as jr, {_J.format(c='subsystem_raw')} as js,
+   {_J.format(c='commitments_raw')} as jc from tickets_raw) r using (ticket_id)),
+ds as (
+ select ticket_id, summary, description, text, estimate, logged_days, {RISK} as risk_level,
+  region, subsystem, commitments, {features_sql()}
+ from (select *, concat(summary, ' ', description) as text, time_spent / 28800.0 as logged_days
+       from parsed
+       where time_spent is not null and estimate is not null and estimate > 0 and estimate <= 10))
+select * from ds""")

@@ -25,6 +25,8 @@ def prepare_dataset(seed: DataFrame, parse_literals: bool = False, strip_text: b
     moves it under the feature projection and into the scan, so features are
     computed for kept rows only.
     """
+    if "ticket_id" not in seed.columns and "key" in seed.columns:
+        seed = seed.withColumn("ticket_id", F.col("key"))          # export key as the stable id
     df = L.filter_valid(seed.withColumn("logged_days", L.to_workdays("time_spent")))
     df = T.fill_text(df)
     df = df.withColumn("text", T.concat_text("summary", "description", strip=strip_text))

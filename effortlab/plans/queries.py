@@ -836,3 +836,9 @@ def q_augment_with_feedback(spark, sf):
     from . import jobs as JB
     cv = split_df(spark, sf).filter(F.col("split").isin("train", "val"))
     return JB.augment(cv, ST.unused_rows(S.feedback(spark, sf)))
+
+
+@query
+def q_prepare_dataset_raw(spark, sf):
+    """seed (option fields as literal text) -> dataset, parsing included."""
+    return PR.prepare_dataset(S.seed(spark, sf), parse_literals=True)
