@@ -104,3 +104,36 @@ def test_feedback_stream_counts(spark, tmp_dir):
     r = spark.sql("select * from fb_totals_test").first()
     assert r.feedback_count == 54 and r.retrain_ready
     assert math.isfinite(c)
+
+
+def test_score_response_columns(spark, trained):
+    reqs = spark.createDataFrame([(1, "Implement login", "", None, None, None)],
+                                 "ticket_id long, summary string, description string, region string, "
+                                 "subsystem string, commitments string")
+    r = trained.bundle.score(reqs).first()
+    assert r.predicted_time_hours >= 0 and r.adjusted_time_with_buffer_hours >= r.predicted_time_hours
+    p = r.risk_profile
+    assert abs(p.low_risk_prob_pct + p.medium_risk_prob_pct + p.critical_risk_prob_pct - 100.0) < 0.2
+    assert r.model_run_id == trained.bundle.run_id
+
+
+def test_blank_summary_rejected_by_stream(spark, trained, tmp_dir):
+    src, sink, ckpt = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ckpt"))
+    rows = [(1, "   ", "", "r", "s", "c"), (2, "Fix bug", "", "r", "s", "c")]
+    spark.createDataFrame(rows, SJ.REQUEST_SCHEMA).write.parquet(src)
+    SJ.score_stream(spark, src, trained.bundle, sink, ckpt).awaitTermination()
+    assert [r.ticket_id for r in spark.read.parquet(sink).collect()] == [2]
+    assert [r.ticket_id for r in spark.read.parquet(sink + "_rejected").collect()] == [1]
+
+
+def test_retrain_threshold_skip_and_dry_run(spark, tmp_dir):
+    from effortlab.plans import jobs as JB
+    fb, marks, runs = (os.path.join(tmp_dir, x) for x in ("fb", "marks", "runs"))
+    rows = [(f"Task {i}", "", "r", "s", "c", 1.0, 2.0) for i in range(12)]
+    ST.append_feedback(spark.createDataFrame(rows, "summary string, description string, region string, "
+                                                   "subsystem string, commitments string, predicted_days double, "
+                                                   "actual_days double"), fb, 0)
+    res = JB.retrain_job(spark, None, None, fb, marks, runs)
+    assert (res.status, res.unused) == ("skipped", 12)
+    res = JB.retrain_job(spark, None, None, fb, marks, runs, threshold=10, dry_run=True)
+    assert res.status == "would_retrain"
