@@ -121,20 +121,30 @@ def _persisted(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _run_folds(fit_fold, folds: int, parallelism: int):
+    """Fit the folds from a small driver thread pool: each fold's jobs are
+    small, so concurrent folds keep the executors busy.  Every fold is
+    seeded and independent, so results do not depend on the concurrency."""
+    from concurrent.futures import ThreadPoolExecutor
+    if parallelism <= 1:
+        return [fit_fold(k) for k in range(folds)]
+    with ThreadPoolExecutor(max_workers=min(parallelism, folds)) as pool:
+        return list(pool.map(fit_fold, range(folds)))
+
+
 def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
-                    params: EffortParams | None = None) -> FoldEnsemble:
+                    params: EffortParams | None = None, parallelism: int = 5) -> FoldEnsemble:
     """``cv`` carries model inputs, ``fold`` and the target (days)."""
     p = params or EffortParams()
     data = _persisted(cv.withColumn("y_log", F.log1p(F.col(target))))
     try:
         bounds = {r["fold"]: (r["lower"], r["upper"]) for r in SP.fold_bounds(data, folds, target).collect()}
-        models, scores = [], []
-        for k in range(folds):
+
+        def fit_fold(k):
             lo, hi = bounds[k]
             train = data.filter((F.col("fold") != k) & F.col(target).between(lo, hi))
             te = _target_encoder("y_log", p.smoothing).fit(train)
-            both = te.transform(data.filter((F.col("fold") != k) & F.col(target).between(lo, hi))
-                                .unionByName(data.filter(F.col("fold") == k))
+            both = te.transform(train.unionByName(data.filter(F.col("fold") == k))
                                 .withColumn("is_val", F.col("fold") == k))
             gbt = GBTRegressor(labelCol="y_log", featuresCol="features", maxIter=p.max_iter,
                                maxDepth=p.max_depth, stepSize=p.step_size, seed=p.seed + k,
@@ -143,20 +153,20 @@ def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
             model = PipelineModel(stages=[te, *fitted.stages])
             val = model.transform(data.filter(F.col("fold") == k))
             score = val.agg(r2_expr(F.col(target), F.greatest(F.expm1("prediction"), F.lit(0.0)))).first()[0]
-            models.append(model)
-            scores.append(float(score) if score is not None else float("nan"))
-        return FoldEnsemble("effort", models, scores)
+            return model, float(score) if score is not None else float("nan")
+
+        out = _run_folds(fit_fold, folds, parallelism)
+        return FoldEnsemble("effort", [m for m, _ in out], [sc for _, sc in out])
     finally:
         data.unpersist()
 
 
 def train_risk_cv(cv: DataFrame, folds: int = 5, label: str = "risk_level",
-                  params: RiskParams | None = None) -> FoldEnsemble:
+                  params: RiskParams | None = None, parallelism: int = 5) -> FoldEnsemble:
     p = params or RiskParams()
     data = _persisted(with_class_weight(cv, label, "weight").withColumn("label_d", F.col(label).cast("double")))
     try:
-        models, scores = [], []
-        for k in range(folds):
+        def fit_fold(k):
             train = data.filter(F.col("fold") != k)
             te = _target_encoder("label_d", p.smoothing).fit(train)
             rf = RandomForestClassifier(labelCol="label_d", featuresCol="features", weightCol="weight",
@@ -165,9 +175,10 @@ def train_risk_cv(cv: DataFrame, folds: int = 5, label: str = "risk_level",
             model = PipelineModel(stages=[te, *fitted.stages])
             val = model.transform(data.filter(F.col("fold") == k))
             acc = val.agg(F.avg((F.col("prediction") == F.col("label_d")).cast("double"))).first()[0]
-            models.append(model)
-            scores.append(float(acc) if acc is not None else float("nan"))
-        return FoldEnsemble("risk", models, scores)
+            return model, float(acc) if acc is not None else float("nan")
+
+        out = _run_folds(fit_fold, folds, parallelism)
+        return FoldEnsemble("risk", [m for m, _ in out], [sc for _, sc in out])
     finally:
         data.unpersist()
 
