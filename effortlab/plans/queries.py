@@ -570,11 +570,18 @@ def q_tfidf(spark, sf):
     return _tfidf_model(spark, sf)[2]
 
 
+_LSA: dict = {}
+
+
 def _lsa(spark, sf, k=32):
-    s, model, weights = _tfidf_model(spark, sf)
-    train_w = weights.join(s.filter(F.col("split") == "train").select("ticket_id"), "ticket_id", "left_semi")
-    lsa = TX.fit_lsa(train_w, model.size, k)
-    return s, model, weights, train_w, lsa
+    """Fit once per session and scale factor (fitted models in the driver;
+    the tables they refer to are written to the checkpoint folder)."""
+    key = (id(spark), sf, k)
+    if key not in _LSA:
+        s, model, weights = _tfidf_model(spark, sf)
+        train_w = weights.join(s.filter(F.col("split") == "train").select("ticket_id"), "ticket_id", "left_semi")
+        _LSA[key] = (s, model, weights, train_w, TX.fit_lsa(train_w, model.size, k))
+    return _LSA[key]
 
 
 @query
