@@ -1,0 +1,23 @@
+"""Batched embedding inference through predict_batch_udf."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from effortlab.operators import embed as EM
+from tests.conftest import SF001
+
+
+def test_embed_batches_unit_vectors_and_deterministic(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    a = EM.embed_batches(docs, EM.hashing_embedder(dim=16), "text", batch_size=8)
+    b = EM.embed_batches(docs.repartition(3), EM.hashing_embedder(dim=16), "text", batch_size=5)
+    ra = {r.doc_id: np.array(r.embedding) for r in a.collect()}
+    rb = {r.doc_id: np.array(r.embedding) for r in b.collect()}
+    assert len(ra) == docs.count() and set(ra) == set(rb)
+    for k, v in ra.items():
+        assert v.shape == (16,) and np.allclose(v, rb[k], atol=1e-6)
+        n = np.linalg.norm(v)
+        assert np.isclose(n, 1.0, atol=1e-5) or n == 0.0
+    empty = spark.createDataFrame([(1, "")], "doc_id int, text string")
+    assert EM.embed_batches(empty, EM.hashing_embedder(dim=4), "text").first().embedding == [0.0] * 4
+    assert F is not None
