@@ -44,15 +44,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
     folder and is used as is.  Only when it is unset (local tests) a
-    scratch folder is created; it is recorded on the SparkContext.
+    scratch folder is created; it is recorded on the SparkContext (or, for
+    sessions without one, in the session conf).
     """
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
-        or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        sc = None
+    path = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None) \
+        or (sc.getConf().get("spark.checkpoint.dir", None) if sc else None)
     if not path:
         path = tempfile.mkdtemp(prefix="effortlab-ckpt-")
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
+    elif sc is None:
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - static in some deployments
+            pass
     return path
 
 
