@@ -447,3 +447,8 @@ ds as (
        from parsed
        where time_spent is not null and estimate is not null and estimate > 0 and estimate <= 10))
 select * from ds""")
+
+register("flatten_issues", T_ONLY + """select concat('T-', cast(ticket_id as varchar)) as "key", summary, description,
+ cast(time_spent as double) as time_spent, estimate, cast(created_at as varchar) as created,
+ case when ticket_id % 5 <> 0 then region else 'БАЗОВЫЙ' end as region,
+ rtrim(concat(region, '/', subsystem), '/') as subsystem, commitments from tickets""")
