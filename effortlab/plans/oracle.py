@@ -452,3 +452,9 @@ register("flatten_issues", T_ONLY + """select concat('T-', cast(ticket_id as var
  cast(time_spent as double) as time_spent, estimate, cast(created_at as varchar) as created,
  case when ticket_id % 5 <> 0 then region else 'БАЗОВЫЙ' end as region,
  rtrim(concat(region, '/', subsystem), '/') as subsystem, commitments from tickets""")
+
+# Empty text fields read back as null (default NA parsing); fill_text turns them into ''.
+register("read_seed_csv", with_(TICKETS, TICKETS_RAW) + """select cast(ticket_id as varchar) as "key", summary,
+ nullif(description, '') as description,
+ cast(time_spent as double) as time_spent, estimate, region_raw as region, subsystem_raw as subsystem,
+ commitments_raw as commitments from tickets join tickets_raw using (ticket_id)""")
