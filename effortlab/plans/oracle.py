@@ -458,3 +458,10 @@ register("read_seed_csv", with_(TICKETS, TICKETS_RAW) + """select cast(ticket_id
  nullif(description, '') as description,
  cast(time_spent as double) as time_spent, estimate, region_raw as region, subsystem_raw as subsystem,
  commitments_raw as commitments from tickets join tickets_raw using (ticket_id)""")
+
+register("write_splits", with_(TICKETS, DATASET, SPLIT) + "select split, count(*) as n_rows from split group by split")
+register("feedback_stream", with_(FEEDBACK) + f"""select count(*) as total, count(*) as unused, count(*) >= 50 as retrain_ready,
+ greatest(0, 50 - count(*)) as remaining from feedback where length({strip('summary')}) > 0""")
+register("read_features_csv", with_(TICKETS, DATASET, SPLIT) + """select text, estimate, logged_days, risk_level, region, subsystem,
+ commitments, has_description, has_code_block, is_dev_task, is_test_task, is_analysis_task, text_len, word_count
+ from split where split = 'train'""")

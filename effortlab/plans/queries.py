@@ -791,7 +791,8 @@ def q_read_seed_csv(spark, sf):
     path = _scratch(spark, "seed-csv")
     seed = S.seed(spark, sf).select(F.col("ticket_id").cast("string").alias("key"), "summary", "description",
                                    "time_spent", "estimate", "region", "subsystem", "commitments")
-    seed.write.option("header", True).option("escape", '"').csv(path)
+    (seed.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return CSV.read_seed(spark, path)
 
 

@@ -62,6 +62,8 @@ def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "par
     prunes the others at planning time."""
     w = df.write.mode("overwrite").partitionBy(split)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        # The CSV writer trims values by default; text must round-trip exactly.
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
