@@ -97,3 +97,16 @@ def test_schema_evolve(spark):
     got = {r.id: r.description for r in ST.union_evolved(old, new, {"description": ""}).collect()}
     assert got == {1: "", 2: "x"}
     assert F is not None
+
+
+def test_split_csv_round_trip_keeps_whitespace(spark, tmp_dir):
+    cols = CSV.SPLIT_COLUMNS
+    row = ["Task  ", 3.0, 1.0, 0, " r", "s ", "c", 1, 0, 0, 0, 0, 6, 1]
+    schema = ("text string, estimate double, logged_days double, risk_level int, region string, subsystem string, "
+              "commitments string, has_description int, has_code_block int, is_dev_task int, is_test_task int, "
+              "is_analysis_task int, text_len int, word_count int")
+    df = spark.createDataFrame([row], schema).withColumn("split", F.lit("train"))
+    path = os.path.join(tmp_dir, "splits")
+    CSV.write_splits(df, path, fmt="csv")
+    back = CSV.read_split(spark, os.path.join(path, "split=train")).select(*cols).first()
+    assert list(back) == row
