@@ -465,3 +465,8 @@ register("feedback_stream", with_(FEEDBACK) + f"""select count(*) as total, coun
 register("read_features_csv", with_(TICKETS, DATASET, SPLIT) + """select text, estimate, logged_days, risk_level, region, subsystem,
  commitments, has_description, has_code_block, is_dev_task, is_test_task, is_analysis_task, text_len, word_count
  from split where split = 'train'""")
+
+register("feedback_append", with_(FEEDBACK) + f"""select summary, coalesce(description, '') as description,
+ coalesce(region, 'Unknown') as region, coalesce(subsystem, 'Unknown') as subsystem, coalesce(commitments, 'Unknown') as commitments,
+ predicted_days, actual_days, delta_pct, cast(0 as bigint) as batch_id, 0 as is_used_for_training
+from feedback where length({strip('summary')}) > 0""")
