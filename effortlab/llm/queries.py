@@ -10,12 +10,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, chat_template, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, toxicity_nb, training_order
+from .common import Scratch, held_out, table
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Shares of the tokens: the source that holds a third of all rows is brought
+#: down, the topics are evened out.
+MIX_TARGETS = {
+    "source": {"src0": 0.25, mixing.OTHER: 0.75},
+    "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
+    "topic": {f"t{i}": 0.12 for i in range(8)} | {mixing.OTHER: 0.04},
+}
+
+
+def op1_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op2_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity_nb.fit(docs, labels.filter(~out))
+    return toxicity_nb.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode(docs, BYTE_BPE, decode=True)
@@ -23,9 +45,75 @@ def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_template.digest(chat_template.format_conversations(turns))
+
+
+def op5_sharding_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+
+
+def op6_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    known = Scratch(spark, "mixing").put(mixing.describe(docs).drop("text"), "described")
+    return mixing.mix(known, MIX_TARGETS).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "taken")
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op8").path("out")
+    manifest = training_order.write(table(spark, sf_dir, "documents"), path, RANKS, public_tokenizers.PATTERN)
+    found = training_order.read(spark, path).drop("ids", "shard", "offset", "n_tokens")
+    return manifest.join(found, "slot").select("slot", "shard", "offset", "n_tokens", "crc32", "doc_ids")
+
+
+def op9_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_trie.components_by_jaccard(docs, n=5, percent=80)
+
+
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = quality_gam.fit(docs, labels.filter(~out))
+    return quality_gam.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_pivot_index": op1_pivot_index,
+    "op2_toxicity_nb": op2_toxicity_nb,
     "op3_bpe_trie": op3_bpe_trie,
+    "op4_chat_template": op4_chat_template,
+    "op5_sharding_bfd": op5_sharding_bfd,
+    "op6_mixing_ipf": op6_mixing_ipf,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_training_order": op8_training_order,
+    "op9_jaccard_trie": op9_jaccard_trie,
+    "op10_quality_gam": op10_quality_gam,
 }
 
 #: Queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_pivot_index": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+        k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(c.b, vec_id)) AS kept
+        FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
+}
