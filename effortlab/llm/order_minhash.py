@@ -53,10 +53,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str, *, k: int = K) -> DataF
     """``df`` with ``out``: one long per part, null where the text fills it not."""
     step = f"__{out}"
     df = df.withColumn(step, F.filter(F.split(F.col(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    kmers = F.col(step)
-    for i in range(1, k):
+    kmers = F.transform(F.col(step), lambda w: F.xxhash64(w))
+    for i in range(1, k):                                # lengthened word by word
         kmers = F.zip_with(kmers, F.slice(F.col(step), i + 1, F.greatest(F.size(step), F.lit(1))),
-                           lambda a, b, i=i: F.xxhash64(a, b, F.lit(i)))
+                           lambda a, b: F.xxhash64(a, b))
     top = ((1 << 63) - 1) ^ ((1 << _PLACE) - 1)
     packed = F.transform(kmers, lambda h, i: h.bitwiseAND(_long(top)).bitwiseOR(
         i.cast("bigint").bitwiseAND(_long((1 << _PLACE) - 1))))
