@@ -23,8 +23,22 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_QUOTED = r"""'(?:[^'\\\\]|\\\\.)*'|"(?:[^"\\\\]|\\\\.)*\""""
+# A list or dict (with one level of lists or dicts inside) and nothing after it,
+# once quoted strings are emptied.
+_WHOLE = r"^(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\})$"
+
+
 def _json_text(raw: Column) -> Column:
-    return F.trim(raw)
+    """Literal text in JSON's spelling: ``\\xNN`` escapes as ``\\u00NN``, no comma
+    before a closing bracket (outside of quotes); null if anything follows the
+    value."""
+    text = F.trim(raw)
+    bare = F.regexp_replace(text, _QUOTED, "''")
+    text = F.regexp_replace(text, "(" + _QUOTED + r")|,(?=\s*[\]}])", "$1")
+    # An escaped backslash before an x is no escape of a character.
+    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    return F.when(bare.rlike(_WHOLE), text)
 
 
 def _with_python_tokens(raw: Column) -> Column:
@@ -35,10 +49,11 @@ def _with_python_tokens(raw: Column) -> Column:
 
 
 def _parse(raw: Column, schema: str) -> Column:
-    first = F.from_json(raw, schema)
+    options = {"allowBackslashEscapingAnyCharacter": "true"}
+    first = F.from_json(raw, schema, options)
     # Python tokens make Spark's parser null the whole value; retry only then,
     # so a quoted 'None' inside a value is never rewritten.
-    return F.when(first.isNull(), F.from_json(_with_python_tokens(raw), schema)).otherwise(first)
+    return F.when(first.isNull(), F.from_json(_with_python_tokens(raw), schema, options)).otherwise(first)
 
 
 def parse_region(raw="region") -> Column:
@@ -56,7 +71,7 @@ def parse_region(raw="region") -> Column:
         lambda x: F.coalesce(F.from_json(x, _OPTION).getField("value"), F.lit(DEFAULT_REGION)),
     )
     joined = F.array_join(F.array_sort(values), ", ")
-    return (F.when(is_list & (F.size(items) > 0), joined)
+    return (F.when(F.coalesce(is_list, F.lit(False)) & (F.size(items) > 0), joined)
             .otherwise(F.lit(DEFAULT_REGION)))
 
 

@@ -1,38 +1,17 @@
-"""Join helpers: size-checked broadcast and lookups with a fallback value."""
+"""Join helpers: lookups with a fallback value, marks, anti joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a lookup table is broadcast.  Above it the join is
-# left to the planner (sort-merge, or AQE's runtime broadcast when the
-# materialised side turns out small).
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count (one cheap job on
-    an already aggregated table); otherwise return it unchanged."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def lookup_with_fallback(df: DataFrame, stats: DataFrame, key: str, value: str,
-                         default: Column, out: str | None = None,
-                         max_broadcast_rows: int = MAX_BROADCAST_ROWS, persist: bool = True) -> DataFrame:
+                         default: Column, out: str | None = None) -> DataFrame:
     """Map each row's ``key`` to ``stats.value``; unseen or null keys get
-    ``default`` (a column, e.g. a scalar subquery).
-
-    ``persist`` writes the (aggregated) stats once to the checkpoint folder,
-    so the row check and the join read the same small table instead of
-    recomputing it."""
+    ``default`` (a column, e.g. a scalar subquery).  Whether the statistics are
+    broadcast is left to adaptive execution, which knows their size in bytes."""
     out = out or value
     s = stats.select(F.col(key).alias("_lk"), F.col(value).alias("_lv"))
-    if persist:
-        from ..session import materialize
-        s = materialize(s, "lookup")
-    s = sized_broadcast(s, max_broadcast_rows)
     j = df.join(s, df[key] == s["_lk"], "left")
     return j.withColumn(out, F.coalesce(F.col("_lv"), default)).drop("_lk", "_lv")
 

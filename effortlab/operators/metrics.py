@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import median
+from .quantiles import exact_median
 
 
 def _c(c) -> Column:
@@ -39,37 +40,18 @@ def rmse(df: DataFrame, y="y", p="p") -> DataFrame:
     return df.agg(rmse_expr(y, p).alias("rmse"))
 
 
-# Above this many rows a global median of a continuous value is found by
-# distributed selection instead of Spark's one-task value map.
-SELECT_ABOVE_ROWS = 1_000_000
+def global_median(df: DataFrame, expr: Column, accuracy: int | None = None) -> Column:
+    """Median of an expression over all of ``df``, as a column of an aggregate:
+    exact (see ``quantiles``), or a bounded sketch with ``accuracy``."""
+    return F.percentile_approx(expr, 0.5, accuracy) if accuracy else exact_median(df, expr).scalar()
 
 
-def continuous_median(df: DataFrame, expr: Column, method: str = "auto",
-                      accuracy: int | None = None) -> Column:
-    """Global median of a continuous expression as an aggregate column.
-
-    method: 'map' (exact ``percentile``), 'approx' (``percentile_approx``),
-    'select' (exact distributed selection, see ``quantiles``) or 'auto'
-    ('select' above SELECT_ABOVE_ROWS rows, else 'map')."""
-    if accuracy or method == "approx":
-        return F.percentile_approx(expr, 0.5, accuracy or 10_000)
-    if method == "auto":
-        method = "select" if df.count() > SELECT_ABOVE_ROWS else "map"
-    if method == "select":
-        from .quantiles import exact_quantile
-        v = exact_quantile(df.select(expr.alias("_m")), "_m", 0.5)
-        return F.lit(v).cast("double")
-    return F.percentile(expr, 0.5)
-
-
-def error_distribution_exprs(y, p, accuracy: int | None = None, df: DataFrame | None = None,
-                             method: str = "map") -> list[Column]:
+def error_distribution_exprs(df: DataFrame, y, p, accuracy: int | None = None) -> list[Column]:
     err = _c(p) - _c(y)
     ae = F.abs(err)
-    med = continuous_median(df, ae, method, accuracy) if df is not None else median(ae, accuracy)
     return [
         F.stddev_pop(err).alias("error_std"),
-        med.alias("median_abs_error"),
+        global_median(df, ae, accuracy).alias("median_abs_error"),
         F.max(ae).alias("max_abs_error"),
         F.avg((ae <= 0.25).cast("double")).alias("share_within_0_25"),
         F.avg((ae <= 0.5).cast("double")).alias("share_within_0_5"),
@@ -78,23 +60,21 @@ def error_distribution_exprs(y, p, accuracy: int | None = None, df: DataFrame |
     ]
 
 
-def error_distribution(df: DataFrame, y="y", p="p", accuracy: int | None = None,
-                       method: str = "auto") -> DataFrame:
-    return df.agg(*error_distribution_exprs(y, p, accuracy, df, method))
+def error_distribution(df: DataFrame, y="y", p="p", accuracy: int | None = None) -> DataFrame:
+    return df.agg(*error_distribution_exprs(df, y, p, accuracy))
 
 
-def mdape(df: DataFrame, y="y", p="p", accuracy: int | None = None, method: str = "auto") -> DataFrame:
+def mdape(df: DataFrame, y="y", p="p", accuracy: int | None = None) -> DataFrame:
     """Median absolute percentage error (%) over rows with y != 0."""
     ape = F.when(_c(y) != 0, F.abs(_c(y) - _c(p)) / F.abs(_c(y)) * 100.0)
-    return df.agg(continuous_median(df, ape, method, accuracy).alias("mdape"))
+    return df.agg(global_median(df, ape, accuracy).alias("mdape"))
 
 
-def evaluate_effort(df: DataFrame, y="y", p="p", accuracy: int | None = None,
-                    method: str = "auto") -> DataFrame:
+def evaluate_effort(df: DataFrame, y="y", p="p", accuracy: int | None = None) -> DataFrame:
     """r2, mae, rmse and error shares in one aggregate."""
     return df.agg(r2_expr(y, p).alias("r2"), mae_expr(y, p).alias("mae"),
                   rmse_expr(y, p).alias("rmse"), F.count(F.lit(1)).alias("n"),
-                  *error_distribution_exprs(y, p, accuracy, df, method))
+                  *error_distribution_exprs(df, y, p, accuracy))
 
 
 def grouped_errors(df: DataFrame, key: str, actual="actual_days", abs_error="abs_error_days",

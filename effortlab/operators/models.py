@@ -32,6 +32,7 @@ from ..functions import labels as L
 from ..functions import text as T
 from . import ensemble as EN
 from . import split as SP
+from . import text as TX
 from .aggregates import with_class_weight
 from .metrics import r2_expr
 
@@ -62,9 +63,15 @@ class RiskParams:
     seed: int = 42
 
 
+def with_default_categories(df: DataFrame) -> DataFrame:
+    """Null, empty or absent categories become 'Unknown'."""
+    return df.withColumns({c: L.default_category(c) if c in df.columns else F.lit(L.UNKNOWN) for c in CATS})
+
+
 def category_indexer(df: DataFrame) -> StringIndexerModel:
-    """Index the three categoricals; unseen values get the extra index."""
-    return StringIndexer(inputCols=CATS, outputCols=IDX, handleInvalid="keep").fit(df)
+    """Index the three categoricals.  A missing value is the category 'Unknown'
+    like any other; values not seen here get the extra index."""
+    return StringIndexer(inputCols=CATS, outputCols=IDX, handleInvalid="keep").fit(with_default_categories(df))
 
 
 def model_input(df: DataFrame, emb: str = "embedding") -> DataFrame:
@@ -136,7 +143,7 @@ def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
                     params: EffortParams | None = None, parallelism: int = 5) -> FoldEnsemble:
     """``cv`` carries model inputs, ``fold`` and the target (days)."""
     p = params or EffortParams()
-    data = _persisted(cv.withColumn("y_log", F.log1p(F.col(target))))
+    data = _persisted(cv.filter(F.col(target).isNotNull()).withColumn("y_log", F.log1p(F.col(target))))
     try:
         bounds = {r["fold"]: (r["lower"], r["upper"]) for r in SP.fold_bounds(data, folds, target).collect()}
 
@@ -164,10 +171,10 @@ def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
 def train_risk_cv(cv: DataFrame, folds: int = 5, label: str = "risk_level",
                   params: RiskParams | None = None, parallelism: int = 5) -> FoldEnsemble:
     p = params or RiskParams()
-    data = _persisted(with_class_weight(cv, label, "weight").withColumn("label_d", F.col(label).cast("double")))
+    data = _persisted(cv.filter(F.col(label).isNotNull()).withColumn("label_d", F.col(label).cast("double")))
     try:
         def fit_fold(k):
-            train = data.filter(F.col("fold") != k)
+            train = with_class_weight(data.filter(F.col("fold") != k), label, "weight")
             te = _target_encoder("label_d", p.smoothing).fit(train)
             rf = RandomForestClassifier(labelCol="label_d", featuresCol="features", weightCol="weight",
                                         numTrees=p.num_trees, maxDepth=p.max_depth, seed=p.seed + k)
@@ -202,18 +209,15 @@ class Bundle:
 
 
 def featurize(df: DataFrame, tfidf, lsa, indexer: StringIndexerModel, doc: str = "ticket_id",
-              strip: bool = True, weights: DataFrame | None = None) -> DataFrame:
+              strip: bool = True) -> DataFrame:
     """Requests/tickets -> model inputs: text, the 7 features, LSA
-    embedding, category indices.  Missing categories become 'Unknown'.
-    ``weights`` are precomputed TF-IDF rows of the same documents."""
+    embedding, category indices.  Missing categories become 'Unknown'.  Each
+    row is featurised by itself: ids may be missing or repeated."""
     d = T.fill_text(df) if "description" in df.columns else df.withColumn("description", F.lit(""))
     d = d.withColumn("text", T.concat_text("summary", "description", strip=strip))
     d = T.text_features(d, "text", "description")
-    d = d.withColumns({c: L.default_category(c) if c in d.columns else F.lit(L.UNKNOWN) for c in CATS})
-    w = weights if weights is not None else tfidf.transform(d, doc)
-    emb = lsa.transform(w, doc, docs=d.select(doc))
-    d = d.join(emb, doc, "left")
-    return model_input(indexer.transform(d))
+    d = with_default_categories(d)
+    return model_input(indexer.transform(TX.embed_texts(d, tfidf, lsa)))
 
 
 def score_batch(df: DataFrame, bundle: Bundle, doc: str = "ticket_id") -> DataFrame:

@@ -1,70 +1,35 @@
-"""Exact quantiles of a continuous column without a one-task value map.
+"""Exact median of any column, at any size, without a one-task value map.
 
-Spark's exact ``percentile`` merges a value -> count map of the whole group
-in one task: fine when the values have a bounded domain (durations in
-whole seconds), not for continuous values at scale.  Here the k-th smallest
-value is found by narrowing a value bracket: each pass counts the rows of
-the bracket per sub-range (a distributed histogram over ``fanout`` cut
-points from ``approxQuantile``), keeps the sub-range holding rank k, and
-once the bracket holds at most ``collect_limit`` rows, only those rows are
-collected and sorted.  Every pass shrinks the bracket ~``fanout``-fold, so
-10^12 rows need about four passes.  The result equals the exact
-linear-interpolation percentile (numpy's default).
+Spark's ``percentile`` merges a value -> count map in one task.  Here equal
+values are counted first (combined map-side, so a frequent value is no hot
+key), the counts are range-partitioned by value, and the totals of the
+partitions say where the middle ranks lie.  Nothing is collected.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _bracket(df: DataFrame, col: str, lo: float = -math.inf, hi: float = math.inf) -> DataFrame:
-    """Non-null, non-NaN values in [lo, hi)."""
-    c = F.col(col).cast("double")
-    cond = c.isNotNull() & ~F.isnan(c) & (c >= F.lit(lo)) & (c < F.lit(hi))
-    return df.filter(cond).select(c.alias("v"))
-
-
-def kth_smallest(df: DataFrame, col: str, k: int, fanout: int = 1000, collect_limit: int = 100_000,
-                 max_passes: int = 16) -> float:
-    """The k-th smallest (0-based) non-null value of ``col``."""
-    lo, hi, base = -math.inf, math.inf, 0          # bracket [lo, hi); base = rows < lo
-    for _ in range(max_passes):
-        sub = _bracket(df, col, lo, hi)
-        st = sub.agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
-        if st.mn == st.mx:
-            return float(st.mn)
-        if st.n <= collect_limit:
-            vals = sorted(r.v for r in sub.collect())          # <= collect_limit rows
-            return float(vals[k - base])
-        cuts = sub.approxQuantile("v", [i / fanout for i in range(1, fanout)], 1.0 / (4 * fanout))
-        inner = sorted({c for c in cuts if st.mn < c <= st.mx})
-        if not inner:          # a run of the minimum covers every cut: split it off
-            inner = [sub.filter(F.col("v") > st.mn).agg(F.min("v")).first()[0]]
-        splits = [lo] + inner + [hi]
-        b = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(sub)
-        hist = sorted((int(r.b), r.n) for r in b.groupBy("b").agg(F.count("v").alias("n")).collect())
-        acc = base
-        for bucket, n in hist:                                 # <= fanout rows
-            if acc + n > k:
-                lo, hi, base = splits[bucket], splits[bucket + 1], acc
-                break
-            acc += n
-    raise RuntimeError("quantile selection did not converge")
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:
-    """Linear-interpolation quantile (numpy/``percentile`` semantics)."""
-    n = _bracket(df, col).count()
-    if n == 0:
-        return None
-    h = (n - 1) * q
-    lo_k, hi_k = math.floor(h), math.ceil(h)
-    a = kth_smallest(df, col, lo_k, **kw)
-    if hi_k == lo_k:
-        return a
-    b = kth_smallest(df, col, hi_k, **kw)
-    return a + (h - lo_k) * (b - a)
+from ..session import materialize
+
+
+def exact_median(df: DataFrame, value: Column, out: str = "median") -> DataFrame:
+    """One row: the median of the non-null values (mean of the two middle ones
+    for an even count; null if there are none).  Infinite values and NaN take
+    part, ordered as Spark orders them (NaN last), as in ``percentile``."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    counts = df.select(value.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(
+        F.count(F.lit(1)).alias("n"))
+    # The partition id is data from here on, so it is written with the counts.
+    held = materialize(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "median")
+    totals = held.groupBy("part").agg(F.sum("n").alias("n"))                # one row per partition
+    totals = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"),
+                           F.sum("n").over(Window.partitionBy()).alias("total"))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = held.join(F.broadcast(totals), "part").withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("last")), F.col("v")))
+    middle = placed.agg(at(F.floor((F.col("total") - 1) / 2)).alias("a"), at(F.ceil((F.col("total") - 1) / 2)).alias("b"))
+    return middle.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+        0.5 * F.col("a") + 0.5 * F.col("b")).alias(out))

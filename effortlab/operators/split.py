@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import percentile
+from ..session import materialize
 
 
 def salted_hash(id_col: str, salt: str):
@@ -27,28 +27,43 @@ def salted_hash(id_col: str, salt: str):
 
 def exact_rank(df: DataFrame, id_col: str, salt: str, partition_cols=(), bucket_digits: int = 5,
                rank_col: str = "_rk", size_col: str = "_n") -> DataFrame:
-    """1-based rank by (salted md5, id) within ``partition_cols`` and the group size."""
+    """(id, strata, rank, size): 1-based rank by (salted md5, id) within
+    ``partition_cols`` and the size of the group.
+
+    Only ids and strata are read and written (once); the input's other columns
+    do not take part.  A null stratum is a stratum like any other.  A null id
+    has no place in a reproducible order and stops the job.  Rows that repeat
+    an id within a stratum share one rank.
+    """
     parts = list(partition_cols)
-    d = df.withColumn("_h", salted_hash(id_col, salt)).withColumn("_b", F.substring("_h", 1, bucket_digits))
+    known = F.coalesce(F.col(id_col), F.raise_error(F.lit(f"{id_col} is null: rows without an id cannot be ranked")))
+    keys = materialize(df.select(known.alias(id_col), *parts).distinct(), "rank-keys")
+    d = keys.withColumn("_h", salted_hash(id_col, salt)).withColumn("_b", F.substring("_h", 1, bucket_digits))
     counts = d.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    wp = Window.partitionBy(*parts) if parts else Window.partitionBy()
+    wp = Window.partitionBy(*parts) if parts else Window.partitionBy()     # at most 16^digits rows a stratum
     counts = (counts
               .withColumn("_off", F.sum("_nb").over(wp.orderBy("_b")) - F.col("_nb"))
               .withColumn(size_col, F.sum("_nb").over(wp))
               .drop("_nb"))
-    # Joined on (stratum, bucket): the rows are shuffled once on those keys
+    # Joined on (stratum, bucket): the keys are shuffled once on those columns
     # and the row_number window below reuses that partitioning.
-    d = d.join(counts, [*parts, "_b"])
     w = Window.partitionBy(*parts, "_b").orderBy("_h", id_col)
+    d = _join_keys(d, counts, [*parts, "_b"])
     return d.withColumn(rank_col, F.row_number().over(w) + F.col("_off")).drop("_h", "_b", "_off")
 
 
-def stratified_split(df: DataFrame, id_col: str = "ticket_id", stratum: str = "risk_level",
-                     seed: int = 42, train: float = 0.8, test: float = 0.1,
-                     bucket_digits: int = 5) -> DataFrame:
-    """Add ``split`` in {'train', 'test', 'val'}: the first ``train`` share of
-    each stratum (by hash rank) is train, the next ``test`` share test, the
-    rest val.  Disjoint, complete and share-preserving per stratum."""
+def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null (null equals null)."""
+    named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    return left.join(named, on).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def split_labels(df: DataFrame, id_col: str = "ticket_id", stratum: str = "risk_level",
+                 seed: int = 42, train: float = 0.8, test: float = 0.1, bucket_digits: int = 5) -> DataFrame:
+    """(id, stratum, split): the first ``train`` share of each stratum (by hash
+    rank) is train, the next ``test`` share test, the rest val."""
     ft = Fraction(train).limit_denominator(1000)
     fte = Fraction(train + test).limit_denominator(1000)
     r = exact_rank(df, id_col, f"{seed}|", [stratum], bucket_digits)
@@ -59,10 +74,17 @@ def stratified_split(df: DataFrame, id_col: str = "ticket_id", stratum: str = "r
     return r.withColumn("split", split).drop("_rk", "_n")
 
 
-def kfold_assign(df: DataFrame, id_col: str = "ticket_id", k: int = 5, seed: int = 42,
+def stratified_split(df: DataFrame, id_col: str = "ticket_id", stratum: str = "risk_level", **settings) -> DataFrame:
+    """``df`` with ``split`` in {'train', 'test', 'val'} (see
+    :func:`split_labels`).  Disjoint, complete and share-preserving per
+    stratum; the labels are joined on the id."""
+    return _join_keys(df, split_labels(df, id_col, stratum, **settings), [id_col, stratum])
+
+
+def kfold_labels(df: DataFrame, id_col: str = "ticket_id", k: int = 5, seed: int = 42,
                  bucket_digits: int = 5, out: str = "fold") -> DataFrame:
-    """Shuffled (not stratified) folds 0..k-1 with ``ntile(k)`` sizes: the
-    first n mod k folds get one extra row."""
+    """(id, fold): shuffled (not stratified) folds 0..k-1 with ``ntile(k)``
+    sizes: the first n mod k folds get one extra row."""
     r = exact_rank(df, id_col, f"fold|{seed}|", [], bucket_digits)
     rk, n = F.col("_rk"), F.col("_n")
     q, rem = F.floor(n / k), n % k
@@ -71,6 +93,12 @@ def kfold_assign(df: DataFrame, id_col: str = "ticket_id", k: int = 5, seed: int
     return r.withColumn(out, fold.cast("int")).drop("_rk", "_n")
 
 
+def kfold_assign(df: DataFrame, id_col: str = "ticket_id", k: int = 5, seed: int = 42,
+                 bucket_digits: int = 5, out: str = "fold") -> DataFrame:
+    """``df`` with its fold (see :func:`kfold_labels`), joined on the id."""
+    return _join_keys(df, kfold_labels(df, id_col, k, seed, bucket_digits, out), [id_col])
+
+
 def union_cv(train: DataFrame, val: DataFrame) -> DataFrame:
     return train.unionByName(val)
 
@@ -78,11 +106,19 @@ def union_cv(train: DataFrame, val: DataFrame) -> DataFrame:
 def fold_bounds(df: DataFrame, k: int = 5, target: str = "logged_days", fold: str = "fold",
                 lower: float = 0.01, upper: float = 0.99, accuracy: int | None = None) -> DataFrame:
     """p1/p99 of the target over the training part (fold != k) of every fold,
-    all folds in one aggregate: each row is counted for the k-1 folds it
-    trains."""
+    all folds in one aggregate: equal values of a fold are counted first, and
+    each count enters the k-1 folds that it trains."""
+    if accuracy:
+        held = df.select(fold, target, F.lit(1).alias("_n"))
+    else:
+        held = df.groupBy(fold, target).agg(F.count(F.lit(1)).alias("_n"))
     folds = F.array(*[F.lit(i) for i in range(k)])
-    ex = df.select(F.explode(F.filter(folds, lambda x: x != F.col(fold))).alias("train_fold"), F.col(target))
-    b = ex.groupBy("train_fold").agg(percentile(target, [lower, upper], accuracy).alias("_b"))
+    ex = held.select(F.explode(F.filter(folds, lambda x: x != F.col(fold))).alias("train_fold"), F.col(target), "_n")
+    if accuracy:
+        p = F.percentile_approx(target, [lower, upper], accuracy)
+    else:
+        p = F.percentile(target, [lower, upper], F.col("_n"))
+    b = ex.groupBy("train_fold").agg(p.alias("_b"))
     return b.select(F.col("train_fold").alias(fold), F.col("_b")[0].alias("lower"), F.col("_b")[1].alias("upper"))
 
 
@@ -98,12 +134,3 @@ def fold_roles(df: DataFrame, k: int = 5, target: str = "logged_days", fold: str
     ex = ex.join(b, "cv_fold")
     keep = (F.col("role") == "val") | ((F.col(target) >= F.col("lower")) & (F.col(target) <= F.col("upper")))
     return ex.filter(keep).drop("lower", "upper")
-
-
-def trim_fold(df: DataFrame, cv_fold: int, bounds: DataFrame, target: str = "logged_days",
-              fold: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """(training part within bounds, validation part) of one fold."""
-    b = bounds.filter(F.col(fold) == cv_fold).select("lower", "upper")
-    lo, hi = b.select("lower").scalar(), b.select("upper").scalar()
-    train = df.filter((F.col(fold) != cv_fold) & (F.col(target) >= lo) & (F.col(target) <= hi))
-    return train, df.filter(F.col(fold) == cv_fold)

@@ -1,10 +1,9 @@
 """Text vectorisation: tokens, term statistics, vocabulary, TF-IDF and LSA.
 
 Data layout: documents stay rows; term weights are a long table
-``(doc, term_idx, weight)``.  Documents are hash-partitioned by id once,
-so tokenising, counting terms per document and the per-document L2 norm
-all run without another shuffle (a clustered distribution on ``doc`` also
-satisfies grouping on ``(doc, term)``).  The vocabulary (<= max_features
+``(doc, term_idx, weight)``.  Texts are tokenised where they are read; the
+per-document counts and the L2 norm move (doc, term, number) rows only.  The
+vocabulary (<= max_features
 rows) and the SVD basis (max_features x k doubles) are the only broadcast
 tables; both have a size bound fixed by parameters.
 """
@@ -32,18 +31,13 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_RE), 0)
 
 
-def term_counts(docs: DataFrame, doc: str = "ticket_id", text: str = "text",
-                partition: bool = True, carry: tuple = ()) -> DataFrame:
-    """(doc, term, tf) for every term occurrence in every document.
+def term_counts(docs: DataFrame, doc: str = "ticket_id", text: str = "text", carry: tuple = ()) -> DataFrame:
+    """(doc, term, tf) for every term of every document.
 
-    ``partition`` first hash-partitions the documents by id, so the count
-    (and any later per-document window or aggregate) needs no further
-    exchange.  ``carry`` columns are per-document attributes kept in the key
-    (free: they are functions of the document)."""
-    d = docs.select(doc, text, *carry)
-    if partition:
-        d = d.repartition(doc)
-    ex = d.select(doc, *carry, F.explode(tokens(text)).alias("term"))
+    Terms are exploded and counted where the texts are read; only the partial
+    counts move, never a text.  ``carry`` columns are per-document attributes kept
+    in the key (free: they are functions of the document)."""
+    ex = docs.select(doc, *carry, F.explode(tokens(text)).alias("term"))
     return ex.groupBy(doc, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -176,6 +170,20 @@ def fit_lsa(tfidf: DataFrame, size: int, k: int = 32, doc: str = "ticket_id") ->
     return LsaModel(V, s, basis)
 
 
+def embed_texts(df: DataFrame, tfidf: "TfidfModel", lsa: "LsaModel", text: str = "text", out: str = "embedding") -> DataFrame:
+    """``df`` with the embedding of each row's text.
+
+    Distinct texts are embedded once, under the sha-256 of the text, and joined
+    back on it: rows need no id, may repeat one, and get one embedding each
+    whatever their ids are.  A null text counts as empty (a zero vector)."""
+    keyed = df.withColumn("_text_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    texts = keyed.groupBy("_text_key").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    emb = lsa.transform(tfidf.transform(texts, "_text_key", "_text"), "_text_key")
+    zeros = F.array(*[F.lit(0.0) for _ in range(lsa.components.shape[1])])
+    return (keyed.drop(out).join(emb.withColumnRenamed("embedding", out), "_text_key", "left")
+            .withColumn(out, F.coalesce(F.col(out), zeros)).drop("_text_key"))
+
+
 def lsa_transform(tfidf: DataFrame, model: LsaModel, doc: str = "ticket_id",
                   docs: DataFrame | None = None, out: str = "embedding") -> DataFrame:
     """Project documents on the basis: sum of weight x component row per
@@ -191,14 +199,13 @@ def lsa_transform(tfidf: DataFrame, model: LsaModel, doc: str = "ticket_id",
     return emb
 
 
-def explained_variance(tfidf: DataFrame, emb: DataFrame, n_docs: int, out: str = "embedding") -> DataFrame:
+def explained_variance(tfidf: DataFrame, emb: DataFrame, n_docs: int, k: int, out: str = "embedding") -> DataFrame:
     """Share of the total (per-term, zeros included) variance captured by the
     components: sum_j var(emb_j) / sum_t var(x_t), population variances over
     all ``n_docs`` documents."""
     n = float(n_docs)
     term_var = tfidf.groupBy("term_idx").agg(F.sum("weight").alias("s1"), F.sum(F.col("weight") ** 2).alias("s2"))
     total = term_var.agg(F.sum(F.col("s2") / n - (F.col("s1") / n) ** 2).alias("total"))
-    k = emb.select(F.size(out)).first()[0]
     comp = emb.agg(*[F.sum(F.col(out)[i]).alias(f"a{i}") for i in range(k)],
                    *[F.sum(F.col(out)[i] ** 2).alias(f"b{i}") for i in range(k)])
     ev = sum((F.col(f"b{i}") / n - (F.col(f"a{i}") / n) ** 2) for i in range(k))

@@ -6,6 +6,8 @@ spelled as CTEs so the oracle reads the same base tables as Spark.
 
 from __future__ import annotations
 
+from ..functions.text import ANALYSIS_WORDS, DEV_WORDS, TEST_WORDS
+
 WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\p{Z}"
 STRIP = f"'^[{WS}]+|[{WS}]+$'"
 WORD = f"'[^{WS}]+'"
@@ -42,18 +44,15 @@ TICKETS_RAW = """tickets_raw as (
   case ticket_id % 3 when 0 then '[1]' else concat('{''value'': ''', commitments, '''}') end as commitments_raw
  from tickets)"""
 
-DEV = ['разраб', 'dev', 'implement', 'feature', 'фич', 'кодиров']
-TEST = ['тест', 'test', 'qa', 'проверк', 'autotest', 'автотест']
-ANALYSIS = ['анализ', 'anali', 'тз', 'требован', 'проектир', 'requirement']
 
 
 def features_sql(text: str = "text", description: str = "description") -> str:
     lt = f"lower({text})"
     return f"""cast(length({strip(description)}) > 0 as integer) as has_description,
   cast(contains(lower({description}), '{{code') as integer) as has_code_block,
-  {any_contains(lt, DEV)} as is_dev_task,
-  {any_contains(lt, TEST)} as is_test_task,
-  {any_contains(lt, ANALYSIS)} as is_analysis_task,
+  {any_contains(lt, DEV_WORDS)} as is_dev_task,
+  {any_contains(lt, TEST_WORDS)} as is_test_task,
+  {any_contains(lt, ANALYSIS_WORDS)} as is_analysis_task,
   cast(length({text}) as integer) as text_len,
   cast(len(regexp_extract_all({text}, {WORD})) as integer) as word_count"""
 
@@ -393,13 +392,12 @@ register("model_status", with_(RUNS, RUNS_LATEST, _LATEST_EST) + """select subst
  from (select 1) one left join le on true""")
 
 register("filter_issue_export", T_ONLY + """select ticket_id, created_at, estimate, time_spent from tickets
- where region = 'ASIA' and status = 'Done' and estimate is not null and time_spent is not null
- order by created_at desc, ticket_id limit 100000""")
+ where region = 'ASIA' and status = 'Done' and estimate is not null and time_spent is not null""")
 register("model_runs_upsert", with_(RUNS, RUNS_LATEST) + "select run_id, seq, model_type, trigger, r2 from runs_latest")
 register("runs_insert_if_absent", with_(RUNS, RUNS_LATEST) + """, ex as (select run_id, trigger, model_type, r2, mae, rmse, overrun_recall
- from runs_latest where trigger = 'feedback' and model_type = 'estimate'),
-d as (select * from (values ('seed-estimate', 'seed', 'estimate', 0.144, 1.23, 1.85, cast(null as double)),
-  ('seed-risk', 'seed', 'risk', cast(null as double), cast(null as double), cast(null as double), 0.59))
+ from runs_latest),
+d as (select * from (values ('first-estimate', 'seed', 'estimate', 0.25, 2.0, 3.5, cast(null as double)),
+  ('first-anomaly', 'seed', 'anomaly', cast(null as double), cast(null as double), cast(null as double), 0.75))
   t(run_id, trigger, model_type, r2, mae, rmse, overrun_recall))
 select * from ex union all select * from d where model_type not in (select model_type from ex)""")
 register("feedback_schema_evolve", with_(FEEDBACK) + """select id,
@@ -449,7 +447,7 @@ ds as (
 select * from ds""")
 
 register("flatten_issues", T_ONLY + """select concat('T-', cast(ticket_id as varchar)) as "key", summary, description,
- cast(time_spent as double) as time_spent, estimate, cast(created_at as varchar) as created,
+ cast(time_spent as double) as time_spent, estimate, cast(created_at as varchar) as created_at, status, region as project,
  case when ticket_id % 5 <> 0 then region else 'БАЗОВЫЙ' end as region,
  rtrim(concat(region, '/', subsystem), '/') as subsystem, commitments from tickets""")
 

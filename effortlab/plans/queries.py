@@ -24,6 +24,14 @@ def dataset(spark, sf):
     return PR.prepare_dataset(S.tickets(spark, sf))
 
 
+LIGHT = ["ticket_id", "summary", "estimate", "logged_days", "risk_level", "region", "subsystem", "commitments"]
+
+
+def labelled(spark, sf):
+    """The dataset's columns that need no text: documents are not read."""
+    return PR.prepare_dataset(S.tickets(spark, sf, documents=False)).select(*LIGHT)
+
+
 @query
 def q_prepare_dataset(spark, sf):
     return dataset(spark, sf)
@@ -37,7 +45,7 @@ def q_text_features(spark, sf):
 
 @query
 def q_risk_distribution(spark, sf):
-    return PR.risk_distribution(dataset(spark, sf))
+    return PR.risk_distribution(labelled(spark, sf))
 
 
 # ---------------------------------------------------------------- helpers
@@ -61,22 +69,22 @@ def split_df(spark, sf):
     return SP.stratified_split(dataset(spark, sf))
 
 
-def split_table(spark, sf, cols=None):
-    """The split written once (read by several branches of a query); only
-    ``cols`` are computed and written (column pruning drops the rest)."""
-    from ..session import materialize
-    s = split_df(spark, sf)
-    return materialize(s.select(*cols) if cols else s, "split")
+def split_light(spark, sf):
+    return SP.stratified_split(labelled(spark, sf))
 
 
-BASELINE_COLS = ["ticket_id", "summary", "estimate", "logged_days", "risk_level", "region", "subsystem", "split"]
+def split_table(spark, sf, cols):
+    """The split with its texts written once (read by several branches of a
+    query); only ``cols`` are computed and written."""
+    from ..session import materialize
+    return materialize(split_df(spark, sf).select(*cols), "split")
 
 
 def test_predictions_table(spark, sf):
     """Ensembled test-split predictions written once (reports read them in
     several branches)."""
     from ..session import materialize
-    s = split_df(spark, sf).filter(F.col("split") == "test").select(*BASELINE_COLS)
+    s = split_light(spark, sf).filter(F.col("split") == "test")
     return materialize(ensemble_of(s), "test-predictions")
 
 
@@ -86,11 +94,11 @@ def ensemble_of(ds):
 
 
 def ensembled(spark, sf):
-    return ensemble_of(dataset(spark, sf))
+    return ensemble_of(labelled(spark, sf))
 
 
 def test_predictions(spark, sf):
-    return ensemble_of(split_df(spark, sf).filter(F.col("split") == "test"))
+    return ensemble_of(split_light(spark, sf).filter(F.col("split") == "test"))
 
 
 def runs_latest(spark, sf):
@@ -143,7 +151,7 @@ def q_word_count(spark, sf):
 
 @query
 def q_seconds_to_workdays(spark, sf):
-    return S.tickets(spark, sf).select("ticket_id", "time_spent", L.to_workdays("time_spent").alias("logged_days"))
+    return S.tickets(spark, sf, documents=False).select("ticket_id", "time_spent", L.to_workdays("time_spent").alias("logged_days"))
 
 
 @query
@@ -163,13 +171,13 @@ def q_parse_commitments(spark, sf):
 
 @query
 def q_filter_valid_tickets(spark, sf):
-    t = S.tickets(spark, sf).withColumn("logged_days", L.to_workdays("time_spent"))
+    t = S.tickets(spark, sf, documents=False).withColumn("logged_days", L.to_workdays("time_spent"))
     return L.filter_valid(t).select("ticket_id", "estimate", "logged_days")
 
 
 @query
 def q_risk_level(spark, sf):
-    t = L.filter_valid(S.tickets(spark, sf).withColumn("logged_days", L.to_workdays("time_spent")))
+    t = L.filter_valid(S.tickets(spark, sf, documents=False).withColumn("logged_days", L.to_workdays("time_spent")))
     return t.select("ticket_id", (F.col("logged_days") / F.col("estimate")).alias("ratio"),
                     L.risk_level().alias("risk_level"))
 
@@ -181,7 +189,7 @@ def q_project_dataset(spark, sf):
 
 @query
 def q_log_target(spark, sf):
-    d = dataset(spark, sf)
+    d = labelled(spark, sf)
     back = L.from_log(L.to_log("logged_days"))
     return d.select("ticket_id", L.to_log("logged_days").alias("y_log"),
                     (F.abs(back - F.col("logged_days")) <= 1e-9 * (1 + F.col("logged_days"))).alias("roundtrip_ok"))
@@ -261,12 +269,12 @@ def q_short_revision(spark, sf):
 @query
 def q_join_features(spark, sf):
     emb = S.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("ticket_id"), "embedding")
-    meta = dataset(spark, sf).select("ticket_id", "region", "subsystem", "commitments", "logged_days")
+    meta = labelled(spark, sf).select("ticket_id", "region", "subsystem", "commitments", "logged_days")
     return J.join_features(emb, meta)
 
 
 def _baseline_preds(spark, sf):
-    s = split_table(spark, sf, BASELINE_COLS)
+    s = split_light(spark, sf)
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     return R.baseline_predictions(train, test)
 
@@ -303,12 +311,12 @@ def q_feedback_metrics(spark, sf):
 
 @query
 def q_target_profile(spark, sf):
-    return A.target_profile(dataset(spark, sf))
+    return A.target_profile(labelled(spark, sf))
 
 
 @query
 def q_category_profile(spark, sf):
-    return A.category_profile(dataset(spark, sf))
+    return A.category_profile(labelled(spark, sf))
 
 
 @query
@@ -318,7 +326,7 @@ def q_global_median(spark, sf):
 
 @query
 def q_group_median(spark, sf):
-    s = split_df(spark, sf).filter(F.col("split") == "train")
+    s = split_light(spark, sf).filter(F.col("split") == "train")
     return R.group_medians(s, "subsystem")
 
 
@@ -358,7 +366,7 @@ def q_grouped_errors(spark, sf):
 
 @query
 def q_percentile_bounds(spark, sf):
-    cv = split_df(spark, sf).filter(F.col("split").isin("train", "val"))
+    cv = split_light(spark, sf).filter(F.col("split").isin("train", "val"))
     return SP.fold_bounds(SP.kfold_assign(cv))
 
 
@@ -376,12 +384,12 @@ def q_fold_summary(spark, sf):
 
 @query
 def q_class_weights(spark, sf):
-    return A.class_weights(dataset(spark, sf))
+    return A.class_weights(labelled(spark, sf))
 
 
 @query
 def q_row_accounting(spark, sf):
-    return A.row_accounting(S.tickets(spark, sf), dataset(spark, sf))
+    return A.row_accounting(S.tickets(spark, sf, documents=False), labelled(spark, sf))
 
 
 @query
@@ -424,7 +432,7 @@ def q_recent_runs(spark, sf):
 # ---------------------------------------------------------------- 2.6 set ops
 @query
 def q_union_train_val(spark, sf):
-    s = split_df(spark, sf)
+    s = split_light(spark, sf)
     return SP.union_cv(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")) \
         .select("ticket_id", "split")
 
@@ -437,18 +445,18 @@ def q_unused_feedback_rows(spark, sf):
 # ---------------------------------------------------------------- 2.7 split / CV
 @query
 def q_stratified_split(spark, sf):
-    return split_df(spark, sf).select("ticket_id", "risk_level", "split")
+    return SP.split_labels(labelled(spark, sf))
 
 
 @query
 def q_kfold_assign(spark, sf):
-    cv = split_df(spark, sf).filter(F.col("split").isin("train", "val"))
-    return SP.kfold_assign(cv).select("ticket_id", "fold")
+    cv = SP.split_labels(labelled(spark, sf)).filter(F.col("split").isin("train", "val"))
+    return SP.kfold_labels(cv)
 
 
 @query
 def q_fold_outlier_trim(spark, sf):
-    cv = SP.kfold_assign(split_df(spark, sf).filter(F.col("split").isin("train", "val")))
+    cv = SP.kfold_assign(split_light(spark, sf).filter(F.col("split").isin("train", "val")))
     roles = SP.fold_roles(cv)
     return roles.groupBy("cv_fold", "role").agg(F.count(F.lit(1)).alias("n_rows"),
                                                F.min("logged_days").alias("min_y"),
@@ -480,7 +488,7 @@ def q_evaluate_risk(spark, sf):
 # ---------------------------------------------------------------- 2.10 reports
 @query
 def q_baseline_report(spark, sf):
-    s = split_table(spark, sf, BASELINE_COLS)
+    s = split_light(spark, sf)
     train = s.filter(F.col("split") == "train")
     test = ensemble_of(s.filter(F.col("split") == "test"))
     return R.baseline_report(train, test, model_pred_log="pred_log")
@@ -504,7 +512,7 @@ def q_model_status(spark, sf):
 # ---------------------------------------------------------------- 2.1 sources (table-level)
 @query
 def q_filter_issue_export(spark, sf):
-    t = S.tickets(spark, sf).withColumn("project", F.col("region"))
+    t = S.tickets(spark, sf, documents=False).withColumn("project", F.col("region"))
     return X.filter_export(t, "ASIA").select("ticket_id", "created_at", "estimate", "time_spent")
 
 
@@ -515,11 +523,10 @@ def q_model_runs_upsert(spark, sf):
 
 @query
 def q_runs_insert_if_absent(spark, sf):
-    r = runs_latest(spark, sf)
-    existing = r.filter((F.col("trigger") == "feedback") & (F.col("model_type") == "estimate"))
+    existing = runs_latest(spark, sf)
     defaults = spark.createDataFrame(
-        [("seed-estimate", "seed", "estimate", 0.144, 1.23, 1.85, None),
-         ("seed-risk", "seed", "risk", None, None, None, 0.59)],
+        [("first-estimate", "seed", "estimate", 0.25, 2.0, 3.5, None),
+         ("first-anomaly", "seed", "anomaly", None, None, None, 0.75)],
         "run_id string, trigger string, model_type string, r2 double, mae double, rmse double, "
         "overrun_recall double")
     return ST.insert_if_absent(existing.select("run_id", "trigger", "model_type", "r2", "mae", "rmse",
@@ -602,7 +609,7 @@ def q_explained_variance(spark, sf):
     s, model, _, train_w, lsa = _lsa(spark, sf)
     train = s.filter(F.col("split") == "train")
     emb = lsa.transform(train_w, docs=train)
-    return TX.explained_variance(train_w, emb, model.n_docs)
+    return TX.explained_variance(train_w, emb, model.n_docs, lsa.components.shape[1])
 
 
 # ---------------------------------------------------------------- 2.9 models (rows-only checks)
@@ -651,21 +658,19 @@ def q_train_risk_cv(spark, sf):
 @query
 def q_score_batch(spark, sf):
     t = trained(spark, sf)
-    test = S.tickets(spark, sf).join(t.splits.filter(F.col("split") == "test").select("ticket_id"), "ticket_id")
-    return t.bundle.score(test)
+    return t.bundle.score(S.tickets(spark, sf))
 
 
 @query
 def q_explain(spark, sf):
     t = trained(spark, sf)
-    test = t.features.filter(F.col("split") == "test")
-    return XP.explain(test, t.bundle).drop("contributions")
+    return XP.explain(t.bundle.features(S.tickets(spark, sf)), t.bundle).drop("contributions")
 
 
 @query
 def q_top_features(spark, sf):
     t = trained(spark, sf)
-    return XP.explain(t.features.filter(F.col("split") == "test"), t.bundle).select("ticket_id", "top_features")
+    return XP.explain(t.bundle.features(S.tickets(spark, sf)), t.bundle).select("ticket_id", "top_features")
 
 
 @query
@@ -684,9 +689,9 @@ def q_save_load_models(spark, sf):
     path = _scratch(spark, "bundle")
     MD.save_bundle(t.bundle, path)
     loaded = MD.load_bundle(spark, path)
-    test = S.tickets(spark, sf).join(t.splits.filter(F.col("split") == "test").select("ticket_id"), "ticket_id")
-    a = t.bundle.score(test).select("ticket_id", F.col("pred_days").alias("pred_saved"))
-    b = loaded.score(test).select("ticket_id", F.col("pred_days").alias("pred_loaded"))
+    every = S.tickets(spark, sf)
+    a = t.bundle.score(every).select("ticket_id", F.col("pred_days").alias("pred_saved"))
+    b = loaded.score(every).select("ticket_id", F.col("pred_days").alias("pred_loaded"))
     return a.join(b, "ticket_id")
 
 
@@ -695,7 +700,7 @@ def q_write_embeddings(spark, sf):
     t = trained(spark, sf)
     path = _scratch(spark, "embeddings")
     ST.write_embeddings(t.features, path)
-    return ST.read_embeddings(spark, path, "test")
+    return ST.read_embeddings(spark, path)
 
 
 @query
@@ -718,8 +723,7 @@ def q_score_stream(spark, sf):
     from ..streaming import jobs as SJ
     t = trained(spark, sf)
     src = _scratch(spark, "requests")
-    test = S.tickets(spark, sf).join(t.splits.filter(F.col("split") == "test").select("ticket_id"), "ticket_id")
-    test.select(*SJ.REQUEST_SCHEMA.fieldNames()).repartition(4).write.parquet(src)
+    S.tickets(spark, sf).select(*SJ.REQUEST_SCHEMA.fieldNames()).repartition(4).write.parquet(src)
     sink = _scratch(spark, "scored")
     q = SJ.score_stream(spark, src, t.bundle, sink, _scratch(spark, "ckpt"), max_files_per_trigger=2)
     q.awaitTermination()
@@ -834,13 +838,6 @@ def q_flatten_issues(spark, sf):
     return X.flatten_issues(X.read_issue_pages(spark, path, one_page_per_file=False))
 
 
-@query
-def q_embed_batches(spark, sf):
-    from ..operators import embed as EM
-    docs = _docs(spark, sf)
-    return EM.embed_batches(docs, EM.hashing_embedder(dim=64), "text", dim=64).select("doc_id", "embedding")
-
-
 @query
 def q_augment_with_feedback(spark, sf):
     from . import jobs as JB

@@ -22,8 +22,7 @@ def baseline_predictions(train: DataFrame, test: DataFrame, target: str = "logge
                          keys=("subsystem", "region")) -> DataFrame:
     """Test rows with constant (global median) and per-group median
     predictions in log space.  The global median is a scalar subquery, so no
-    cross join; group medians have one row per group and are broadcast
-    after a size check."""
+    cross join; group medians have one row per group."""
     global_log = train.agg(A.median(F.log1p(F.col(target)))).scalar()
     out = test.withColumn("pred_global", global_log)
     for key in keys:

@@ -23,12 +23,11 @@ class Trained:
 
 def fit_text(splits: DataFrame, k: int = 32, doc: str = "ticket_id", min_df: int = 2,
              max_features: int = 25_000, text: str = "text"):
-    """TF-IDF fitted on train and applied to all rows (one tokenisation
-    pass), then LSA fitted on the training rows' weights."""
-    tfidf, weights = TX.fit_transform_tfidf(splits, F.col("split") == "train", doc, text, min_df, max_features)
-    train_ids = splits.filter(F.col("split") == "train").select(doc)
-    lsa = TX.fit_lsa(weights.join(train_ids, doc, "left_semi"), tfidf.size, k, doc)
-    return tfidf, lsa, weights
+    """TF-IDF fitted on the training rows (one tokenisation pass), then LSA
+    fitted on their weights."""
+    train = splits.filter(F.col("split") == "train")
+    tfidf, weights = TX.fit_transform_tfidf(train, F.lit(True), doc, text, min_df, max_features)
+    return tfidf, TX.fit_lsa(weights, tfidf.size, k, doc)
 
 
 def train_all(dataset: DataFrame, k: int = 32, folds: int = 5, with_risk: bool = True,
@@ -40,12 +39,12 @@ def train_all(dataset: DataFrame, k: int = 32, folds: int = 5, with_risk: bool =
     # Serving strips the text; train on the same text (no train/serve skew).
     from ..functions import text as T
     splits = splits.withColumn("text", T.concat_text("summary", "description", strip=True))
-    tfidf, lsa, weights = fit_text(splits, k)
+    tfidf, lsa = fit_text(splits, k)
     cv_rows = splits.filter(F.col("split").isin("train", "val"))
     indexer = MD.category_indexer(cv_rows)
-    feats = MD.featurize(splits, tfidf, lsa, indexer, weights=weights)
-    cv = SP.kfold_assign(feats.filter(F.col("split").isin("train", "val")))
-    feats = materialize(feats.join(cv.select("ticket_id", "fold"), "ticket_id", "left"), "features")
+    feats = MD.featurize(splits, tfidf, lsa, indexer)
+    folds_of = SP.kfold_labels(cv_rows)                                  # from ids alone
+    feats = materialize(feats.join(folds_of, "ticket_id", "left"), "features")
     cv = feats.filter(F.col("fold").isNotNull())
     effort = MD.train_effort_cv(cv, folds, params=effort_params)
     risk = MD.train_risk_cv(cv, folds, params=risk_params) if with_risk else None

@@ -42,9 +42,9 @@ def get_spark(app: str = "effortlab", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is.  Only when it is unset (local tests) a
-    scratch folder is created; it is recorded on the SparkContext (or, for
+    On a cluster ``spark.checkpoint.dir`` must name a shared, fault-tolerant
+    folder, which is used as is.  Only a local master (tests) gets a scratch
+    folder when it is unset; it is recorded on the SparkContext (or, for
     sessions without one, in the session conf).
     """
     try:
@@ -54,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None) \
         or (sc.getConf().get("spark.checkpoint.dir", None) if sc else None)
     if not path:
+        if sc is not None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="effortlab-ckpt-")
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

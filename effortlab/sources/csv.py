@@ -6,50 +6,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.prepare import DATASET_COLUMNS
+
 SEED_COLUMNS = ["key", "summary", "description", "time_spent", "estimate", "region", "subsystem", "commitments"]
 SEED_NUMERIC = {"time_spent", "estimate"}
 SPLIT_STRING = ["text", "region", "subsystem", "commitments"]
 SPLIT_DOUBLE = ["estimate", "logged_days"]
 SPLIT_INT = ["risk_level", "has_description", "has_code_block", "is_dev_task", "is_test_task",
              "is_analysis_task", "text_len", "word_count"]
-SPLIT_COLUMNS = ["text", "estimate", "logged_days", "risk_level", "region", "subsystem", "commitments",
-                 "has_description", "has_code_block", "is_dev_task", "is_test_task", "is_analysis_task",
-                 "text_len", "word_count"]
+SPLIT_COLUMNS = DATASET_COLUMNS
 # Tokens read as missing by the default NA parsing of the
 # original CSV reader.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def _string_schema(cols, overflow: bool = True) -> T.StructType:
-    fields = [T.StructField(c, T.StringType()) for c in cols]
-    if overflow:
-        fields.append(T.StructField("_overflow", T.StringType()))
-    return T.StructType(fields)
+def _string_schema(cols) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
+
+
+def _present(c: str):
+    return F.when(~F.col(c).isin(NA_TOKENS), F.col(c))
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with quoted multi-line text.  Rows with too many fields are
-    skipped, short rows are kept with nulls; numbers are ``try_cast``
-    (unparseable -> null).  An extra trailing column in the schema catches
-    over-long rows (DROPMALFORMED would drop short rows too)."""
-    raw = (spark.read.schema(_string_schema(SEED_COLUMNS)).option("header", True)
-           .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    raw = raw.filter(F.col("_overflow").isNull()).drop("_overflow")
-    return raw.withColumns({c: F.expr(f"try_cast({c} as double)") for c in SEED_NUMERIC})
+    skipped, short rows are kept with nulls; tokens of missing values become
+    null in every column; numbers are ``try_cast`` (unparseable -> null).
+
+    The reader flags every row whose number of fields is not the header's and
+    keeps its raw text; the fields of such a row are counted there, outside of
+    quotes.  A quoted multi-line file cannot be split, so it is read by one task:
+    convert a large export to Parquet once."""
+    schema = T.StructType([*_string_schema(SEED_COLUMNS).fields, T.StructField("_raw", T.StringType())])
+    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").csv(path))
+    bare = F.regexp_replace("_raw", r'"(?:[^"]|"")*"', "")
+    fields = F.size(F.split(bare, ",", -1))
+    raw = raw.filter(F.col("_raw").isNull() | (fields <= len(SEED_COLUMNS))).drop("_raw")
+    return raw.withColumns({c: _present(c) for c in SEED_COLUMNS}).withColumns(
+        {c: F.expr(f"try_cast({c} as double)") for c in SEED_NUMERIC})
 
 
 def read_split(spark: SparkSession, path: str, keep_empty: bool = True) -> DataFrame:
     """A prepared split.  ``keep_empty`` keeps '' and 'NA' as text (strings
     stay strings); otherwise '' and NA tokens become null."""
-    reader = (spark.read.schema(_string_schema(SPLIT_COLUMNS, overflow=False)).option("header", True)
+    reader = (spark.read.schema(_string_schema(SPLIT_COLUMNS)).option("header", True)
               .option("multiLine", True).option("escape", '"'))
     if keep_empty:
         reader = reader.option("emptyValue", "").option("nullValue", "\u0000")
     df = reader.csv(path)
     cols = {}
     for c in SPLIT_STRING:
-        cols[c] = F.coalesce(F.col(c), F.lit("")) if keep_empty else F.when(~F.col(c).isin(NA_TOKENS), F.col(c))
+        cols[c] = F.coalesce(F.col(c), F.lit("")) if keep_empty else _present(c)
     for c in SPLIT_DOUBLE:
         cols[c] = F.expr(f"try_cast({c} as double)")
     for c in SPLIT_INT:

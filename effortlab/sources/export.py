@@ -51,8 +51,10 @@ def flatten_issues(pages: DataFrame, parse_options: bool = True) -> DataFrame:
 
     Missing summary/description become ''.  Option fields are reduced to
     strings with the same rules as the literal parsers (``parse_options``),
-    or kept as structs.  Issues repeated across pages (offset paging over a
-    changing list) are dropped by key.
+    or kept as structs: the result needs no further parsing.  An issue that is
+    repeated across pages (offset paging over a changing list) is kept once, in
+    its newest version: the one with the most time spent, then the largest of the
+    other columns in their order.
     """
     issues = pages.select(F.explode("issues").alias("i")).select("i.key", "i.fields.*")
     out = issues.select(
@@ -61,7 +63,9 @@ def flatten_issues(pages: DataFrame, parse_options: bool = True) -> DataFrame:
         F.coalesce(F.col("description"), F.lit("")).alias("description"),
         F.col("timespent").alias("time_spent"),
         F.col(STORY_POINTS_FIELD).alias("estimate"),
-        F.col("created"),
+        F.col("created").alias("created_at"),
+        F.col("status"),
+        F.col("project"),
         F.col(REGION_FIELD).alias("region"),
         F.col(SUBSYSTEM_FIELD).alias("subsystem"),
         F.col(COMMITMENTS_FIELD).alias("commitments"),
@@ -72,14 +76,17 @@ def flatten_issues(pages: DataFrame, parse_options: bool = True) -> DataFrame:
             "subsystem": P.subsystem_from_struct("subsystem"),
             "commitments": P.commitments_from_struct("commitments"),
         })
-    return out.dropDuplicates(["key"])
+    rest = [c for c in out.columns if c != "key"]
+    newest = F.max_by(F.struct(*rest), F.struct(F.col("time_spent"), F.struct(*[c for c in rest if c != "time_spent"])))
+    return out.groupBy("key").agg(newest.alias("v")).select("key", "v.*")
 
 
-def filter_export(df: DataFrame, project: str, cap: int = 100_000, project_col: str = "project",
+def filter_export(df: DataFrame, project: str, cap: int | None = None, project_col: str = "project",
                   status_col: str = "status", created_col: str = "created_at", key_col: str = "ticket_id",
                   done: str = "Done") -> DataFrame:
-    """Project = P, status Done, story points and time spent present,
-    newest first, at most ``cap`` rows (TakeOrderedAndProject)."""
+    """Project = P, status Done, story points and time spent present.  With
+    ``cap`` only the newest so many (ties by key); without, all of them, in
+    no particular order."""
     f = df.filter((F.col(project_col) == project) & (F.col(status_col) == done)
                   & F.col("estimate").isNotNull() & F.col("time_spent").isNotNull())
-    return f.orderBy(F.col(created_col).desc(), F.col(key_col).asc()).limit(cap)
+    return f if cap is None else f.orderBy(F.col(created_col).desc(), F.col(key_col).asc()).limit(cap)

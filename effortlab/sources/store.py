@@ -85,11 +85,19 @@ def append_feedback(requests: DataFrame, path: str, batch_id: int = 0) -> DataFr
     return rows
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(jsc.hadoopConfiguration()).exists(p)
+
+
+MARKS_SCHEMA = "id string, run_id string"
+
+
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no marks written yet
-        return spark.createDataFrame([], "id string, run_id string")
+    """Usage marks; none if nothing was written yet.  Marks that are there but
+    cannot be read are an error, not an empty table."""
+    return spark.read.schema(MARKS_SCHEMA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], MARKS_SCHEMA)
 
 
 def read_feedback(spark: SparkSession, path: str, marks_path: str | None = None) -> DataFrame:
@@ -144,10 +152,8 @@ def append_run(spark: SparkSession, path: str, run: dict) -> None:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Current model runs (one row per run_id, newest write)."""
-    try:
-        raw = spark.read.schema(RUNS_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing recorded yet
-        raw = spark.createDataFrame([], RUNS_SCHEMA)
+    there = _exists(spark, path)
+    raw = spark.read.schema(RUNS_SCHEMA).parquet(path) if there else spark.createDataFrame([], RUNS_SCHEMA)
     return latest_per_key(raw, ["run_id"], ["seq"])
 
 

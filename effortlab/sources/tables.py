@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True, documents: bool = True) -> DataFrame:
     """One work item per order.
 
     summary = 'T-<key> <customer>', description = document text (if any),
@@ -29,21 +29,23 @@ def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True) ->
     the priority digit, null for pending orders; region / subsystem /
     commitments from customer region, region/nation and market segment.
     nation and region are tiny dimension tables (25 / 5 rows): Spark
-    broadcasts them by size.  The document text is never broadcast (it
-    grows with the data): it is a shuffle (sort-merge) join, which also
-    spreads the per-row text work over ``spark.sql.shuffle.partitions``
-    tasks whatever the file layout of the inputs.
+    broadcasts them by size.  The document text is joined only with
+    ``documents``: Spark cannot drop that join by itself for callers that do
+    not read the description (it does not know ``doc_id`` to be unique).
     """
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text")).hint("merge")
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
-         .join(r, n.n_regionkey == r.r_regionkey)
-         .join(d, o.o_orderkey == d.doc_id, "left"))
+         .join(r, n.n_regionkey == r.r_regionkey))
+    if documents:
+        d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+        j = j.join(d, o.o_orderkey == d.doc_id, "left")
+    else:
+        j = j.withColumn("text", F.lit(None).cast("string"))
     estimate = F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("double")).otherwise(
         (F.substring("o_orderpriority", 1, 1).cast("int") * 3 - 3).cast("double"))
     return j.select(
@@ -61,9 +63,8 @@ def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True) ->
     )
 
 
-def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option fields rendered as Python-literal text, as in an issue export CSV."""
-    t = tickets(spark, sf_dir)
+def _raw_options():
+    """Option fields of a ticket rendered as Python-literal text."""
     tid = F.col("ticket_id")
     q = F.lit("'")
     region_raw = (F.when(tid % 5 == 0, F.lit(None).cast("string"))
@@ -76,17 +77,20 @@ def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.col("subsystem"), F.lit("'}}"))))
     commitments_raw = (F.when(tid % 3 == 0, F.lit("[1]"))
                        .otherwise(F.concat(F.lit("{'value': '"), F.col("commitments"), F.lit("'}"))))
-    return t.select("ticket_id", region_raw.alias("region_raw"), subsystem_raw.alias("subsystem_raw"),
-                    commitments_raw.alias("commitments_raw"))
+    return region_raw, subsystem_raw, commitments_raw
+
+
+def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option fields as literal text, as in an issue export CSV."""
+    region, subsystem, commitments = _raw_options()
+    return tickets(spark, sf_dir, documents=False).select(
+        "ticket_id", region.alias("region_raw"), subsystem.alias("subsystem_raw"), commitments.alias("commitments_raw"))
 
 
 def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export-shaped seed table: tickets with the option fields as literals."""
-    t = tickets(spark, sf_dir).drop("region", "subsystem", "commitments")
-    raw = tickets_raw(spark, sf_dir).select(
-        "ticket_id", F.col("region_raw").alias("region"), F.col("subsystem_raw").alias("subsystem"),
-        F.col("commitments_raw").alias("commitments"))
-    return t.join(raw, "ticket_id")
+    region, subsystem, commitments = _raw_options()
+    return tickets(spark, sf_dir).withColumns({"region": region, "subsystem": subsystem, "commitments": commitments})
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +118,7 @@ N_FOLDS = 5
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic fold predictions for valid tickets (one row per ticket)."""
     from ..plans.prepare import prepare_dataset
-    return with_fold_predictions(prepare_dataset(tickets(spark, sf_dir)))
+    return with_fold_predictions(prepare_dataset(tickets(spark, sf_dir, documents=False)))
 
 
 def with_fold_predictions(ds: DataFrame) -> DataFrame:

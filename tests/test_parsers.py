@@ -17,6 +17,8 @@ def one(spark, fn, raw):
     ("[{'id': '3'}]", "БАЗОВЫЙ"),
     ("{'value': 'x'}", "БАЗОВЫЙ"),
     ("[{'value': None}, {'value': 'z'}]", "z, БАЗОВЫЙ"),
+    (r"[{'value': 'a\xa0b'}]", "a\u00a0b"), ("[{'value': 'a'},]", "a"), ("[{'value': 'a'}] junk", "БАЗОВЫЙ"),
+    (r"[{'value': 'it\'s, ]x'}]", "it's, ]x"), (r"[{'value': 'back\\x41'}]", r"back\x41"), ("[[1], {'value': 'q'}]", "q"),
 ])
 def test_region(spark, raw, expected):
     assert one(spark, P.parse_region, raw) == expected
@@ -27,6 +29,7 @@ def test_region(spark, raw, expected):
     ("{'value': 'X'}", "X"),
     ("{'value': 'X/', 'child': {'value': ''}}", "X"),
     ("oops", ""), (None, ""), ("[1]", ""), ("{'id': 1}", ""),
+    (r"{'value': 'a\xe9'}", "a\u00e9"), ("{'value': 'X', 'child': {'value': 'Y',},}", "X/Y"), ("{'value': 'X'} junk", ""),
 ])
 def test_subsystem(spark, raw, expected):
     assert one(spark, P.parse_subsystem, raw) == expected

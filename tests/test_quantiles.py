@@ -1,29 +1,40 @@
-"""Distributed exact selection equals numpy's percentile."""
+"""The distributed median equals ``percentile``, whatever the values."""
+
+import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from effortlab.operators.quantiles import exact_quantile
+from effortlab.operators import metrics as M
+from effortlab.operators.quantiles import exact_median
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize("values", [
+    [1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [1.0, 2.0, INF, INF, NAN], [INF, INF, 1.0, None], [-INF, 0.0, -0.0, 5.0],
+    [NAN, NAN, 1.0, 2.0], [0.25] * 50 + [1.0] * 49, []])
+def test_equals_percentile(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = exact_median(df, F.col("x")).first()[0]
+    want = df.agg(F.percentile("x", 0.5)).first()[0]
+    assert got == want or got is not None and math.isnan(got) and math.isnan(want)
 
 
-def test_exact_quantile_matches_numpy(spark):
+def test_many_values_over_many_partitions(spark):
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(size=30_000), np.full(5_000, 0.25), rng.exponential(size=5_000)])
+    vals = np.concatenate([rng.normal(size=30_000), np.full(5_000, 0.25), rng.exponential(size=5_001)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(8)
-    for q in (0.5, 0.01, 0.99, 0.0, 1.0):
-        got = exact_quantile(df, "x", q, fanout=16, collect_limit=500)
-        assert np.isclose(got, np.percentile(vals, q * 100), rtol=0, atol=1e-12), q
-    assert exact_quantile(df.filter(F.lit(False)), "x", 0.5) is None
+    assert exact_median(df, F.col("x")).first()[0] == np.median(vals)
 
 
-def test_metric_methods_agree(spark):
-    from effortlab.operators import metrics as M
+def test_metrics_use_it(spark):
     rng = np.random.default_rng(3)
-    rows = [(float(a), float(b)) for a, b in zip(rng.exponential(size=4000), rng.exponential(size=4000))]
-    df = spark.createDataFrame(rows, "y double, p double")
-    a = M.error_distribution(df, method="map").first().median_abs_error
-    b = M.error_distribution(df, method="select").first().median_abs_error
-    assert np.isclose(a, b, rtol=0, atol=1e-12)
-    c = M.mdape(df, method="map").first().mdape
-    d = M.mdape(df, method="select").first().mdape
-    assert np.isclose(c, d, rtol=0, atol=1e-9)
+    y, p = rng.exponential(size=(2, 4000))
+    y[:5] = 0
+    df = spark.createDataFrame(list(zip(y.tolist(), p.tolist(), strict=True)), "y double, p double")
+    assert np.isclose(M.error_distribution(df).first().median_abs_error, np.median(np.abs(y - p)))
+    k = y != 0
+    assert np.isclose(M.mdape(df).first().mdape, np.median(np.abs(y - p)[k] / y[k] * 100))
+    assert np.isclose(M.evaluate_effort(df).first().median_abs_error, np.median(np.abs(y - p)))

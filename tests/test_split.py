@@ -1,5 +1,6 @@
 """Split and fold properties; ranks equal the plain (single-task) window."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -39,11 +40,30 @@ def test_folds_balanced(spark):
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
 
 
-def test_fold_bounds_trim(spark):
-    f = SP.kfold_assign(ds(spark))
-    b = SP.fold_bounds(f).collect()
-    assert len(b) == 5 and all(r.lower <= r.upper for r in b)
-    train, val = SP.trim_fold(f, 0, SP.fold_bounds(f))
-    lo, hi = [(r.lower, r.upper) for r in b if r.fold == 0][0]
-    assert train.filter((F.col("logged_days") < lo) | (F.col("logged_days") > hi)).count() == 0
-    assert val.count() == f.filter("fold = 0").count()
+def test_fold_bounds_equal_plain_percentiles(spark):
+    import numpy as np
+    f = SP.kfold_assign(ds(spark).select("ticket_id", "logged_days"))
+    rows = [(r.fold, r.logged_days) for r in f.collect()]
+    for r in SP.fold_bounds(f).collect():
+        train = [y for k, y in rows if k != r.fold]
+        assert np.allclose([r.lower, r.upper], np.percentile(train, [1, 99]))
+    roles = SP.fold_roles(f).groupBy("cv_fold", "role").agg(F.count("*").alias("n"))
+    val = {r.cv_fold: r.n for r in roles.collect() if r.role == "val"}
+    assert sum(val.values()) == len(rows)
+
+
+def test_no_row_is_lost(spark):
+    rows = [(1, 0, "a"), (2, None, "b"), (3, 1, None), (4, None, "d"), (5, 0, "e"), (5, 0, "e2")]
+    d = spark.createDataFrame(rows, "ticket_id int, risk_level int, x string")
+    s = SP.stratified_split(d).collect()
+    assert sorted((r.ticket_id, r.risk_level, r.x) for r in s if r.x) == sorted(r for r in rows if r[2]) and len(s) == 6
+    assert len({r.split for r in s if r.ticket_id == 5}) == 1          # a repeated id has one label
+    f = SP.kfold_assign(d, k=2).collect()
+    assert len(f) == 6 and {r.fold for r in f} == {0, 1}
+
+
+def test_a_null_id_stops_the_job(spark):
+    d = spark.createDataFrame([(1, 0), (None, 1)], "ticket_id int, risk_level int")
+    for op in (SP.stratified_split, SP.kfold_assign):
+        with pytest.raises(Exception, match="ticket_id is null"):
+            op(d).collect()

@@ -13,14 +13,14 @@ def features(spark, summary, description):
 
 
 @pytest.mark.parametrize("summary,description,key,expected", [
-    ("Реализовать кнопку", "", "has_description", 0),
-    ("Реализовать кнопку", "Описание задачи.", "has_description", 1),
-    ("Задача", "{code}\nint x = 1;\n{code}", "has_code_block", 1),
-    ("Задача", "Просто текст без кода", "has_code_block", 0),
-    ("Разработать новый модуль отчётности", "", "is_dev_task", 1),
-    ("Implement new feature for auth", "", "is_dev_task", 1),
-    ("Тестирование API авторизации", "", "is_test_task", 1),
-    ("Анализ требований к модулю направлений", "", "is_analysis_task", 1),
+    ("Склад", "", "has_description", 0),
+    ("Склад", "Полки стоят криво", "has_description", 1),
+    ("Log", "see {code:java}f();{code}", "has_code_block", 1),
+    ("Log", "code without braces", "has_code_block", 0),
+    ("Кодирование штрихов", "", "is_dev_task", 1),
+    ("A FEATURE for couriers", "", "is_dev_task", 1),
+    ("Склад", "перепроверка весов", "is_test_task", 1),
+    ("Проектирование склада", "", "is_analysis_task", 1),
     ("Задача", "   \t\n", "has_description", 0),
     ("Задача", "{CODE", "has_code_block", 1),
     ("Оставить отзыв", "", "is_analysis_task", 1),
