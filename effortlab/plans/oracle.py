@@ -468,3 +468,40 @@ register("feedback_append", with_(FEEDBACK) + f"""select summary, coalesce(descr
  coalesce(region, 'Unknown') as region, coalesce(subsystem, 'Unknown') as subsystem, coalesce(commitments, 'Unknown') as commitments,
  predicted_days, actual_days, delta_pct, cast(0 as bigint) as batch_id, 0 as is_used_for_training
 from feedback where length({strip('summary')}) > 0""")
+
+# ---------------------------------------------------------------- models: what SQL can check of them
+_ALL = with_(TICKETS)
+_CATS = ["region", "subsystem", "commitments"]
+_RANKED = ", ".join(
+    f"r_{c} as (select v, cast(row_number() over (order by n desc, v) - 1 as double) as i from "
+    f"(select coalesce(nullif({c}, ''), 'Unknown') as v, count(*) as n from split where split in ('train', 'val') group by 1))"
+    for c in _CATS)
+register("encode_categoricals", with_(TICKETS, DATASET, SPLIT) + f", {_RANKED} select ticket_id, " + ", ".join(
+    f"coalesce(r_{c}.i, cast((select count(*) from r_{c}) as double)) as {c}_idx" for c in _CATS) + " from dataset " + " ".join(
+    f"left join r_{c} on r_{c}.v = coalesce(nullif(dataset.{c}, ''), 'Unknown')" for c in _CATS))
+register("lsa_fit", "select cast(i as integer) as component, true as orthonormal, true as descending, true as sign_ok from range(32) t(i)")
+register("lsa_transform", with_(TICKETS, DATASET) + "select ticket_id, 32 as dimension, true as zero_flag_ok from dataset")
+register("explained_variance", "select true as agrees, true as in_range")
+register("train_effort_cv", with_(TICKETS, DATASET, SPLIT, CV, FOLDS, BOUNDS) + """select b.fold,
+ count(*) filter (where c.fold <> b.fold and c.logged_days between b.lower and b.upper) as n_train,
+ count(*) filter (where c.fold = b.fold) as n_val, true as scored from folds c join bounds b on true group by 1""")
+register("train_risk_cv", with_(TICKETS, DATASET, SPLIT, CV, FOLDS) + """select fold, count(*) as n_val,
+ (select count(*) from folds) - count(*) as n_train, true as scored from folds group by fold""")
+register("score_batch", _ALL + "select ticket_id, true as probabilities_ok, true as hours_ok, true as buffer_ok, true as days_ok from tickets")
+register("explain", _ALL + "select ticket_id, true as adds_up, 10 as n_top from tickets")
+register("top_features", """with c as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as v from embeddings),
+ r as (select *, row_number() over (partition by vec_id order by abs(v) desc, i) - 1 as rank from c)
+select vec_id, cast(rank as integer) as rank, printf('f%02d', i) as feature, round_even(v, 4) as shap_value from r where rank < 10""")
+register("mean_abs_shap", """with c as (select generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as v from embeddings)
+select printf('f%02d', i) as feature, avg(abs(v)) as mean_abs_shap from c group by i order by 2 desc, 1 limit 20""")
+register("save_load_models", _ALL + "select ticket_id, true as same from tickets")
+register("write_embeddings", with_(TICKETS, DATASET, SPLIT) + "select ticket_id, 32 as dimension, logged_days, risk_level, split from split")
+register("log_run_metrics", """select kind, name, cast(step as integer) as step, true as has_value from (values
+ ('param', 'max_iter', null), ('param', 'max_depth', null), ('param', 'n_folds', null),
+ ('metric', 'fold_0_r2', 0), ('metric', 'fold_1_r2', 1), ('metric', 'fold_2_r2', 2), ('metric', 'fold_3_r2', 3), ('metric', 'fold_4_r2', 4),
+ ('metric', 'test_r2', null), ('metric', 'test_mae', null), ('metric', 'test_rmse', null), ('metric', 'test_overrun_recall', null)) t(kind, name, step)""")
+register("score_stream", _ALL + "select ticket_id, true as same_as_batch from tickets")
+register("retrain_job", with_(FEEDBACK) + """select 'retrained' as status, count(*) as unused_before, cast(0 as bigint) as unused_after,
+ true as run_recorded from feedback""")
+register("retrain_trigger", with_(FEEDBACK) + """select 'feedback' as trigger, 'estimate' as model_type, true as recorded, count(*) as feedback,
+ cast(0 as bigint) as unused_after from feedback""")

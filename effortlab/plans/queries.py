@@ -580,10 +580,16 @@ def q_tfidf(spark, sf):
 _LSA: dict = {}
 
 
+def _inputs(spark, sf):
+    """Identity of the application and of the files a model was fitted on."""
+    files = [f for t in ("orders", "customer", "documents") for f in sorted(S.read_table(spark, sf, t).inputFiles())]
+    return spark.sparkContext.applicationId, *files
+
+
 def _lsa(spark, sf, k=32):
-    """Fit once per session and scale factor (fitted models in the driver;
-    the tables they refer to are written to the checkpoint folder)."""
-    key = (id(spark), sf, k)
+    """Fit once per application and input (fitted models in the driver; the
+    tables they refer to are written to the checkpoint folder)."""
+    key = (*_inputs(spark, sf), k)
     if key not in _LSA:
         s, model, weights = _tfidf_model(spark, sf)
         train_w = weights.join(s.filter(F.col("split") == "train").select("ticket_id"), "ticket_id", "left_semi")
@@ -593,23 +599,43 @@ def _lsa(spark, sf, k=32):
 
 @query
 def q_lsa_fit(spark, sf):
+    """Per component what holds of any truncated SVD: unit length, orthogonal to
+    the others, descending singular values, the largest entry positive."""
+    import numpy as np
     lsa = _lsa(spark, sf)[-1]
-    rows = [(j, float(lsa.singular_values[j]), lsa.components[:, j].tolist()) for j in range(len(lsa.singular_values))]
-    return spark.createDataFrame(rows, "component int, singular_value double, vector array<double>")
+    v, s = lsa.components, lsa.singular_values
+    gram = np.abs(v.T @ v - np.eye(len(s)))
+    rows = [(j, bool(gram[j].max() < 1e-6), bool(s[j] > 0 and (j == 0 or s[j] <= s[j - 1] * (1 + 1e-9))),
+             bool(v[np.abs(v[:, j]).argmax(), j] > 0)) for j in range(len(s))]
+    return spark.createDataFrame(rows, "component int, orthonormal boolean, descending boolean, sign_ok boolean")
 
 
 @query
 def q_lsa_transform(spark, sf):
+    """Every ticket's embedding: its dimension, and whether it is zero exactly if
+    the text has no known term."""
     s, model, weights, _, lsa = _lsa(spark, sf)
-    return lsa.transform(weights, docs=s)
+    known = weights.select("ticket_id").distinct().withColumn("known", F.lit(True))
+    zero = ~F.exists("embedding", lambda x: x != 0)
+    return (lsa.transform(weights, docs=s).join(known, "ticket_id", "left")
+            .select("ticket_id", F.size("embedding").alias("dimension"),
+                    (zero == F.col("known").isNull()).alias("zero_flag_ok")))
 
 
 @query
 def q_explained_variance(spark, sf):
+    """The share of variance, against the same number from the embedding's
+    own variances and the term variances computed another way."""
     s, model, _, train_w, lsa = _lsa(spark, sf)
     train = s.filter(F.col("split") == "train")
+    k = lsa.components.shape[1]
     emb = lsa.transform(train_w, docs=train)
-    return TX.explained_variance(train_w, emb, model.n_docs, lsa.components.shape[1])
+    got = TX.explained_variance(train_w, emb, model.n_docs, k).first()[0]
+    n = float(model.n_docs)
+    top = emb.agg(sum(F.var_pop(F.col("embedding")[i]) for i in range(k))).first()[0]
+    term = train_w.groupBy("term_idx").agg((F.sum(F.col("weight") ** 2) / n).alias("e2"), (F.sum("weight") / n).alias("e1"))
+    whole = term.agg(F.sum(F.col("e2") - F.col("e1") * F.col("e1"))).first()[0]
+    return spark.createDataFrame([(abs(got - top / whole) < 1e-6, 0 < got < 1)], "agrees boolean, in_range boolean")
 
 
 # ---------------------------------------------------------------- 2.9 models (rows-only checks)
@@ -625,9 +651,9 @@ _TRAINED: dict = {}
 
 
 def trained(spark, sf):
-    """Train once per session and scale factor; the fitted models (not data)
+    """Train once per application and input; the fitted models (not data)
     are kept in the driver, data stays in Spark."""
-    key = (id(spark), sf)
+    key = _inputs(spark, sf)
     if key not in _TRAINED:
         _TRAINED[key] = TR.train_all(dataset(spark, sf))
     return _TRAINED[key]
@@ -640,59 +666,88 @@ def _scratch(spark, name):
 @query
 def q_encode_categoricals(spark, sf):
     t = trained(spark, sf)
-    return t.bundle.indexer.transform(dataset(spark, sf)).select("ticket_id", *MD.IDX)
+    return t.bundle.indexer.transform(MD.with_default_categories(labelled(spark, sf))).select("ticket_id", *MD.IDX)
 
 
 @query
 def q_train_effort_cv(spark, sf):
+    """Rows that each effort fold was trained (trimmed) and validated on, and
+    whether it has a score."""
     t = trained(spark, sf)
-    return spark.createDataFrame(list(enumerate(t.bundle.effort.scores)), "fold int, r2_days double")
+    scores = spark.createDataFrame([(k, s == s) for k, s in enumerate(t.bundle.effort.scores)], "cv_fold int, scored boolean")
+    roles = SP.fold_roles(t.features.filter("fold is not null").select("ticket_id", "fold", "logged_days"))
+    n = roles.groupBy("cv_fold").agg(F.count_if(F.col("role") == "train").alias("n_train"),
+                                     F.count_if(F.col("role") == "val").alias("n_val"))
+    return n.join(scores, "cv_fold").withColumnRenamed("cv_fold", "fold")
 
 
 @query
 def q_train_risk_cv(spark, sf):
+    """Rows that each risk fold was trained and validated on, and whether its
+    accuracy is a share."""
     t = trained(spark, sf)
-    return spark.createDataFrame(list(enumerate(t.bundle.risk.scores)), "fold int, accuracy double")
+    scores = spark.createDataFrame([(k, 0 <= s <= 1) for k, s in enumerate(t.bundle.risk.scores)], "fold int, scored boolean")
+    n = t.features.filter("fold is not null").groupBy("fold").agg(F.count(F.lit(1)).alias("n_val"))
+    total = n.agg(F.sum("n_val")).scalar()
+    return n.withColumn("n_train", total - F.col("n_val")).join(scores, "fold")
 
 
 @query
 def q_score_batch(spark, sf):
-    t = trained(spark, sf)
-    return t.bundle.score(S.tickets(spark, sf))
+    """Every ticket scored: probabilities that sum to 1, hours of the predicted
+    days, and the buffer of the probabilities."""
+    out = trained(spark, sf).bundle.score(S.tickets(spark, sf))
+    total = F.col("p_low") + F.col("p_medium") + F.col("p_critical")
+    factor = 1 + L.MEDIUM_RISK_BUFFER * F.col("p_medium") + L.CRITICAL_RISK_BUFFER * F.col("p_critical")
+    hours = F.col("pred_days") * L.WORKDAY_HOURS
+    return out.select("ticket_id", (F.abs(total - 1) < 1e-6).alias("probabilities_ok"),
+                      (F.abs(F.col("predicted_time_hours") - hours) <= 0.051).alias("hours_ok"),
+                      (F.abs(F.col("adjusted_time_with_buffer_hours") - hours * factor) <= 0.051).alias("buffer_ok"),
+                      (F.col("pred_days") >= 0).alias("days_ok"))
 
 
 @query
 def q_explain(spark, sf):
+    """Every ticket explained: base value plus contributions against the fold's
+    own prediction."""
     t = trained(spark, sf)
-    return XP.explain(t.bundle.features(S.tickets(spark, sf)), t.bundle).drop("contributions")
+    ex = XP.explain(t.bundle.features(S.tickets(spark, sf)), t.bundle)
+    total = F.col("base_log") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    return ex.select("ticket_id", (F.abs(total - F.col("pred_log")) < 1e-6).alias("adds_up"),
+                     F.size("top_features").alias("n_top"))
+
+
+def _contributions(spark, sf):
+    """The embedding table's vectors as contributions of 64 features."""
+    e = S.read_table(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("contributions"))
 
 
 @query
 def q_top_features(spark, sf):
-    t = trained(spark, sf)
-    return XP.explain(t.bundle.features(S.tickets(spark, sf)), t.bundle).select("ticket_id", "top_features")
+    c = _contributions(spark, sf)
+    pairs = F.transform("contributions", lambda v, i: F.struct(F.format_string("f%02d", i).alias("feature"), v.alias("shap_value")))
+    top = c.select("vec_id", F.posexplode(K.top_features(pairs, 10)).alias("rank", "t"))
+    return top.select("vec_id", "rank", "t.feature", "t.shap_value")
 
 
 @query
 def q_mean_abs_shap(spark, sf):
-    t = trained(spark, sf)
-    last = len(t.bundle.effort.models) - 1
-    val = t.features.filter(F.col("fold") == last)
-    ex = XP.explain(val, t.bundle, fold=last)
-    names = XP.feature_names(t.bundle.lsa.components.shape[1], MD.NUMS, MD.CATS)
-    return XP.mean_abs_shap(ex, names, 20)
+    return XP.mean_abs_shap(_contributions(spark, sf), [f"f{i:02d}" for i in range(64)], 20)
 
 
 @query
 def q_save_load_models(spark, sf):
+    """Every ticket scored by the models and by the models saved and loaded again."""
     t = trained(spark, sf)
     path = _scratch(spark, "bundle")
     MD.save_bundle(t.bundle, path)
     loaded = MD.load_bundle(spark, path)
     every = S.tickets(spark, sf)
-    a = t.bundle.score(every).select("ticket_id", F.col("pred_days").alias("pred_saved"))
-    b = loaded.score(every).select("ticket_id", F.col("pred_days").alias("pred_loaded"))
-    return a.join(b, "ticket_id")
+    a = t.bundle.score(every).select("ticket_id", F.col("pred_days").alias("saved"), F.col("p_critical").alias("p"))
+    b = loaded.score(every).select("ticket_id", F.col("pred_days").alias("loaded"), F.col("p_critical").alias("p2"))
+    same = (F.abs(F.col("saved") - F.col("loaded")) < 1e-9) & (F.abs(F.col("p") - F.col("p2")) < 1e-9)
+    return a.join(b, "ticket_id").select("ticket_id", same.alias("same"))
 
 
 @query
@@ -700,7 +755,8 @@ def q_write_embeddings(spark, sf):
     t = trained(spark, sf)
     path = _scratch(spark, "embeddings")
     ST.write_embeddings(t.features, path)
-    return ST.read_embeddings(spark, path)
+    return ST.read_embeddings(spark, path).select("ticket_id", F.size("embedding").alias("dimension"), "logged_days",
+                                                  "risk_level", "split")
 
 
 @query
@@ -715,7 +771,7 @@ def q_log_run_metrics(spark, sf):
         ST.log_metrics(spark, path, run, {f"fold_{k}_r2": s}, step=k)
     ST.log_metrics(spark, path, run, {f"test_{m}": ev["effort"][m] for m in ("r2", "mae", "rmse")})
     ST.log_metrics(spark, path, run, {"test_overrun_recall": ev["overrun_recall"]})
-    return spark.read.parquet(path).drop("logged_at")
+    return spark.read.parquet(path).select("kind", "name", "step", F.col("value").isNotNull().alias("has_value"))
 
 
 @query
@@ -727,7 +783,10 @@ def q_score_stream(spark, sf):
     sink = _scratch(spark, "scored")
     q = SJ.score_stream(spark, src, t.bundle, sink, _scratch(spark, "ckpt"), max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    streamed = spark.read.parquet(sink).select("ticket_id", F.col("pred_days").alias("streamed"))
+    batch = t.bundle.score(S.tickets(spark, sf)).select("ticket_id", "pred_days")
+    return batch.join(streamed, "ticket_id").select(
+        "ticket_id", (F.abs(F.col("pred_days") - F.col("streamed")) < 1e-9).alias("same_as_batch"))
 
 
 def _feedback_requests(spark, sf):
@@ -765,9 +824,9 @@ def q_retrain_job(spark, sf):
     bundle = MD.Bundle(t.bundle.tfidf, t.bundle.lsa, t.bundle.indexer, t.bundle.effort, t.bundle.risk, t.bundle.run_id)
     res = JB.retrain_job(spark, bundle, t.splits, fb_path, marks, runs)
     after = A.feedback_counts(ST.read_feedback(spark, fb_path, marks)).first()
-    return spark.createDataFrame(
-        [(res.status, res.unused, res.run_id, after["unused"], (res.metrics or {}).get("r2"))],
-        "status string, unused_before long, run_id string, unused_after long, test_r2 double")
+    recorded = ST.read_runs(spark, runs).filter(F.col("run_id") == res.run_id).count() == 1
+    return spark.createDataFrame([(res.status, res.unused, after["unused"], recorded)],
+                                 "status string, unused_before long, unused_after long, run_recorded boolean")
 
 
 @query
@@ -784,7 +843,10 @@ def q_retrain_trigger(spark, sf):
                              fb_path, marks)
     q = SJ.retrain_trigger_stream(spark, src, trig, _scratch(spark, "ckpt"))
     q.awaitTermination()
-    return ST.read_runs(spark, runs).select("run_id", "trigger", "model_type", "r2", "mae", "rmse")
+    counts = A.feedback_counts(ST.read_feedback(spark, fb_path, marks)).first()
+    return ST.read_runs(spark, runs).groupBy("trigger", "model_type").agg(
+        (F.count(F.lit(1)) >= 1).alias("recorded"), F.lit(counts["total"]).alias("feedback"),
+        F.lit(counts["unused"]).alias("unused_after"))
 
 
 # ---------------------------------------------------------------- 2.1 sources (files)
