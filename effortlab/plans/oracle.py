@@ -376,7 +376,9 @@ select * from (select 'subsystem', subsystem, count(*), round_even(avg(ae), 2),
  from e where subsystem is not null group by subsystem order by avg(ae) desc, subsystem limit 10)
 union all
 select 'region', region, count(*), round_even(avg(ae), 2), round_even(quantile_cont(logged_days, 0.5), 2)
- from e where region is not null group by region""")
+ from e where region is not null group by region
+union all
+select * from (select 'worst', cast(ticket_id as varchar), 1, round_even(ae, 2), round_even(logged_days, 2) from e order by ae desc, ticket_id limit 10)""")
 _LATEST_EST = """le as (select * from runs_latest where model_type = 'estimate' order by created_at desc, run_id desc limit 1),
 lr as (select * from runs_latest where model_type = 'risk' order by created_at desc, run_id desc limit 1)"""
 register("metrics_report", with_(RUNS, RUNS_LATEST, FEEDBACK, _LATEST_EST) + """, fm as (
@@ -464,10 +466,10 @@ register("read_features_csv", with_(TICKETS, DATASET, SPLIT) + """select text, e
  commitments, has_description, has_code_block, is_dev_task, is_test_task, is_analysis_task, text_len, word_count
  from split where split = 'train'""")
 
-register("feedback_append", with_(FEEDBACK) + f"""select summary, coalesce(description, '') as description,
+register("feedback_append", with_(FEEDBACK) + f"""select cast(id as varchar) as ticket_id, summary, coalesce(description, '') as description,
  coalesce(region, 'Unknown') as region, coalesce(subsystem, 'Unknown') as subsystem, coalesce(commitments, 'Unknown') as commitments,
  predicted_days, actual_days, delta_pct, cast(0 as bigint) as batch_id, 0 as is_used_for_training
-from feedback where length({strip('summary')}) > 0""")
+from feedback where length({strip('summary')}) > 0 and predicted_days is not null and actual_days is not null""")
 
 # ---------------------------------------------------------------- models: what SQL can check of them
 _ALL = with_(TICKETS)
@@ -502,6 +504,6 @@ register("log_run_metrics", """select kind, name, cast(step as integer) as step,
  ('metric', 'test_r2', null), ('metric', 'test_mae', null), ('metric', 'test_rmse', null), ('metric', 'test_overrun_recall', null)) t(kind, name, step)""")
 register("score_stream", _ALL + "select ticket_id, true as same_as_batch from tickets")
 register("retrain_job", with_(FEEDBACK) + """select 'retrained' as status, count(*) as unused_before, cast(0 as bigint) as unused_after,
- true as run_recorded from feedback""")
+ true as run_recorded, true as bundle_loadable, cast(3 as bigint) as test_metrics from feedback""")
 register("retrain_trigger", with_(FEEDBACK) + """select 'feedback' as trigger, 'estimate' as model_type, true as recorded, count(*) as feedback,
  cast(0 as bigint) as unused_after from feedback""")

@@ -822,11 +822,15 @@ def q_retrain_job(spark, sf):
     fb_path, marks, runs = _scratch(spark, "feedback"), _scratch(spark, "marks"), _scratch(spark, "runs")
     ST.append_feedback(_feedback_requests(spark, sf), fb_path, batch_id=0)
     bundle = MD.Bundle(t.bundle.tfidf, t.bundle.lsa, t.bundle.indexer, t.bundle.effort, t.bundle.risk, t.bundle.run_id)
-    res = JB.retrain_job(spark, bundle, t.splits, fb_path, marks, runs)
+    models, metrics = _scratch(spark, "models"), _scratch(spark, "run-metrics")
+    res = JB.retrain_job(spark, bundle, t.splits, fb_path, marks, runs, models_path=models, metrics_path=metrics)
     after = A.feedback_counts(ST.read_feedback(spark, fb_path, marks)).first()
     recorded = ST.read_runs(spark, runs).filter(F.col("run_id") == res.run_id).count() == 1
-    return spark.createDataFrame([(res.status, res.unused, after["unused"], recorded)],
-                                 "status string, unused_before long, unused_after long, run_recorded boolean")
+    loaded = MD.load_bundle(spark, f"{models}/{res.run_id}")
+    logged = spark.read.parquet(metrics).filter((F.col("run_id") == res.run_id) & F.col("name").startswith("test_")).count()
+    return spark.createDataFrame([(res.status, res.unused, after["unused"], recorded, loaded.run_id == res.run_id, logged)],
+                                 "status string, unused_before long, unused_after long, run_recorded boolean, "
+                                 "bundle_loadable boolean, test_metrics long")
 
 
 @query

@@ -66,20 +66,25 @@ def with_errors(preds: DataFrame, actual: str = "logged_days", pred: str = "pred
 
 
 def error_report(preds: DataFrame, top_n: int = 10, decimals: int | None = 2) -> DataFrame:
-    """Overall MAE, the N subsystems with the largest MAE and every region,
-    as one long table (section, group, count, mae, median_actual)."""
+    """Overall MAE, the N subsystems with the largest MAE, every region and
+    the N worst predictions (the group is the ticket, its error stands under mae
+    and its actual days under median_actual), as one long table (section, group,
+    count, mae, median_actual)."""
     e = with_errors(preds)
     overall = e.agg(F.count("abs_error_days").alias("count"), F.avg("abs_error_days").alias("mae"),
                     A.median("actual_days").alias("median_actual"))
     overall = overall.select(F.lit("overall").alias("section"), F.lit(None).cast("string").alias("group"), "*")
     sub = K.top_n_groups(M.grouped_errors(e, "subsystem", decimals=None), "subsystem", top_n)
     reg = M.grouped_errors(e, "region", decimals=None)
+    worst = K.worst_predictions(e, top_n, decimals=None).select(
+        F.lit("worst").alias("section"), F.col("ticket_id").cast("string").alias("group"), F.lit(1).cast("long").alias("count"),
+        F.col("abs_error_days").alias("mae"), F.col("actual_days").alias("median_actual"))
     parts = [overall,
              sub.select(F.lit("subsystem").alias("section"), F.col("subsystem").alias("group"),
                         "count", "mae", "median_actual"),
              reg.select(F.lit("region").alias("section"), F.col("region").alias("group"),
                         "count", "mae", "median_actual")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(worst)
     if decimals is not None:
         out = out.withColumns({"mae": F.bround("mae", decimals), "median_actual": F.bround("median_actual", decimals)})
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from ..operators import models as MD
 from ..operators import split as SP
 from ..operators import text as TX
 from ..session import materialize
+from ..sources import store as ST
 
 
 @dataclass
@@ -21,6 +23,14 @@ class Trained:
     features: DataFrame      # model inputs + split + fold for CV rows (materialised)
 
 
+@dataclass
+class RunStore:
+    """Where training leaves its models, run records and metrics."""
+    models: str
+    runs: str
+    metrics: str
+
+
 def fit_text(splits: DataFrame, k: int = 32, doc: str = "ticket_id", min_df: int = 2,
              max_features: int = 25_000, text: str = "text"):
     """TF-IDF fitted on the training rows (one tokenisation pass), then LSA
@@ -32,9 +42,10 @@ def fit_text(splits: DataFrame, k: int = 32, doc: str = "ticket_id", min_df: int
 
 def train_all(dataset: DataFrame, k: int = 32, folds: int = 5, with_risk: bool = True,
               effort_params: MD.EffortParams | None = None, risk_params: MD.RiskParams | None = None,
-              run_id: str | None = None) -> Trained:
+              run_id: str | None = None, store: RunStore | None = None) -> Trained:
     """Split once and cut lineage there and after featurisation (both are
-    read by every fold)."""
+    read by every fold).  With ``store`` the bundle is saved, its parameters
+    and metrics logged and its runs recorded."""
     splits = materialize(SP.stratified_split(dataset), "splits")
     # Serving strips the text; train on the same text (no train/serve skew).
     from ..functions import text as T
@@ -49,7 +60,28 @@ def train_all(dataset: DataFrame, k: int = 32, folds: int = 5, with_risk: bool =
     effort = MD.train_effort_cv(cv, folds, params=effort_params)
     risk = MD.train_risk_cv(cv, folds, params=risk_params) if with_risk else None
     bundle = MD.Bundle(tfidf, lsa, indexer, effort, risk, run_id or uuid.uuid4().hex)
-    return Trained(bundle, splits, feats)
+    trained = Trained(bundle, splits, feats)
+    if store:
+        record(trained, store, effort_params or MD.EffortParams(), risk_params or MD.RiskParams())
+    return trained
+
+
+def record(trained: Trained, store: RunStore, effort_params: MD.EffortParams, risk_params: MD.RiskParams,
+           trigger: str = "manual") -> None:
+    """Save first, then log, then record: a recorded run always has its models."""
+    b, spark = trained.bundle, trained.splits.sparkSession
+    MD.save_bundle(b, f"{store.models}/{b.run_id}")
+    ev = evaluate_bundle(trained)
+    eff = {f"test_{m}": ev["effort"][m] for m in ("r2", "mae", "rmse")}
+    ST.log_run(spark, store.metrics, b.run_id, dataclasses.asdict(effort_params), eff, b.effort.scores)
+    ST.append_run(spark, store.runs, {"run_id": b.run_id, "trigger": trigger, "model_type": "estimate",
+                                      **{m: ev["effort"][m] for m in ("r2", "mae", "rmse")}, "fold_scores": b.effort.scores})
+    if b.risk is not None:
+        risk_id = f"{b.run_id}-risk"
+        ST.log_run(spark, store.metrics, risk_id, dataclasses.asdict(risk_params),
+                   {"test_overrun_recall": ev["overrun_recall"]}, b.risk.scores)
+        ST.append_run(spark, store.runs, {"run_id": risk_id, "trigger": trigger, "model_type": "risk",
+                                          "overrun_recall": ev["overrun_recall"], "fold_scores": b.risk.scores})
 
 
 def evaluate_bundle(trained: Trained) -> dict:

@@ -9,7 +9,7 @@ replayed micro-batch overwrites only its own ``batch_id`` partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from ..operators.topk import latest_per_key
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
+    T.StructField("ticket_id", T.StringType()),
     T.StructField("summary", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("region", T.StringType()),
@@ -46,14 +47,15 @@ RUNS_SCHEMA = T.StructType([
 def feedback_rows(requests: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     """Validated feedback requests -> store rows (UTC time, id, signed delta).
 
-    Ids are the batch id, a hash of the row content and the row's position
-    in its input partition.  A file source splits the same files the same
-    way, so recomputing a batch after a lost executor yields the same ids;
-    identical requests still get distinct ids, without grouping them (one
-    request repeated many times can not overload a task).  Categories
-    default to 'Unknown', description to ''.
+    The id is the request's own (``request_id``; the stream readers derive it
+    from the file and the row in it).  Without one it is a hash of the batch and
+    the content, plus a number for identical requests.  Either way it does not
+    depend on how the input is split, so a batch that is replayed with other
+    settings keeps its ids and their marks.  Requests with a blank summary or
+    without both numbers are left out (see :func:`rejected_feedback`).
+    Categories default to 'Unknown', description to ''.
     """
-    ok, _ = L.split_valid(requests)
+    ok = requests.filter(_acceptable())
     bid = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
     desc = F.coalesce(F.col("description"), F.lit("")) if "description" in ok.columns else F.lit("")
     cats = {c: (L.default_category(c, empty_is_missing=False) if c in ok.columns else F.lit(L.UNKNOWN))
@@ -63,6 +65,9 @@ def feedback_rows(requests: DataFrame, batch_id: int | Column = 0) -> DataFrame:
         cats["subsystem"].alias("subsystem"), cats["commitments"].alias("commitments"),
         F.col("predicted_days").cast("double").alias("predicted_days"),
         F.col("actual_days").cast("double").alias("actual_days"),
+        *([F.col("ticket_id").cast("string").alias("ticket_id")] if "ticket_id" in ok.columns
+          else [F.lit(None).cast("string").alias("ticket_id")]),
+        *([F.col("request_id").cast("string").alias("_request")] if "request_id" in ok.columns else []),
     )
     rows = rows.withColumns({
         "delta_pct": L.delta_pct("predicted_days", "actual_days"),
@@ -72,16 +77,35 @@ def feedback_rows(requests: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     content = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
                                       for c in ["batch_id", "summary", "description", "region", "subsystem",
                                                 "commitments", "predicted_days", "actual_days"]])
-    rows = rows.withColumn("id", F.concat_ws("-", F.col("batch_id").cast("string"), F.sha2(content, 256),
-                                             F.monotonically_increasing_id().cast("string")))
+    digest = F.sha2(content, 256)
+    if "_request" in rows.columns:
+        own = F.coalesce(F.col("_request"), digest)
+    else:
+        same = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))   # identical rows: any order
+        rows = rows.withColumn("_digest", digest)
+        own = F.concat_ws("-", "_digest", same.cast("string"))
+    rows = rows.withColumn("id", F.concat_ws("-", F.col("batch_id").cast("string"), own))
     return rows.select(*FEEDBACK_SCHEMA.fieldNames())
 
 
+def _acceptable() -> Column:
+    numbers = [F.col(c).cast("double").isNotNull() for c in ("predicted_days", "actual_days")]
+    return F.coalesce(~L.is_blank("summary") & numbers[0] & numbers[1], F.lit(False))
+
+
+def rejected_feedback(requests: DataFrame) -> DataFrame:
+    """The requests that the store does not take, as they came."""
+    return requests.filter(~_acceptable())
+
+
 def append_feedback(requests: DataFrame, path: str, batch_id: int = 0) -> DataFrame:
-    """Write one batch (replay-safe: only this batch's partition is replaced)."""
+    """Write one batch (replay-safe: only this batch's partition is replaced);
+    rejected requests go to ``<path>_rejected``."""
     rows = feedback_rows(requests, batch_id)
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+    bad = rejected_feedback(requests).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    for df, to in ((rows, path), (bad, path + "_rejected")):
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(to))
     return rows
 
 
@@ -164,6 +188,17 @@ def insert_if_absent(runs: DataFrame, defaults: DataFrame, force: bool = False,
     return runs.unionByName(add, allowMissingColumns=True)
 
 
+def log_run(spark: SparkSession, path: str, run_id: str, params: dict, metrics: dict, fold_scores: list[float]) -> None:
+    """All parameters and metrics of a run in one write, which replaces what a
+    broken-off attempt of the same run left."""
+    rows = [("param", str(k), None, float(v)) for k, v in params.items()]
+    rows += [("metric", f"fold_{k}_score", k, float(v)) for k, v in enumerate(fold_scores)]
+    rows += [("metric", str(k), None, float(v) if v is not None else None) for k, v in metrics.items()]
+    (spark.createDataFrame(rows, "kind string, name string, step int, value double")
+     .withColumns({"logged_at": F.current_timestamp(), "run_id": F.lit(run_id)})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+
+
 def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: dict, step: int | None = None,
                 kind: str = "metric") -> None:
     """Append params/metrics of a run as a long table (run_id, kind, name, step, value)."""
