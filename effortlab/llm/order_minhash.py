@@ -52,7 +52,7 @@ def _part(x: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str, *, k: int = K) -> DataFrame:
     """``df`` with ``out``: one long per part, null where the text fills it not."""
     step = f"__{out}"
-    df = df.withColumn(step, F.filter(F.split(F.col(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    df = df.withColumn(step, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     kmers = F.transform(F.col(step), lambda w: F.xxhash64(w))
     for i in range(1, k):                                # lengthened word by word
         kmers = F.zip_with(kmers, F.slice(F.col(step), i + 1, F.greatest(F.size(step), F.lit(1))),
@@ -71,7 +71,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str, *, k: int = K) -> DataF
     of_part = lambda b: F.transform(F.filter(F.col(step), lambda x: _part(x) == b),
                                     lambda x: x.bitwiseAND(_long((1 << _HASH) - 1)))
     tuples = F.transform(F.sequence(_long(0), _long(BINS - 1)), of_part)
-    return df.withColumn(out, F.transform(tuples, lambda t: F.when(F.size(t) > 0, F.xxhash64(t)))).drop(step)
+    codes = F.transform(tuples, lambda t: F.when(F.size(t) > 0, F.xxhash64(t)))
+    # The selection is read twice: the optimizer then keeps it a column of its own and
+    # does not compute it anew for every part.
+    return df.withColumn(out, F.when(F.col(step).isNotNull(), codes)).drop(step)
 
 
 def as_string(fingerprint: Column) -> Column:
