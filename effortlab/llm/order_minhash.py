@@ -74,7 +74,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, *, k: int = K) -> DataF
     codes = F.transform(tuples, lambda t: F.when(F.size(t) > 0, F.xxhash64(t)))
     # The selection is read twice: the optimizer then keeps it a column of its own and
     # does not compute it anew for every part.
-    return df.withColumn(out, F.when(F.col(step).isNotNull(), codes)).drop(step)
+    return df.withColumn(out, F.when(F.size(step) >= 0, codes)).drop(step)
 
 
 def as_string(fingerprint: Column) -> Column:
