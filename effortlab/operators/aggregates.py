@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import MINUTES_SAVED_PER_FEEDBACK, RETRAIN_THRESHOLD
+from ..functions.labels import RETRAIN_THRESHOLD
 
 
 def percentile(c, p, accuracy: int | None = None) -> Column:
@@ -51,16 +51,6 @@ def feedback_metrics(fb: DataFrame, delta="delta_pct") -> DataFrame:
     )
 
 
-def hours_saved(n: Column) -> Column:
-    return F.bround(n * (MINUTES_SAVED_PER_FEEDBACK / 60.0), 1)
-
-
-def risk_distribution(df: DataFrame, label="risk_level") -> DataFrame:
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
-    # The window spans the (at most 3-row) aggregate, not the data.
-    return counts.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
-
-
 def target_profile(df: DataFrame, target="logged_days") -> DataFrame:
     y = F.col(target)
     return df.agg(
@@ -100,10 +90,6 @@ def row_accounting(before: DataFrame, after: DataFrame) -> DataFrame:
         "share_dropped", 1.0 - F.col("rows_kept") / F.col("rows_imported"))
 
 
-def split_accounting(df: DataFrame, split="split") -> DataFrame:
-    return df.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 def fold_summary(scores: DataFrame, score="score", by=None) -> DataFrame:
     """Mean and population std of fold scores."""
     g = scores.groupBy(*by) if by else scores

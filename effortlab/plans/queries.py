@@ -395,7 +395,7 @@ def q_row_accounting(spark, sf):
 @query
 def q_hours_saved(spark, sf):
     fb = S.feedback(spark, sf).agg(F.count(F.lit(1)).alias("feedbacks_collected"))
-    return fb.withColumn("hours_saved", A.hours_saved(F.col("feedbacks_collected")))
+    return fb.withColumn("hours_saved", L.hours_saved(F.col("feedbacks_collected")))
 
 
 # ---------------------------------------------------------------- 2.5 top-k

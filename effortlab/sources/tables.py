@@ -115,12 +115,6 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 N_FOLDS = 5
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic fold predictions for valid tickets (one row per ticket)."""
-    from ..plans.prepare import prepare_dataset
-    return with_fold_predictions(prepare_dataset(tickets(spark, sf_dir, documents=False)))
-
-
 def with_fold_predictions(ds: DataFrame) -> DataFrame:
     """Add ``pred_log_k`` and fold class probabilities ``p{c}_k``: exact
     functions of the ticket, so every metric over them has an exact oracle."""

@@ -57,7 +57,7 @@ def test_feedback_counts_and_hours(spark):
     df = spark.createDataFrame([(0,)] * 12, "is_used_for_training int")
     r = A.feedback_counts(df, 50).first()
     assert (r.unused, r.retrain_ready, r.remaining) == (12, False, 38)
-    assert spark.range(1).select(A.hours_saved(F.lit(12)).alias("h")).first().h == 3.0
+    assert spark.range(1).select(L.hours_saved(F.lit(12)).alias("h")).first().h == 3.0
 
 
 def test_fold_scores_json_roundtrip(spark):

@@ -67,6 +67,60 @@ def test_explanations_add_up(spark, trained):
     assert len(top) == 10 and all(abs(top[i].shap_value) >= abs(top[i + 1].shap_value) for i in range(9))
 
 
+def test_tree_shap_equals_shapley_by_definition():
+    from itertools import combinations
+
+    import numpy as np
+    rng = np.random.default_rng(4)
+    # Depth 3; feature 1 is tested twice on one path, 3 nowhere.
+    tab = {"feature": np.array([0, 1, 2, 1, 0, -1, -1] + [-1] * 6), "root": 0, "weight": 0.5,
+           "left": np.array([1, 3, 5, 7, 9, -1, -1] + [-1] * 6), "right": np.array([2, 4, 6, 8, 10, -1, -1] + [-1] * 6),
+           "threshold": np.array([0.0, 0.5, -0.2, -0.5, 1.0, 0, 0] + [0.0] * 6), "value": rng.normal(size=13)}
+    cover = np.zeros(13)
+    cover[[5, 6, 7, 8, 9, 10]] = [3, 9, 2, 6, 4, 5]
+    for j in (4, 3, 2, 1, 0):
+        cover[j] = cover[tab["left"][j]] + cover[tab["right"][j]]
+    tab["cover"] = cover
+
+    def expected(x, known, j=0):
+        if tab["left"][j] < 0:
+            return tab["value"][j]
+        a, b = tab["left"][j], tab["right"][j]
+        if tab["feature"][j] in known:
+            return expected(x, known, a if x[tab["feature"][j]] <= tab["threshold"][j] else b)
+        return (cover[a] * expected(x, known, a) + cover[b] * expected(x, known, b)) / cover[j]
+
+    x = rng.normal(size=(200, 4))
+    phi = np.zeros((200, 4))
+    XP.tree_shap(tab, XP.leaf_tables(tab), x, phi)
+    for row, got in zip(x, phi, strict=True):
+        for f in range(4):
+            rest = [i for i in range(4) if i != f]
+            want = sum(math.factorial(n) * math.factorial(3 - n) / math.factorial(4) * (expected(row, {*c, f}) - expected(row, set(c)))
+                       for n in range(4) for c in combinations(rest, n))
+            assert abs(got[f] - 0.5 * want) < 1e-12
+
+
+def test_rows_are_scored_by_themselves(spark, trained):
+    rows = [(7, "T-1 migration", "ASIA"), (7, "T-2 other", "EUROPE"), (None, "T-1 migration", "ASIA"), (8, None, None)]
+    df = spark.createDataFrame([(*r, "", "s", "c") for r in rows],
+                               "ticket_id bigint, summary string, region string, description string, subsystem string, commitments string")
+    got = sorted((str(r.ticket_id), r.pred_days) for r in trained.bundle.score(df).collect())
+    alone = sorted((str(r.ticket_id), r.pred_days) for k in range(4)
+                   for r in trained.bundle.score(spark.createDataFrame([df.collect()[k]], df.schema)).collect())
+    assert len(got) == 4 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(got, alone, strict=True))
+    assert XP.explain(trained.bundle.features(df), trained.bundle).count() == 4
+
+
+def test_missing_category_is_no_unseen_one(spark):
+    d = spark.createDataFrame([("a", "x", "p"), ("", None, "p"), (None, "x", "q")], "region string, subsystem string, commitments string")
+    model = MD.category_indexer(d)
+    got = model.transform(MD.with_default_categories(spark.createDataFrame(
+        [(1, "a"), (2, ""), (3, None), (4, "never")], "id int, region string"))).collect()
+    idx = {r.id: r.region_idx for r in got}
+    assert idx[2] == idx[3] != idx[4] and idx[4] == 2.0 and idx[1] != idx[2]
+
+
 def test_save_load_same_predictions(spark, trained, tmp_dir):
     path = os.path.join(tmp_dir, "bundle")
     MD.save_bundle(trained.bundle, path)
