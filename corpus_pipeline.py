@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from effortlab.llm import bpe, jaccard_trie, mixing, quality_gam, toxicity_nb
 from effortlab.llm.common import Scratch, held_out, table
-from effortlab.llm.queries import BYTE_BPE, MIX_TARGETS
+from effortlab.llm.queries import BYTE_BPE, MIX_SHORTFALL, MIX_TARGETS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the tokens meet the target shares."""
-    drawn = mixing.mix(mixing.describe(docs), MIX_TARGETS, text="text")
+    drawn = mixing.mix(mixing.describe(docs), MIX_TARGETS, text="text", shortfall=MIX_SHORTFALL)
     return drawn.filter("taken").select(*docs.columns)
 
 

@@ -4,17 +4,20 @@ Documents fall into cells (source x language x topic).  Their tokens per cell
 are summed in Spark (combined map-side, so a source with a third of all rows is
 no hot key), and the cell weights are raked: scaled to the target shares of one
 margin after the other until all margins hold.  A document's probability is its
-cell's weight over the largest one, so no document is taken more than once and
-the expected token shares are the targets.  Documents are then drawn by a hash
-of their id, in place, without a shuffle.
+cell's weight times one scale for all, 1 at most, so no document is taken more than
+once.  With ``shortfall`` 0 the scale is one over the largest weight and the expected
+token shares are the targets; a larger one lets cells that are too scarce for their
+weight be taken whole, as long as not more than that share of the tokens is missing
+for it, so that a handful of documents cannot shrink the whole mixture.  Documents
+are then drawn by a hash of their id, in place, without a shuffle.
 
 Only the cells reach the driver.  Their number is bounded by the targets: values
 that no target names share the entry ``"*"``, so there are at most
 (sources + 1) (languages + 1) (topics + 1) cells whatever the data holds.
 
 Defined results: null values of a margin count under ``"*"``; without an entry
-``"*"`` unnamed values get what the named targets leave of 1 (nothing, if they
-sum to 1 or more).  Shares of values that hold no tokens go to the others in
+``"*"`` unnamed values keep the share that they have, and the named ones divide the
+rest in proportion.  Shares of values that hold no tokens go to the others in
 proportion.  A document without tokens is drawn like its cell.  Null ids are
 drawn by a hash of the text.  Repeated rows are drawn alike.
 """
@@ -75,12 +78,12 @@ def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str,
     for d, target in enumerate(targets):
         names = sorted({k[d] for k in keys})
         code = np.array([names.index(k[d]) for k in keys], np.int64)
-        held = np.bincount(code, size, len(names)) > 0
-        rest = max(0.0, 1 - sum(v for n, v in target.items() if n != OTHER))
-        want = np.array([target.get(n, rest if n == OTHER else 0.0) for n in names]) * held
+        held = np.bincount(code, size, len(names))
+        want = np.array([target.get(n, 0.0) for n in names]) * (held > 0)
+        own = np.array([held[i] if n == OTHER and OTHER not in target else 0.0 for i, n in enumerate(names)])
         if want.sum() <= 0:
             raise ValueError(f"no tokens in any value that has a target: {dict(target)}")
-        margins.append((code, want / want.sum() * total, len(names)))
+        margins.append((code, own + want / want.sum() * (total - own.sum()), len(names)))
     w = np.ones(len(keys))
     for _ in range(rounds):
         off = 0.0
@@ -94,6 +97,18 @@ def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str,
     return dict(zip(keys, w.tolist(), strict=True))
 
 
+def scale(sizes: list[float], weights: list[float], shortfall: float = 0.0) -> float:
+    """The largest factor on the weights at which the cells whose probability it
+    would raise over 1 miss at most ``shortfall`` of the tokens to be drawn."""
+    size, w = np.array(sizes, float), np.array(weights, float)
+    drawn, best = float((size * w).sum()), 1.0
+    for top in np.unique(w[(size > 0) & (w > 0)])[::-1]:
+        if (size * np.maximum(w - top, 0)).sum() > shortfall * drawn:
+            break
+        best = 1 / float(top)
+    return best
+
+
 def _name(column: str, target: Mapping[str, float]) -> Column:
     named = [n for n in target if n != OTHER]
     c = F.col(column).cast("string")
@@ -101,16 +116,16 @@ def _name(column: str, target: Mapping[str, float]) -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, tokens: str = "n_tokens",
-        id_col: str = "doc_id", text: str | None = None, seed: int = 17) -> DataFrame:
+        id_col: str = "doc_id", text: str | None = None, seed: int = 17, shortfall: float = 0.0) -> DataFrame:
     """``docs`` with ``probability`` (double) and ``taken`` (boolean).
     ``targets``: column -> value -> share of the tokens."""
     names = [_name(c, t).alias(f"m{i}") for i, (c, t) in enumerate(targets.items())]
     found = docs.groupBy(*names).agg(F.sum(tokens).cast("double").alias("size")).collect()   # bounded by the targets
     cells = [(tuple(r[f"m{i}"] for i in range(len(names))), r["size"] or 0.0) for r in found]
     weights = rake(cells, list(targets.values())) if sum(s for _, s in cells) else {k: 1.0 for k, _ in cells}
-    most = max((weights[k] for k, s in cells if s), default=1.0)
+    factor = scale([s for _, s in cells], [weights[k] for k, _ in cells], shortfall)
     spark = docs.sparkSession
-    rows = [(*k, min(1.0, w / most)) for k, w in weights.items()]
+    rows = [(*k, min(1.0, w * factor)) for k, w in weights.items()]
     schema = ", ".join(f"`__m{i}` string" for i in range(len(names))) + ", `probability` double"
     drawn = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text) if text else F.lit("")))
     share = F.shiftrightunsigned(drawn, 11).cast("double") / float(1 << 53)

@@ -22,8 +22,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MIX_TARGETS = {
     "source": {"src0": 0.25, mixing.OTHER: 0.75},
     "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
-    "topic": {f"t{i}": 0.12 for i in range(8)} | {mixing.OTHER: 0.04},
+    "topic": {f"t{i}": 0.125 for i in range(8)},
 }
+#: Share of the tokens that may be missing because a cell is too scarce.
+MIX_SHORTFALL = 0.05
 
 
 def op1_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def op5_sharding_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     known = Scratch(spark, "mixing").put(mixing.describe(docs).drop("text"), "described")
-    return mixing.mix(known, MIX_TARGETS).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "taken")
+    return mixing.mix(known, MIX_TARGETS, shortfall=MIX_SHORTFALL).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "taken")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,13 +33,22 @@ def test_rake_equals_plain_fitting():
 
 def test_unnamed_values_and_missing_tokens():
     cells = [(("a",), 10.0), (("*",), 30.0)]
-    assert mixing.rake(cells, [{"a": 0.5}]) == pytest.approx({("a",): 2.0, ("*",): 2 / 3})
-    assert mixing.rake(cells, [{"a": 1.0}]) == pytest.approx({("a",): 4.0, ("*",): 0.0})
+    assert mixing.rake(cells, [{"a": 0.5}]) == pytest.approx({("a",): 1.0, ("*",): 1.0})
+    assert mixing.rake(cells, [{"a": 1.0, "*": 0.0}]) == pytest.approx({("a",): 4.0, ("*",): 0.0})
+    more = [(("a",), 10.0), (("b",), 30.0), (("*",), 60.0)]
+    assert mixing.rake(more, [{"a": 0.5, "b": 0.5}]) == pytest.approx({("a",): 2.0, ("b",): 2 / 3, ("*",): 1.0})
     assert mixing.rake(cells, [{"a": 0.25, "gone": 0.5, "*": 0.25}]) == pytest.approx({("a",): 2.0, ("*",): 2 / 3})
     with pytest.raises(ValueError):
         mixing.rake(cells, [{"gone": 1.0}])
 
 
+def test_scarce_cells_do_not_shrink_the_mixture():
+    sizes, weights = [1000.0, 1000.0, 1.0], [1.2, 0.76, 40.0]
+    assert mixing.scale(sizes, weights) == pytest.approx(1 / 40)
+    assert mixing.scale(sizes, weights, 0.05) == pytest.approx(1 / 1.2)
+    assert mixing.scale(sizes, weights, 0.01) == pytest.approx(1 / 40)      # 38.8 of 2000 tokens would be missing
+
+
 def test_topic_and_tokens(spark):
     rows = [(1, "alpha beta alpha gamma", "k"), (2, "gamma alpha", None), (3, None, "k"), (4, "", "k"), (5, "to be 12345 x,y", "k")]
     got = mixing.describe(spark.createDataFrame(rows, "doc_id int, text string, TOPIC string"))
@@ -78,8 +87,15 @@ def test_query_equals_plain_fitting(spark):
     for r in got:
         table[key(r)] = table.get(key(r), 0) + r.n_tokens
     table = {k: v for k, v in table.items() if v}
-    want = plain_rake(table, [{"*": 0.0, **queries.MIX_TARGETS[c]} for c in ("source", "lang", "topic")], 300)
-    most = max(want.values())
+    total = sum(table.values())
+    targets = []
+    for d, c in enumerate(("source", "lang", "topic")):
+        own = sum(v for k, v in table.items() if k[d] == "*") / total
+        target = queries.MIX_TARGETS[c]
+        targets.append(target if "*" in target else {"*": own} | {n: v / sum(target.values()) * (1 - own) for n, v in target.items()})
+    want = plain_rake(table, targets, 300)
+    most = next(top for top in sorted(want.values()) if sum(
+        table[k] * max(0.0, w - top) for k, w in want.items()) <= queries.MIX_SHORTFALL * total)
     for r in got:
         if r.n_tokens:
-            assert r.probability == pytest.approx(want[key(r)] / most, rel=1e-3)
+            assert r.probability == pytest.approx(min(1.0, want[key(r)] / most), rel=1e-3)

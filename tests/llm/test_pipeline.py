@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from effortlab.llm import mixing
-from effortlab.llm.queries import MIX_TARGETS
+from effortlab.llm.queries import MIX_SHORTFALL, MIX_TARGETS
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,7 +45,8 @@ def test_one_of_each_group_stays(stages):
 
 
 def test_mixture_takes_by_probability(stages):
-    drawn = mixing.mix(mixing.describe(stages[3]), MIX_TARGETS, text="text").collect()
+    drawn = mixing.mix(mixing.describe(stages[3]), MIX_TARGETS, text="text", shortfall=MIX_SHORTFALL).collect()
+    assert len([r for r in drawn if r.taken]) > 0.25 * len(drawn)          # scarce cells do not shrink the mixture
     assert {r.doc_id for r in stages[4].collect()} == {r.doc_id for r in drawn if r.taken}
 
 
