@@ -17,7 +17,8 @@ slot, shard, offset, number of ids, and the ids of the documents it has text of.
 Sequences are cut from documents in the order in which they are scanned, each
 document closed by the end token, without a shuffle; the cut sequences are written
 once, and a sequence's number is its file's first number plus its row there, so a
-recomputed task cannot renumber anything.  Only sequences move, once.
+recomputed task cannot renumber anything.  Only sequences move, once, compressed with
+a dictionary made from a few hundred of them.
 
 Defined results: null and empty texts are a single end token.  Repeated rows and ids are
 written each.  An empty table has no shards.  Texts are read whole; a long text
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,20 +123,45 @@ def _cut(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end: int, lengt
     return docs.mapInArrow(run, "doc_ids array<bigint>, n int, ids binary")
 
 
-def _records(seqs: DataFrame, total: int, key: int, length: int, per_shard: int, end: int) -> DataFrame:
-    """index, n, ids -> slot, shard and the packed record."""
+def _dictionary(cut: DataFrame) -> bytes:
+    """Compression dictionary from at most 300 sequences; none if there are few."""
+    seen = [r["ids"] for r in cut.select("ids").limit(300).collect()]
+    try:
+        return zstandard.train_dictionary(131_072, [bytes(x) for x in seen]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _slots(seqs: DataFrame, total: int, key: int, per_shard: int, dictionary: bytes) -> DataFrame:
+    """index, ids -> slot, shard and the compressed ids: what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
             slot = permute(batch.column("index").to_numpy(), total, key)
-            out = []
-            for s, raw in zip(slot.tolist(), batch.column("ids").to_pylist(), strict=True):
-                head = np.array([(s, len(raw) // 2, zlib.crc32(raw))], HEADER).tobytes()
-                out.append(head + raw + np.full(length - len(raw) // 2, end, "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(out, pa.binary())],
-                                             ["slot", "shard", "record"])
+            packed = [coder.compress(raw) for raw in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(packed, pa.binary())],
+                                             ["slot", "shard", "packed"])
+
+    return seqs.select("index", "ids").mapInArrow(run, "slot bigint, shard bigint, packed binary")
+
+
+def _records(slots: DataFrame, length: int, end: int, dictionary: bytes) -> DataFrame:
+    """slot, shard, compressed ids -> slot, shard and the record as it is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch, out = whole.slice(lo, 1024), []
+                for s, packed in zip(batch.column("slot").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                    raw = coder.decompress(packed)
+                    head = np.array([(s, len(raw) // 2, zlib.crc32(raw))], HEADER).tobytes()
+                    out.append(head + raw + np.full(length - len(raw) // 2, end, "<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(out, pa.binary())],
+                                                 ["slot", "shard", "record"])
 
-    return seqs.select("index", "ids").mapInArrow(run, "slot bigint, shard bigint, record binary")
+    return slots.mapInArrow(run, "slot bigint, shard bigint, record binary")
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, key: int = 20_240_229, length: int = 2048,
@@ -157,17 +184,19 @@ def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, *, key: int
     numbered = cut.join(F.broadcast(first) if first.count() <= SMALL else first, "file").withColumn(
         "index", F.col("before") + F.col("row"))
     shards = max(1, -(-total // per_shard))
-    (_records(numbered, total, key, length, per_shard, end).repartitionByRange(shards, "shard")
+    dictionary = _dictionary(cut)
+    moved = _slots(numbered, total, key, per_shard, dictionary).repartitionByRange(shards, "shard")
+    (_records(moved, length, end, dictionary)
      .sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
      .write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards"))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = permute(batch.column("index").to_numpy(), total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("n"), batch.column("doc_ids")],
                                              ["slot", "n_tokens", "doc_ids"])
 
-    manifest = numbered.select("index", "n", "doc_ids").mapInArrow(slots, "slot bigint, n_tokens int, doc_ids array<bigint>")
+    manifest = numbered.select("index", "n", "doc_ids").mapInArrow(entries, "slot bigint, n_tokens int, doc_ids array<bigint>")
     manifest.select("slot", F.expr(f"slot div {per_shard}").alias("shard"),
                     (F.col("slot") % per_shard * stride(length)).alias("offset"), "n_tokens", "doc_ids"
                     ).write.parquet(f"{path}/manifest")
