@@ -2,16 +2,18 @@
 
 A text's k-mers (``k`` consecutive words; the last ones are cut short by the end
 of the text, so every text with a word has some) are numbered by occurrence and
-put in one random order: by the k-mer's hash, occurrences one after the other.
+put in one random order: a first occurrence by the k-mer's hash, every further one by
+a hash of that and its number, so how often a passage repeats counts.
 The order's range is cut in ``BINS`` equal parts.  From each part the ``PER_BIN``
 smallest k-mers are selected, put back in the order in which they stand in the
 text, and the tuple is hashed.  Two texts agree in a part if they hold the same
 smallest k-mers in the same order, which an edit or a move disturbs; the share
 of agreeing parts (of those that either text fills) is their likeness.
 
-Every k-mer is one long (part, hash, place in the text), so selecting is one sort
-of a primitive array and one comparison with the neighbour ``PER_BIN`` before it:
-equal k-mers stand together in text order, which numbers their occurrences.  No
+Every k-mer is one long (part, hash, place in the text).  After one sort of this
+primitive array equal k-mers stand together in text order: the lengths of their runs
+number the occurrences, and a text that repeats any is sorted again by the numbered
+hashes.  Selecting is one comparison with the neighbour ``PER_BIN`` before.  No
 row is exploded, and no Python runs.
 
 For pairs of neighbours, documents are dealt into buckets of consecutive ids (cut
@@ -49,6 +51,23 @@ def _part(x: Column) -> Column:
     return F.shiftright(x, 63 - BIN_BITS)
 
 
+def _numbered(df: DataFrame, step: str, top: int) -> DataFrame:
+    """The sorted k-mers ``step`` with every occurrence after the first under a hash
+    of its own, in order again."""
+    x, first = F.col(step), f"{step}_first"
+    hash_of = lambda v: F.shiftright(v, _PLACE)
+    starts = F.filter(F.zip_with(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
+                                 F.concat(F.array(_long(-1)), x),
+                                 lambda a, b: F.when(hash_of(a["v"]) != hash_of(b), a["i"])), lambda i: i.isNotNull())
+    df = df.withColumn(first, starts)
+    ends = F.concat(F.slice(first, 2, F.size(first)), F.array(F.size(x)))
+    number = F.flatten(F.zip_with(first, ends, lambda a, b: F.sequence(F.lit(0), b - a - 1)))
+    again = F.zip_with(x, number, lambda v, n: F.when(n == 0, v).otherwise(
+        F.xxhash64(hash_of(v), n.cast("bigint")).bitwiseAND(_long(top)).bitwiseOR(
+            v.bitwiseAND(_long((1 << _PLACE) - 1)))))
+    return df.withColumn(step, F.when(F.size(first) == F.size(x), x).otherwise(F.sort_array(again))).drop(first)
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, *, k: int = K) -> DataFrame:
     """``df`` with ``out``: one long per part, null where the text fills it not."""
     step = f"__{out}"
@@ -60,7 +79,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, *, k: int = K) -> DataF
     top = ((1 << 63) - 1) ^ ((1 << _PLACE) - 1)
     packed = F.transform(kmers, lambda h, i: h.bitwiseAND(_long(top)).bitwiseOR(
         i.cast("bigint").bitwiseAND(_long((1 << _PLACE) - 1))))
-    df = df.withColumn(step, F.sort_array(packed))
+    df = _numbered(df.withColumn(step, F.sort_array(packed)), step, top)
     before = F.concat(F.array(*[_long(-1)] * PER_BIN), F.col(step))
     chosen = F.filter(F.zip_with(F.col(step), before, lambda x, y: F.when(_part(x) != _part(y), x)),
                       lambda x: x.isNotNull())
