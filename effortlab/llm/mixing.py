@@ -15,6 +15,13 @@ Only the cells reach the driver.  Their number is bounded by the targets: values
 that no target names share the entry ``"*"``, so there are at most
 (sources + 1) (languages + 1) (topics + 1) cells whatever the data holds.
 
+A margin may be a rule instead of a mapping: with ``Tempered`` every value that the data
+holds is a target by its own name, in proportion to its tokens to a power under 1, so
+that large values are brought down and small ones up whatever they are called.  Beyond
+the ``most`` values with the most tokens (ties: the smallest names) the others share
+``"*"``, which gets the sum of what each of them would get, and one weight.  The sums
+that this needs stay in Spark; only the named values reach the driver.
+
 Defined results: null values of a margin count under ``"*"``; without an entry
 ``"*"`` unnamed values keep the share that they have, and the named ones divide the
 rest in proportion.  Shares of values that hold no tokens go to the others in
@@ -26,6 +33,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +41,20 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, with_fields
+from .common import Scratch, by_value, with_fields
 
 by_value(__name__)
 
 OTHER = "*"
 
 
+@dataclass(frozen=True)
+class Tempered:
+    """Targets in proportion to each value's tokens to a power; at most ``most`` by name."""
+    power: float = 0.7
+    most: int = 1000
+
+
 def describe(docs: DataFrame, *, text: str = "text", topics: int = 8) -> DataFrame:
     """``docs`` with ``n_tokens`` (words) and ``topic``: its most frequent word
     of five letters or more (ties: the smallest), dealt to one of ``topics``
@@ -115,16 +130,41 @@ def _name(column: str, target: Mapping[str, float]) -> Column:
     return F.when(c.isin(*named), c).otherwise(OTHER) if named else F.lit(OTHER)
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], *, tokens: str = "n_tokens",
+def tempered(sizes: DataFrame, rule: Tempered) -> dict[str, float]:
+    """Targets of a margin by a rule; ``sizes`` has value and size.  A null value and one
+    called ``"*"`` count as one value under ``"*"``; a value without tokens has no target."""
+    sizes = sizes.groupBy("value").agg(F.sum("size").alias("size")).filter("size > 0")
+    power = F.pow(F.col("size").cast("double"), F.lit(rule.power))
+    named = sizes.filter(F.col("value") != OTHER).orderBy(F.desc("size"), "value").limit(rule.most) \
+        .select("value", power.alias("share")).collect()                    # bounded by the rule
+    shares = {r["value"]: r["share"] for r in named}
+    rest = sizes.filter(~F.col("value").isin(*shares)) if shares else sizes
+    shares[OTHER] = rest.agg(F.sum(power)).first()[0] or 0.0
+    whole = sum(shares.values())
+    return {v: s / whole for v, s in shares.items()} if whole else {OTHER: 1.0}
+
+
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | Tempered], *, tokens: str = "n_tokens",
         id_col: str = "doc_id", text: str | None = None, seed: int = 17, shortfall: float = 0.0) -> DataFrame:
     """``docs`` with ``probability`` (double) and ``taken`` (boolean).
-    ``targets``: column -> value -> share of the tokens."""
-    names = [_name(c, t).alias(f"m{i}") for i, (c, t) in enumerate(targets.items())]
-    found = docs.groupBy(*names).agg(F.sum(tokens).cast("double").alias("size")).collect()   # bounded by the targets
+    ``targets``: column -> value -> share of the tokens, or column -> rule."""
+    spark = docs.sparkSession
+    rules = {i: c for i, (c, t) in enumerate(targets.items()) if isinstance(t, Tempered)}
+    names = [F.coalesce(F.col(c).cast("string"), F.lit(OTHER)) if i in rules else _name(c, t) for i, (c, t) in enumerate(targets.items())]
+    sums = docs.groupBy(*[n.alias(f"m{i}") for i, n in enumerate(names)]).agg(F.sum(tokens).alias("size"))
+    if rules:                                                # the texts are read once for all sums
+        scratch = Scratch(spark, "mixing")
+        sums = scratch.put(sums, "sums")
+        targets = {c: tempered(sums.select(F.col(f"m{i}").alias("value"), "size"), t) if i in rules else t
+                   for i, (c, t) in enumerate(targets.items())}
+        sums = sums.groupBy(*[_name(f"m{i}", t).alias(f"m{i}") if i in rules else F.col(f"m{i}")
+                              for i, t in enumerate(targets.values())]).agg(F.sum("size").alias("size"))
+    found = sums.withColumn("size", F.col("size").cast("double")).collect()                  # bounded by the targets
+    if rules:
+        scratch.drop("sums")
     cells = [(tuple(r[f"m{i}"] for i in range(len(names))), r["size"] or 0.0) for r in found]
     weights = rake(cells, list(targets.values())) if sum(s for _, s in cells) else {k: 1.0 for k, _ in cells}
     factor = scale([s for _, s in cells], [weights[k] for k, _ in cells], shortfall)
-    spark = docs.sparkSession
     rows = [(*k, min(1.0, w * factor)) for k, w in weights.items()]
     schema = ", ".join(f"`__m{i}` string" for i in range(len(names))) + ", `probability` double"
     drawn = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text) if text else F.lit("")))

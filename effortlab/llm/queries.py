@@ -17,10 +17,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Shares of the tokens: the source that holds a third of all rows is brought
-#: down, the topics are evened out.
+#: Shares of the tokens: sources follow from the data (large ones are brought down,
+#: by any name), the topics are evened out.
 MIX_TARGETS = {
-    "source": {"src0": 0.25, mixing.OTHER: 0.75},
+    "source": mixing.Tempered(power=0.7, most=1000),
     "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
     "topic": {f"t{i}": 0.125 for i in range(8)},
 }

@@ -99,3 +99,60 @@ def test_query_equals_plain_fitting(spark):
     for r in got:
         if r.n_tokens:
             assert r.probability == pytest.approx(min(1.0, want[key(r)] / most), rel=1e-3)
+
+
+def test_tempered_targets(spark):
+    """Every source by name; those beyond the most named share what each would get."""
+    sizes = {"a": 400, "b": 100, "c": 25, "d": 25, "e": 0}
+    rows = [(v, n) for v, size in sizes.items() for n in (size - size // 3, size // 3)] + [("*", 16)]
+    df = spark.createDataFrame(rows, "value string, size bigint")
+    got = mixing.tempered(df, mixing.Tempered(0.5, 10))
+    assert got == pytest.approx({"a": 20 / 44, "b": 10 / 44, "c": 5 / 44, "d": 5 / 44, "*": 4 / 44})
+    assert mixing.tempered(df, mixing.Tempered(0.5, 2)) == pytest.approx({"a": 20 / 44, "b": 10 / 44, "*": 14 / 44})
+    assert mixing.tempered(df, mixing.Tempered(0.5, 3))["c"] == pytest.approx(5 / 44)
+    assert mixing.tempered(df.limit(0), mixing.Tempered()) == {"*": 1.0}
+
+
+def test_names_of_sources_do_not_matter(spark):
+    """The hot source is brought down under any name, and src0 is not lifted."""
+    rng = random.Random(8)
+    rows = [(i, 0 if rng.random() < 0.4 else rng.randrange(1, 20), rng.choice(["en", "de"]), rng.randint(1, 50), f"t{rng.randrange(8)}")
+            for i in range(5_000)] + [(6_000, None, "en", 7, "t1")]
+    kept = []
+    for rename in (lambda s: s, lambda s: 19 - s, lambda s: s + 500):
+        named = [(i, None if s is None else f"src{rename(s)}", lang, n, t) for i, s, lang, n, t in rows]
+        df = spark.createDataFrame(named, "doc_id bigint, source string, lang string, n_tokens bigint, topic string")
+        got = {r.doc_id: r for r in mixing.mix(df, queries.MIX_TARGETS, shortfall=queries.MIX_SHORTFALL).collect()}
+        assert len(got) == len(rows)
+        kept.append([got[r[0]].probability for r in rows])
+        whole, held = {}, {}
+        for r in got.values():
+            whole[r.source] = whole.get(r.source, 0) + r.n_tokens
+            held[r.source] = held.get(r.source, 0) + r.probability * r.n_tokens
+        hot = f"src{rename(0)}"
+        assert all(held[hot] / whole[hot] < 0.75 * held[s] / whole[s] for s in whole if s not in (hot, None))
+    assert kept[0] == pytest.approx(kept[1]) and kept[0] == pytest.approx(kept[2])
+
+
+def test_query_equals_plain_fitting_to_the_sources(spark):
+    got = queries.op6_mixing_ipf(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    table, of = {}, {}
+    key = lambda r: (r.source, r.lang if r.lang in queries.MIX_TARGETS["lang"] else "*", r.topic or "*")
+    for r in got:
+        if r.n_tokens:
+            table[key(r)] = table.get(key(r), 0) + r.n_tokens
+            of[r.source] = of.get(r.source, 0) + r.n_tokens
+    total = sum(table.values())
+    targets = [{s: n ** 0.7 for s, n in of.items()}]
+    for d, c in ((1, "lang"), (2, "topic")):
+        own = sum(v for k, v in table.items() if k[d] == "*") / total
+        target = queries.MIX_TARGETS[c]
+        held = {n: v for n, v in target.items() if any(k[d] == n for k in table)}
+        targets.append({"*": own} | {n: v / sum(held.values()) * (1 - own) for n, v in held.items()})
+    want = plain_rake(table, targets, 1000)
+    most = next(top for top in sorted(want.values()) if sum(
+        table[k] * max(0.0, w - top) for k, w in want.items()) <= queries.MIX_SHORTFALL * total)
+    for r in got:
+        if r.n_tokens:
+            assert r.probability == pytest.approx(min(1.0, want[key(r)] / most), rel=1e-3)
