@@ -23,7 +23,7 @@ the ``most`` values with the most tokens (ties: the smallest names) the others s
 that this needs stay in Spark; only the named values reach the driver.
 
 Defined results: null values of a margin count under ``"*"``; without an entry
-``"*"`` unnamed values keep the share that they have, and the named ones divide the
+``"*"`` unnamed values keep the share that they have, be it all, and the named ones divide the
 rest in proportion.  Shares of values that hold no tokens go to the others in
 proportion.  A document without tokens is drawn like its cell.  Null ids are
 drawn by a hash of the text.  Repeated rows are drawn alike.
@@ -96,9 +96,13 @@ def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str,
         held = np.bincount(code, size, len(names))
         want = np.array([target.get(n, 0.0) for n in names]) * (held > 0)
         own = np.array([held[i] if n == OTHER and OTHER not in target else 0.0 for i, n in enumerate(names)])
-        if want.sum() <= 0:
+        if want.sum() > 0:
+            want = own + want / want.sum() * (total - own.sum())
+        elif own.sum() > 0 and not held[own == 0].any():         # all tokens are in unnamed values
+            want = own
+        else:
             raise ValueError(f"no tokens in any value that has a target: {dict(target)}")
-        margins.append((code, own + want / want.sum() * (total - own.sum()), len(names)))
+        margins.append((code, want, len(names)))
     w = np.ones(len(keys))
     for _ in range(rounds):
         off = 0.0

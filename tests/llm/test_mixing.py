@@ -156,3 +156,15 @@ def test_query_equals_plain_fitting_to_the_sources(spark):
     for r in got:
         if r.n_tokens:
             assert r.probability == pytest.approx(min(1.0, want[key(r)] / most), rel=1e-3)
+
+
+def test_margins_without_any_named_value(spark):
+    """No language and no topic known anywhere: both keep what they have, the sources are still raked."""
+    assert mixing.rake([(("*",), 30.0)], [{"en": 1.0}]) == pytest.approx({("*",): 1.0})
+    assert mixing.rake([(("*",), 30.0), (("en",), 0.0)], [{"en": 1.0}])[("*",)] == pytest.approx(1.0)
+    rows = [(i, "big" if i % 3 else "small", None if i % 2 else "zh", "to be or") for i in range(3000)]
+    docs = mixing.describe(spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string"))
+    got = mixing.mix(docs, queries.MIX_TARGETS, shortfall=queries.MIX_SHORTFALL).collect()
+    assert len(got) == 3000 and all(r.topic is None for r in got)
+    by = {r.source: r.probability for r in got}
+    assert by["big"] / by["small"] == pytest.approx(2 ** 0.7 / 2)
