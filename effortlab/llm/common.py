@@ -66,6 +66,12 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def labels_of(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """The labels of ids that ``docs`` holds: what is gone neither uses up a sample nor
+    counts for the share of a class."""
+    return labels.join(docs.select(id_col).distinct(), id_col, "left_semi")
+
+
 def bounded_sample(labels: DataFrame, label: str, per_class: int, *, id_col: str = "doc_id") -> DataFrame:
     """At most ``per_class`` labelled ids of each of the classes 0 and 1, the
     ones with the smallest hashes: a bounded table (2 x per_class rows) that

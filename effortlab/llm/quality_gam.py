@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, by_value, with_fields
+from .common import Scratch, bounded_sample, by_value, labels_of, with_fields
 
 by_value(__name__)
 
@@ -200,12 +200,15 @@ def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, *, bins: int = 64, g
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", id_col: str = "doc_id",
         per_class: int = 6000, **settings) -> Gam:
-    """Learn from at most ``per_class`` labelled documents of each class.  Only
+    """Learn from at most ``per_class`` labelled documents of each class, drawn from ``docs``.  Only
     this bounded sample's statistics reach the driver."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    labels = scratch.put(labels_of(docs, labels.select(id_col, label), id_col), "labels")
     sample = bounded_sample(labels, label, per_class, id_col=id_col)
     total = dict(labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int")).count().collect())
     rows = measure(docs.select(id_col, text).join(F.broadcast(sample), id_col), text=text) \
         .select("statistics", "y").toPandas()
+    scratch.drop("labels")
     x = np.array(rows["statistics"].tolist(), float).reshape(-1, len(STATISTICS))
     y = rows["y"].to_numpy(float)
     found = {c: max(int((y == c).sum()), 1) for c in (0, 1)}

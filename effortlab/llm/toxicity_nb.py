@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, by_value, with_fields
+from .common import Scratch, bounded_sample, by_value, labels_of, with_fields
 
 by_value(__name__)
 
@@ -164,9 +164,10 @@ def _count(sample: DataFrame, text: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", id_col: str = "doc_id",
         per_class: int = 3000, max_features: int = 20_000, min_docs: int = 5, min_z: float = 3.0,
         smooth: float = 1.0, ridge: float = 1.0) -> Model:
-    """Learn from at most ``per_class`` labelled documents of each class."""
+    """Learn from at most ``per_class`` labelled documents of each class, drawn from ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
+    labels = scratch.put(labels_of(docs, labels.select(id_col, label), id_col), "labels")
     total = dict(labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int")).count().collect())
     picked = bounded_sample(labels, label, per_class, id_col=id_col)
     sample = scratch.put(docs.select(id_col, text).join(F.broadcast(picked), id_col).select(F.col(text).alias("text"), "y"),
@@ -191,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["y", "f"])
 
     known = sample.select("y", "text").mapInArrow(features, "y int, f array<int>").toPandas()   # 2 x per_class rows
-    scratch.drop("sample")
+    scratch.drop("sample", "labels")
     y = known["y"].to_numpy(float)
     if not len(y):
         return Model(codes[:0], scale[:0], 0.0)

@@ -105,3 +105,17 @@ def test_odd_rows(spark, op):
     none = op.fit(df, labels.limit(0), label="y", **settings)
     assert {r.score for r in op.score(df, none).collect()} == {0.5}
     assert op.score(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("op", [quality_gam, toxicity_nb])
+def test_labels_of_missing_documents_do_not_count(spark, op):
+    """Labels of documents that are gone neither use up the sample nor shift the classes."""
+    docs = spark.createDataFrame([(i, ("good text here. " if i % 2 else "bad | | zz ") * (1 + i % 5)) for i in range(60)],
+                                 "doc_id bigint, text string")
+    own = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, y int")
+    gone = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000, 6000)], "doc_id bigint, y int")
+    settings = {"label": "y", "per_class": 40} | ({"min_z": 1.0} if op is toxicity_nb else {"rounds": 10, "pair_rounds": 5})
+    scores = [{r.doc_id: r.score for r in op.score(docs, op.fit(docs, labels, **settings)).collect()}
+              for labels in (own, own.unionByName(gone))]
+    assert scores[0] == pytest.approx(scores[1])
+    assert sum((s > 0.5) == (i % 2 == 1) for i, s in scores[1].items()) >= 55
