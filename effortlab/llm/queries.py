@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_template, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, toxicity_nb, training_order
+from . import bpe, byte_bpe, chat_template, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, toxicity_nb, training_order
 from .common import Scratch, held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,6 +89,13 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=True, decoded=True)
+    return done.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
+
+
 QUERIES = {
     "op1_pivot_index": op1_pivot_index,
     "op2_toxicity_nb": op2_toxicity_nb,
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_jaccard_trie": op9_jaccard_trie,
     "op10_quality_gam": op10_quality_gam,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 #: Queries that SQL can express.
