@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, chat_template, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, toxicity_nb, training_order
+from . import bpe, byte_bpe, chat_template, hard_negatives, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, toxicity_nb, training_order
 from .common import Scratch, held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -96,6 +96,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel=relabel)
+
+
 QUERIES = {
     "op1_pivot_index": op1_pivot_index,
     "op2_toxicity_nb": op2_toxicity_nb,
@@ -108,6 +113,7 @@ QUERIES = {
     "op9_jaccard_trie": op9_jaccard_trie,
     "op10_quality_gam": op10_quality_gam,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Queries that SQL can express.
@@ -126,4 +132,20 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
                vec_id = least(vec_id, coalesce(c.b, vec_id)) AS kept
         FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns,
+                   row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+            FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT a AS anchor_id, p AS positive_id, rank::INT AS rank, n AS negative_id,
+               ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5""",
 }
