@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, chat_template, hard_negatives, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, toxicity_nb, training_order
+from . import bpe, byte_bpe, chat_template, hard_negatives, jaccard_trie, mixing, order_minhash, pivot_index, quality_gam, sharding, spelling, toxicity_nb, training_order
 from .common import Scratch, held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,6 +89,11 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.counted(spelling.misspelt(spelling.runs(docs))))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=True, decoded=True)
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_jaccard_trie": op9_jaccard_trie,
     "op10_quality_gam": op10_quality_gam,
+    "op11_spelling": op11_spelling,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -132,6 +138,33 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
                vec_id = least(vec_id, coalesce(c.b, vec_id)) AS kept
         FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op11_spelling": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        d AS (SELECT doc_id, run, count(*) AS k FROM t GROUP BY ALL),
+        -- crc32, bit by bit
+        x AS (SELECT run, k, hex(encode(concat(doc_id, ':', run))) AS x FROM d),
+        h AS (SELECT run, k, xor(4294967295, list_reduce(
+                list_transform(range(0, 4 * length(x)), lambda i: (('0x' || substr(x, (2 * (i // 8) + 1)::INT, 2))::INT >> (i % 8)::INT) & 1),
+                lambda c, b: xor(c >> 1, (xor(c, b::BIGINT) & 1) * 3988292384), 4294967295::BIGINT)) AS h FROM x),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, k FROM h),
+        v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        -- words that differ by one letter share what is left when it is gone
+        c AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v),
+        g AS MATERIALIZED (SELECT word, n, p, word[1:p - 1] || word[p + 1:] AS rest FROM c),
+        l AS MATERIALIZED (
+            SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM g a JOIN g b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM g a JOIN v b ON a.rest = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM g a JOIN v b ON a.rest = b.word),
+        f AS MATERIALIZED (
+            SELECT v.word, v.n, count(l.b) AS n_near, arg_max(l.b, (l.bn, -o.o)) AS other, max(l.bn) AS m
+            FROM v LEFT JOIN l ON l.a = v.word LEFT JOIN (SELECT word, row_number() OVER (ORDER BY word) AS o FROM v) o ON o.word = l.b
+            GROUP BY v.word, v.n),
+        e AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM f),
+        r(word, root) AS (SELECT word, word FROM e UNION ALL SELECT r.word, e.form FROM r JOIN e ON e.word = r.root WHERE e.form IS NOT NULL)
+        SELECT e.word, e.form, r.root, e.n, e.n_near, e.form_n
+        FROM e JOIN r ON r.word = e.word JOIN e z ON z.word = r.root WHERE z.form IS NULL""",
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
