@@ -1,10 +1,14 @@
 """Parsers for option fields exported as Python-literal text.
 
 ``"[{'value': 'a'}, {'value': 'b'}]"`` (region), ``"{'value': 'X', 'child':
-{'value': 'Y'}}"`` (subsystem) and ``"{'value': 'SLA'}"`` (commitments) are
-parsed with ``from_json`` (single quotes are accepted by Spark's JSON reader),
-so everything stays inside the JVM.  Nested structs from a well-formed export
-are handled by the ``*_struct`` variants without any text parsing.
+{'value': 'Y'}}"`` (subsystem) and ``"{'value': 'SLA'}"`` (commitments).  A
+text is cut into tokens by one pattern whose loops cannot fall back, the tokens
+are respelt as JSON (escapes decoded, neighbours checked, brackets balanced),
+and ``from_json`` reads it, all inside the JVM and in time and memory in
+proportion to the text.  Any nesting is read as Python's literal parser reads it,
+but for sets, bytes, comments, named characters and brackets around
+a single value, which count as unparseable.  Nested structs from a well-formed
+export are handled by the ``*_struct`` variants without any text parsing.
 """
 
 from __future__ import annotations
@@ -15,45 +19,145 @@ from pyspark.sql import functions as F
 # Fixed value: region assigned when the field is missing or not a list.
 DEFAULT_REGION = "БАЗОВЫЙ"
 
-_OPTION = "struct<value:string>"
-_SUBSYSTEM = "struct<value:string,child:string>"
+# A scalar's text in the JSON below has this in front, so that no text looks like a list or dict.
+_MARK = "="
+_OPTION = f"struct<`{_MARK}value`:string>"
+_SUBSYSTEM = f"struct<`{_MARK}value`:string,`{_MARK}child`:string>"
+_JSON = {"allowUnquotedControlChars": "true"}
+#: Fixed value: brackets nested deeper than this are no literal.
+MOST_DEPTH = 200
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_QUOTED = r"""'(?:[^'\\\\]|\\\\.)*'|"(?:[^"\\\\]|\\\\.)*\""""
-# A list or dict (with one level of lists or dicts inside) and nothing after it,
-# once quoted strings are emptied.
-_WHOLE = r"^(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\})$"
-
-
-def _json_text(raw: Column) -> Column:
-    """Literal text in JSON's spelling: ``\\xNN`` escapes as ``\\u00NN``, no comma
-    before a closing bracket (outside of quotes); null if anything follows the
-    value."""
-    text = F.trim(raw)
-    bare = F.regexp_replace(text, _QUOTED, "''")
-    text = F.regexp_replace(text, "(" + _QUOTED + r")|,(?=\s*[\]}])", "$1")
-    # An escaped backslash before an x is no escape of a character.
-    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
-    return F.when(bare.rlike(_WHOLE), text)
-
-
-def _with_python_tokens(raw: Column) -> Column:
-    """Python ``None/True/False`` after ``: , [`` -> JSON tokens."""
-    out = F.regexp_replace(raw, r"([:,\[]\s*)None\b", "$1null")
-    out = F.regexp_replace(out, r"([:,\[]\s*)True\b", "$1true")
-    return F.regexp_replace(out, r"([:,\[]\s*)False\b", "$1false")
-
-
-def _parse(raw: Column, schema: str) -> Column:
-    options = {"allowBackslashEscapingAnyCharacter": "true"}
-    first = F.from_json(raw, schema, options)
-    # Python tokens make Spark's parser null the whole value; retry only then,
-    # so a quoted 'None' inside a value is never rewritten.
-    return F.when(first.isNull(), F.from_json(_with_python_tokens(raw), schema, options)).otherwise(first)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+# Tokens of a literal.  Every loop is possessive: a long text costs a step per character and no stack.
+_NUMBER = (r"[+-]?+(?:0[xX](?:_?[0-9a-fA-F])++|0[oO](?:_?[0-7])++|0[bB](?:_?[01])++"
+           r"|(?:(?:[0-9](?:_?[0-9])*+)?\.[0-9](?:_?[0-9])*+|[0-9](?:_?[0-9])*+\.)(?:[eE][+-]?+[0-9](?:_?[0-9])*+)?+[jJ]?+"
+           r"|[0-9](?:_?[0-9])*+(?:[eE][+-]?+[0-9](?:_?[0-9])*+[jJ]?+|[jJ])"
+           r"|[1-9](?:_?[0-9])*+|0(?:_?0)*+)(?![0-9A-Za-z_.])")
+_STRING = (r"[uUrR]?+(?:'{3}(?:[^'\\]++|\\(?s:.)|'(?!''))*+'{3}|\"{3}(?:[^\"\\]++|\\(?s:.)|\"(?!\"\"))*+\"{3}"
+           r"|'(?:[^'\\\n\r]++|\\(?s:.))*+'|\"(?:[^\"\\\n\r]++|\\(?s:.))*+\")")
+_NAME = r"(?:None|True|False)(?![0-9A-Za-z_])"
+_SPACE = r"[ \t\f\n\r]++"
+_TOKEN = rf"{_STRING}|{_NUMBER}|{_NAME}|[\[\](){{}},:]|{_SPACE}|(?s:.)"
+# Parts of a string's inside: plain text, a double quote, an escape.
+_PART = r"[^\"\\]++|\"|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|(?s:.))"
+
+
+def _utf16(code: Column) -> Column:
+    """JSON escape of a 16-bit unit."""
+    return F.concat(F.lit("\\u"), F.lpad(F.hex(code), 4, "0"))
+
+
+def _unescaped(part: Column) -> Column:
+    """A part of a string's inside in JSON's spelling; null if it is no escape."""
+    kind = F.substring(part, 2, 1)
+    point = F.conv(F.substring(part, 3, 8), 16, 10).cast("bigint")
+    above = point - 0x10000
+    return (F.when(part == '"', F.lit('\\"'))
+            .when(~part.startswith("\\"), part)
+            .when(kind.isin("\n"), F.lit(""))
+            .when(kind.isin("\\", '"', "n", "t", "r", "b", "f"), part)
+            .when(kind == "'", kind)
+            .when(kind == "a", F.lit("\\u0007")).when(kind == "v", F.lit("\\u000b"))
+            .when((kind == "x") & (F.length(part) == 4), F.concat(F.lit("\\u00"), F.substring(part, 3, 2)))
+            .when((kind == "u") & (F.length(part) == 6), part)
+            .when((kind == "U") & (F.length(part) == 10) & (point < 0x110000),
+                  F.when(above < 0, _utf16(point))
+                  .otherwise(F.concat(_utf16(F.shiftright(above, 10) + 0xD800), _utf16(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00))))
+            .when(kind.between("0", "7"), _utf16(F.conv(F.substring(part, 2, 3), 8, 10).cast("bigint")))
+            .when(~kind.isin("x", "u", "U", "N"), F.concat(F.lit("\\\\"), kind)))
+
+
+def _inside(token: Column) -> Column:
+    """A string token's inside in JSON's spelling; null if an escape is none."""
+    raw = token.rlike("^[rR]")
+    quoted = F.regexp_replace(token, "^[uUrR]", "")
+    triple = quoted.startswith("'''") | quoted.startswith('"""')
+    width = F.when(triple, 3).otherwise(1)
+    body = F.substring(quoted, width + 1, F.length(quoted) - 2 * width)
+    plain = F.replace(body, F.lit('"'), F.lit('\\"'))
+    literal = F.replace(F.replace(body, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    parts = F.transform(F.regexp_extract_all(body, F.lit(_PART), 0), _unescaped)
+    escaped = F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+    return F.when(~body.contains("\\"), plain).when(raw, literal).otherwise(escaped)
+
+
+def _is_string(token: Column) -> Column:
+    return token.rlike("^[uUrR]?['\"](?s:.)*+$") & (F.length(token) > 1)
+
+
+def _balanced(brackets: Column) -> Column:
+    """Whether brackets close in turn and are not nested too deeply."""
+    shallow = brackets
+    for _ in range(3):                                   # what exports hold is gone after this
+        shallow = F.regexp_replace(shallow, r"\[\]|\{\}|\(\)", "")
+    def step(stack, b):
+        top = F.right(stack, F.lit(1))
+        return (F.when(b.isin("[", "(", "{"), F.concat(stack, b))
+                .when((F.length(stack) > 0) & F.concat(top, b).isin("[]", "()", "{}"), F.left(stack, F.length(stack) - 1)))
+
+    def deep(stack, b):
+        after = step(stack, b)
+        return F.when(F.length(after) <= MOST_DEPTH, after)
+
+    stack = F.aggregate(F.split(brackets, ""), F.lit(""), lambda s, b: F.when(b == "", s).otherwise(deep(s, b)))
+    return F.when(shallow == "", F.lit(True)).otherwise(F.coalesce(stack == "", F.lit(False)))
+
+
+def _json(raw: Column) -> Column:
+    """The literal as JSON, in a list of its own; null for what is no literal.
+
+    Strings next to each other are one; a comma may stand before a closing
+    bracket; tuples become lists; numbers, True and False keep their text."""
+    def of(tokens):
+        first, last = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
+        brackets = F.array_join(F.filter(tokens, lambda t: t.isin("[", "]", "(", ")", "{", "}")), "")
+
+        def spelt(t, i):
+            before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
+            begins = _is_string(t) | t.isin("[", "(", "{") | t.rlike("^[+-]?[0-9.]|^[NTF]")
+            follows = _is_string(before) | before.isin("]", ")", "}") | before.rlike("^[+-]?[0-9.]|^[NTF]")
+            joins, goes_on = _is_string(t) & _is_string(before), _is_string(t) & _is_string(after)
+            text = F.concat(F.when(F.coalesce(joins, F.lit(False)), "").otherwise(F.lit(f'"{_MARK}')), _inside(t),
+                            F.when(F.coalesce(goes_on, F.lit(False)), "").otherwise(F.lit('"')))
+            scalar = F.concat(F.lit(f'"{_MARK}'), t, F.lit('"'))
+            return (F.when(F.coalesce(begins & follows & ~joins, F.lit(False)), F.lit(None).cast("string"))
+                    .when(_is_string(t), text)
+                    .when(t.isin("[", "("), F.lit("[")).when(t.isin("]", ")"), F.lit("]"))
+                    .when(t.isin("{", "}", ":"), t)
+                    .when(t == ",", F.when(~F.coalesce(after, F.lit("")).isin("]", ")", "}"), t)
+                          .when(~F.coalesce(before, F.lit("[")).isin("[", "(", "{", ",", ":"), F.lit("")))
+                    .when(t == "None", F.when(after == ":", scalar).otherwise(F.lit("null")))
+                    .when(t.rlike("^[+-]?[0-9.]|^[NTF]") & ((F.length(t) > 1) | t.rlike("[0-9]")), scalar))
+
+        def whole(parts):
+            fine = (F.size(tokens) > 0) & (last != ",") & first.isNotNull() & ~F.exists(parts, lambda p: p.isNull())
+            return F.when(fine & _balanced(brackets), F.concat(F.lit("["), F.array_join(parts, ""), F.lit("]")))
+
+        return _let(F.transform(tokens, spelt), whole)
+
+    tokens = F.filter(F.regexp_extract_all(raw, F.lit(_TOKEN), 0), lambda t: ~t.rlike(f"^{_SPACE}$"))
+    return _let(tokens, of)
+
+
+def _root(raw) -> Column:
+    """JSON text of the literal's value (a scalar: its text after the mark);
+    null for what is no literal, or several values."""
+    values = F.from_json(_json(_c(raw)), "array<string>", _JSON)
+    return F.when(F.size(values) == 1, values[0])
+
+
+def _scalar(text: Column) -> Column:
+    """Text of a scalar; lists and dicts as their JSON text."""
+    return F.when(text.startswith(_MARK), F.substring(text, len(_MARK) + 1, F.length(text))).otherwise(text)
 
 
 def parse_region(raw="region") -> Column:
@@ -62,35 +166,31 @@ def parse_region(raw="region") -> Column:
     Not a list / unparseable / empty list -> DEFAULT_REGION; dict items
     without a value count as DEFAULT_REGION; non-dict items are skipped.
     """
-    text = _json_text(_c(raw))
-    items = _parse(text, "array<string>")
-    is_list = text.startswith("[") & items.isNotNull()
-    dict_items = F.filter(items, lambda x: F.ltrim(x).startswith("{"))
-    values = F.transform(
-        dict_items,
-        lambda x: F.coalesce(F.from_json(x, _OPTION).getField("value"), F.lit(DEFAULT_REGION)),
-    )
-    joined = F.array_join(F.array_sort(values), ", ")
-    return (F.when(F.coalesce(is_list, F.lit(False)) & (F.size(items) > 0), joined)
-            .otherwise(F.lit(DEFAULT_REGION)))
+    def of(root):
+        items = F.when(root.startswith("["), F.from_json(root, "array<string>", _JSON))
+        values = F.transform(F.filter(items, lambda x: x.startswith("{")), lambda x: F.coalesce(
+            _scalar(F.from_json(x, _OPTION, _JSON).getField(f"{_MARK}value")), F.lit(DEFAULT_REGION)))
+        return F.when(F.size(items) > 0, F.array_join(F.array_sort(values), ", ")).otherwise(F.lit(DEFAULT_REGION))
+
+    return _let(_root(raw), of)
 
 
 def parse_subsystem(raw="subsystem") -> Column:
     """Dict literal -> ``value/child.value`` without trailing '/'; else ''."""
-    text = _json_text(_c(raw))
-    obj = _parse(text, _SUBSYSTEM)
-    value = obj.getField("value")
-    child = F.when(F.ltrim(obj.getField("child")).startswith("{"),
-                   F.from_json(obj.getField("child"), _OPTION).getField("value"))
-    joined = F.regexp_replace(F.concat(value, F.lit("/"), F.coalesce(child, F.lit(""))), "/+$", "")
-    return F.when(text.startswith("{") & value.isNotNull(), joined).otherwise(F.lit(""))
+    def of(root):
+        value = _scalar(root.getField(f"{_MARK}value"))
+        child = root.getField(f"{_MARK}child")
+        below = F.when(child.startswith("{"), _scalar(F.from_json(child, _OPTION, _JSON).getField(f"{_MARK}value")))
+        joined = F.regexp_replace(F.concat(value, F.lit("/"), F.coalesce(below, F.lit(""))), "/++$", "")
+        return F.coalesce(joined, F.lit(""))
+
+    return _let(_let(_root(raw), lambda root: F.when(root.startswith("{"), F.from_json(root, _SUBSYSTEM, _JSON))), of)
 
 
 def parse_commitments(raw="commitments") -> Column:
     """Dict literal -> ``value``; else ''."""
-    text = _json_text(_c(raw))
-    value = _parse(text, _OPTION).getField("value")
-    return F.when(text.startswith("{") & value.isNotNull(), value).otherwise(F.lit(""))
+    return _let(_root(raw), lambda root: F.coalesce(
+        F.when(root.startswith("{"), _scalar(F.from_json(root, _OPTION, _JSON).getField(f"{_MARK}value"))), F.lit("")))
 
 
 def region_from_struct(c="region") -> Column:
