@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.prepare import DATASET_COLUMNS
+from .records import records
 
 SEED_COLUMNS = ["key", "summary", "description", "time_spent", "estimate", "region", "subsystem", "commitments"]
 SEED_NUMERIC = {"time_spent", "estimate"}
@@ -21,8 +21,16 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def _string_schema(cols) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
+# One field of a record that has a comma in front.
+_FIELD = r',(?:"[^"]*+(?:""[^"]*+)*+"?+[^,]*+|[^,]*+)'
+
+
+def _parsed(spark: SparkSession, path: str, cols, **options) -> DataFrame:
+    """String columns of the header CSV files under ``path``: records are cut in
+    parallel (see :mod:`records`), each is parsed by Spark's CSV parser."""
+    schema = ", ".join(f"`{c}` string" for c in cols)
+    row = F.from_csv("record", schema, {"escape": '"', "mode": "PERMISSIVE", **options})
+    return records(spark, path).select(row.alias("row")).select("row.*")
 
 
 def _present(c: str):
@@ -34,15 +42,10 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
     skipped, short rows are kept with nulls; tokens of missing values become
     null in every column; numbers are ``try_cast`` (unparseable -> null).
 
-    The reader flags every row whose number of fields is not the header's and
-    keeps its raw text; the fields of such a row are counted there, outside of
-    quotes.  A quoted multi-line file cannot be split, so it is read by one task:
-    convert a large export to Parquet once."""
-    schema = T.StructType([*_string_schema(SEED_COLUMNS).fields, T.StructField("_raw", T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").csv(path))
-    bare = F.regexp_replace("_raw", r'"(?:[^"]|"")*"', "")
-    fields = F.size(F.split(bare, ",", -1))
+    The parser flags every row whose number of fields is not the header's and
+    keeps its raw text; the fields of such a row are counted there."""
+    raw = _parsed(spark, path, [*SEED_COLUMNS, "_raw"], columnNameOfCorruptRecord="_raw")
+    fields = F.size(F.regexp_extract_all(F.concat(F.lit(","), "_raw"), F.lit(_FIELD), 0))
     raw = raw.filter(F.col("_raw").isNull() | (fields <= len(SEED_COLUMNS))).drop("_raw")
     return raw.withColumns({c: _present(c) for c in SEED_COLUMNS}).withColumns(
         {c: F.expr(f"try_cast({c} as double)") for c in SEED_NUMERIC})
@@ -51,11 +54,8 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
 def read_split(spark: SparkSession, path: str, keep_empty: bool = True) -> DataFrame:
     """A prepared split.  ``keep_empty`` keeps '' and 'NA' as text (strings
     stay strings); otherwise '' and NA tokens become null."""
-    reader = (spark.read.schema(_string_schema(SPLIT_COLUMNS)).option("header", True)
-              .option("multiLine", True).option("escape", '"'))
-    if keep_empty:
-        reader = reader.option("emptyValue", "").option("nullValue", "\u0000")
-    df = reader.csv(path)
+    # Quoted empty strings stay '', and no text is read as null.
+    df = _parsed(spark, path, SPLIT_COLUMNS, **({"emptyValue": "", "nullValue": "\u0000"} if keep_empty else {}))
     cols = {}
     for c in SPLIT_STRING:
         cols[c] = F.coalesce(F.col(c), F.lit("")) if keep_empty else _present(c)
