@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .quantiles import leave_one_out_quantiles
 
 
 def salted_hash(id_col: str, salt: str):
@@ -105,21 +106,17 @@ def union_cv(train: DataFrame, val: DataFrame) -> DataFrame:
 
 def fold_bounds(df: DataFrame, k: int = 5, target: str = "logged_days", fold: str = "fold",
                 lower: float = 0.01, upper: float = 0.99, accuracy: int | None = None) -> DataFrame:
-    """p1/p99 of the target over the training part (fold != k) of every fold,
-    all folds in one aggregate: equal values of a fold are counted first, and
-    each count enters the k-1 folds that it trains."""
-    if accuracy:
-        held = df.select(fold, target, F.lit(1).alias("_n"))
-    else:
-        held = df.groupBy(fold, target).agg(F.count(F.lit(1)).alias("_n"))
-    folds = F.array(*[F.lit(i) for i in range(k)])
-    ex = held.select(F.explode(F.filter(folds, lambda x: x != F.col(fold))).alias("train_fold"), F.col(target), "_n")
+    """p1/p99 of the target over the training part (fold != k) of every fold.
+
+    Exact, from one table of counted values with a count for every training
+    part; with ``accuracy`` approximate, in one aggregate."""
     if accuracy:
-        p = F.percentile_approx(target, [lower, upper], accuracy)
+        folds = F.array(*[F.lit(i) for i in range(k)])
+        ex = df.select(F.explode(F.filter(folds, lambda x: x != F.col(fold))).alias(fold), F.col(target))
+        b = ex.groupBy(fold).agg(F.percentile_approx(target, [lower, upper], accuracy).alias("q"))
     else:
-        p = F.percentile(target, [lower, upper], F.col("_n"))
-    b = ex.groupBy("train_fold").agg(p.alias("_b"))
-    return b.select(F.col("train_fold").alias(fold), F.col("_b")[0].alias("lower"), F.col("_b")[1].alias("upper"))
+        b = leave_one_out_quantiles(df, target, fold, k, [lower, upper]).withColumnRenamed("fold", fold)
+    return b.select(fold, F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def fold_roles(df: DataFrame, k: int = 5, target: str = "logged_days", fold: str = "fold",
