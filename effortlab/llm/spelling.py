@@ -6,9 +6,10 @@ words differ in at most two bits.  Partition and enumerate: the letters are
 dealt to parts, evenly by how often the words use them; two bits lie in at
 most two parts, so near words agree on all the others, and a signature is
 written for every way to leave two parts out.  An edit also leaves either the
-first or the last letters of both words alone (half the least length), so each
-signature is written once with the first and once with the last letters, which
-keeps groups small when few letters make many words.  Words that share a
+first or the last letters of both words alone (half the length of the shorter
+one), so a signature is written once with the first and once with the last
+letters, for the word's own length and, as the longer word of a pair, for one
+less.  That keeps groups small when few letters make many words.  Words that share a
 signature meet in an equi-join whose condition verifies the edit at once: only
 near pairs leave it.
 
@@ -75,38 +76,46 @@ def deal_letters(words: DataFrame, parts: int) -> list[str]:
     return out
 
 
-def signatures(word: str, letters: list[str], half: int, bits: int = 2) -> Column:
-    """Array of the signatures of a word: all ways to leave ``bits`` of the
-    parts out, with its first and with its last ``half`` letters."""
-    ordered = F.array_join(F.array_sort(F.split(word, "")), "")
+def projections(word: str, letters: list[str]) -> list[Column]:
+    """The letters that a word has of every part, in order: its bits there."""
+    ordered = F.array_join(F.sort_array(F.split(word, "")), "")
     others = ["".join(p for j, p in enumerate(letters) if j != i) for i in range(len(letters))]
-    part = [F.translate(ordered, o, "") if o else ordered for o in others]
-    ends = [F.substring(F.col(word), 1, half), F.expr(f"right({word}, {half})")]
-    return F.array(*[F.xxhash64(F.lit(2 * k + side), end, *[part[i] for i in chosen])
-                     for k, chosen in enumerate(combinations(range(len(letters)), len(letters) - bits))
-                     for side, end in enumerate(ends)])
+    return [F.translate(ordered, o, "") if o else ordered for o in others]
 
 
-def near_pairs(words: DataFrame, *, min_length: int = 7, parts: int = 5) -> DataFrame:
+def signatures(word: Column, least: Column, parts: list[Column], bits: int = 2) -> Column:
+    """Array of a word's signatures against words of the least length ``least``:
+    all ways to leave ``bits`` of the parts out, with the first and with the
+    last letters, half of ``least``."""
+    half = F.floor(least / 2).cast("int")
+    return F.array(*[F.xxhash64(F.lit(2 * k + side), least, end, *chosen)
+                     for k, chosen in enumerate(combinations(parts, len(parts) - bits))
+                     for side, end in enumerate([F.left(word, half), F.right(word, half)])])
+
+
+def near_pairs(words: DataFrame, *, parts: int = 3) -> DataFrame:
     """(a, a_n, b, b_n), a < b: words that differ by exactly one inserted,
-    deleted or replaced letter.  ``words`` has word and n, each word once and
-    none shorter than ``min_length``."""
-    letters = deal_letters(words, parts)
-    signed = words.select(F.explode(signatures("word", letters, min_length // 2)).alias("s"), "word", "n")
-    a, b = signed.toDF("s", "a", "a_n"), signed.toDF("s", "b", "b_n")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
+    deleted or replaced letter.  ``words`` has word and n, each word once."""
+    held = [f"p{i}" for i in range(parts)]
+    split = words.select("word", "n", *[p.alias(c) for c, p in zip(held, projections("word", deal_letters(words, parts)), strict=True)])
+    # As long as the shorter word of its pair, or one letter longer.
+    roles = split.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("longer"))
+    roles = roles.withColumn("least", F.length("word") - F.col("longer").cast("int")).filter("least > 0")
+    signed = roles.select(F.explode(signatures(F.col("word"), F.col("least"), [F.col(c) for c in held])).alias("s"), "word", "n", "longer")
+    a, b = signed.toDF("s", "a", "a_n", "a_longer"), signed.toDF("s", "b", "b_n", "b_longer")
+    near = (F.col("a") < F.col("b")) & ~(F.col("a_longer") & F.col("b_longer")) & (F.levenshtein("a", "b", 1) == 1)
     # A pair may share several signatures.
     return a.join(b, "s").filter(near).select("a", "a_n", "b", "b_n").distinct()
 
 
-def group_variants(words: DataFrame, *, min_length: int = 7, times: int = 10, parts: int = 5) -> DataFrame:
+def group_variants(words: DataFrame, *, times: int = 10, parts: int = 3) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of a table (word, n).
 
     ``form``: the near word of largest n (the smallest of equals) if its n is
     ``times`` the word's n at least; ``root``: where following forms ends."""
     scratch = Scratch(words.sparkSession, "spelling")
     words = scratch.put(words, "words")
-    pairs = near_pairs(words, min_length=min_length, parts=parts)
+    pairs = near_pairs(words, parts=parts)
     both = pairs.select("a", F.explode(F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("m")))).alias("e")).select("e.*")
