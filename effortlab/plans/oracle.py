@@ -34,14 +34,20 @@ TICKETS = """tickets as (
  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
  join region on n_regionkey = r_regionkey left join documents on o_orderkey = doc_id)"""
 
-TICKETS_RAW = """tickets_raw as (
- select ticket_id,
-  case ticket_id % 5 when 0 then null when 1 then '[]'
-    when 2 then concat('[{''value'': ''', region, '''}, {''value'': ''ALL''}]')
+TICKETS_RAW = r"""tickets_raw as (
+ select ticket_id, ticket_id % 50 in (7, 13) as odd, region, subsystem, commitments,
+  case when ticket_id % 50 = 7 then concat(chr(9), '[{''value'': ''it\''s ] ', region, ''', ''tags'': [{''a'': [1, None, (2,)]}]},]')
+    when ticket_id % 50 = 13 then concat('[{''value'': ''', repeat('x', 5000), region, '''}]')
+    when ticket_id % 5 = 0 then null when ticket_id % 5 = 1 then '[]'
+    when ticket_id % 5 = 2 then concat('[{''value'': ''', region, '''}, {''value'': ''ALL''}]')
     else concat('[{''value'': ''', region, '''}]') end as region_raw,
-  case ticket_id % 4 when 0 then 'oops' when 1 then concat('{''value'': ''', region, '''}')
+  case when ticket_id % 50 = 7 then concat('{''value'': "', region, '", ''child'': {''value'': ''B\x41'', ''x'': {''y'': 1}}}')
+    when ticket_id % 50 = 13 then concat('{''child'': {''value'': {''deep'': [[[]]]}, ''value'': ''', subsystem, '//''}, ''value'': ''S''}')
+    when ticket_id % 4 = 0 then 'oops' when ticket_id % 4 = 1 then concat('{''value'': ''', region, '''}')
     else concat('{''value'': ''', region, ''', ''child'': {''value'': ''', subsystem, '''}}') end as subsystem_raw,
-  case ticket_id % 3 when 0 then '[1]' else concat('{''value'': ''', commitments, '''}') end as commitments_raw
+  case when ticket_id % 50 = 7 then concat('{''value'': ''', commitments, '\u00e9'' ''!'', ''n'': None}')
+    when ticket_id % 50 = 13 then concat('{''all'': [', repeat('[], ', 1500), '], ''value'': ''', commitments, '''}')
+    when ticket_id % 3 = 0 then '[1]' else concat('{''value'': ''', commitments, '''}') end as commitments_raw
  from tickets)"""
 
 
@@ -188,7 +194,12 @@ register("text_len", feat(["text_len"]))
 register("word_count", feat(["word_count"]))
 register("seconds_to_workdays", T_ONLY + "select ticket_id, time_spent, time_spent / 28800.0 as logged_days from tickets")
 
-_J = "replace({c}, '''', '\"')"
+_J = "replace(case when not odd then {c} end, '''', '\"')"
+# JSON does not read the odd ones; what they hold follows from how they are put together.
+_ODD = "case when odd then case ticket_id % 50 when 7 then {seven} else {thirteen} end else {plain} end"
+_ODD_REGION = {"seven": "concat('it''s ] ', region)", "thirteen": "concat(repeat('x', 5000), region)"}
+_ODD_SUBSYSTEM = {"seven": "concat(region, '/BA')", "thirteen": "concat('S/', subsystem)"}
+_ODD_COMMIT = {"seven": "concat(commitments, 'é!')", "thirteen": "commitments"}
 def region_sql(j: str) -> str:
     return f"""case when {j} is not null and json_valid({j}) and json_type({j}) = 'ARRAY' and json_array_length({j}) > 0
   then array_to_string(list_sort(list_transform(list_filter(from_json({j}, '["JSON"]'), lambda x: json_type(x) = 'OBJECT'),
@@ -206,10 +217,12 @@ def commitments_sql(j: str) -> str:
   then {j} ->> 'value' else '' end"""
 
 
-_REGION, _SUBSYSTEM, _COMMIT = region_sql("j"), subsystem_sql("j"), commitments_sql("j")
-register("parse_region", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_REGION} as region from (select ticket_id, {_J.format(c='region_raw')} as j from tickets_raw)")
-register("parse_subsystem", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_SUBSYSTEM} as subsystem from (select ticket_id, {_J.format(c='subsystem_raw')} as j from tickets_raw)")
-register("parse_commitments", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_COMMIT} as commitments from (select ticket_id, {_J.format(c='commitments_raw')} as j from tickets_raw)")
+_REGION = _ODD.format(plain=region_sql("j"), **_ODD_REGION)
+_SUBSYSTEM = _ODD.format(plain=subsystem_sql("j"), **_ODD_SUBSYSTEM)
+_COMMIT = _ODD.format(plain=commitments_sql("j"), **_ODD_COMMIT)
+register("parse_region", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_REGION} as region from (select *, {_J.format(c='region_raw')} as j from tickets_raw)")
+register("parse_subsystem", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_SUBSYSTEM} as subsystem from (select *, {_J.format(c='subsystem_raw')} as j from tickets_raw)")
+register("parse_commitments", with_(TICKETS, TICKETS_RAW) + f"select ticket_id, {_COMMIT} as commitments from (select *, {_J.format(c='commitments_raw')} as j from tickets_raw)")
 
 _VALID = "where time_spent is not null and estimate is not null and estimate > 0 and estimate <= 10"
 register("filter_valid_tickets", T_ONLY + f"select ticket_id, estimate, time_spent / 28800.0 as logged_days from tickets {_VALID}")
@@ -437,9 +450,13 @@ from (select id, coalesce(description, '') as description, region, subsystem, co
 
 register("prepare_dataset_raw", with_(TICKETS, TICKETS_RAW) + f""", parsed as (
  select t.ticket_id, t.summary, t.description, t.time_spent, t.estimate,
-  {region_sql('jr')} as region, {subsystem_sql('js')} as subsystem, {commitments_sql('jc')} as commitments
- from tickets t join (select ticket_id, {_J.format(c='region_raw')} as jr, {_J.format(c='subsystem_raw')} as js,
-   {_J.format(c='commitments_raw')} as jc from tickets_raw) r using (ticket_id)),
+  r.region_is as region, r.subsystem_is as subsystem, r.commitments_is as commitments
+ from tickets t join (
+  select ticket_id, {_ODD.format(plain=region_sql('jr'), **_ODD_REGION)} as region_is,
+   {_ODD.format(plain=subsystem_sql('js'), **_ODD_SUBSYSTEM)} as subsystem_is,
+   {_ODD.format(plain=commitments_sql('jc'), **_ODD_COMMIT)} as commitments_is
+  from (select *, {_J.format(c='region_raw')} as jr, {_J.format(c='subsystem_raw')} as js,
+   {_J.format(c='commitments_raw')} as jc from tickets_raw)) r using (ticket_id)),
 ds as (
  select ticket_id, summary, description, text, estimate, logged_days, {RISK} as risk_level,
   region, subsystem, commitments, {features_sql()}

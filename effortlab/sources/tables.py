@@ -43,7 +43,8 @@ def tickets(spark: SparkSession, sf_dir: str, fill_description: bool = True, doc
          .join(r, n.n_regionkey == r.r_regionkey))
     if documents:
         d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-        j = j.join(d, o.o_orderkey == d.doc_id, "left")
+        # Texts are no broadcast table: they grow, and text work belongs in as many tasks as there are texts.
+        j = j.join(d.hint("merge"), o.o_orderkey == d.doc_id, "left")
     else:
         j = j.withColumn("text", F.lit(None).cast("string"))
     estimate = F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("double")).otherwise(
@@ -77,6 +78,16 @@ def _raw_options():
                                          F.col("subsystem"), F.lit("'}}"))))
     commitments_raw = (F.when(tid % 3 == 0, F.lit("[1]"))
                        .otherwise(F.concat(F.lit("{'value': '"), F.col("commitments"), F.lit("'}"))))
+    # Some are spelt as literals may be: tabs, escapes, nesting, trailing commas; some are long.
+    odd, long = tid % 50 == 7, tid % 50 == 13
+    region_raw = (F.when(odd, F.concat(F.lit("\t[{'value': 'it\\'s ] "), F.col("region"), F.lit("', 'tags': [{'a': [1, None, (2,)]}]},]")))
+                  .when(long, F.concat(F.lit("[{'value': '" + "x" * 5000), F.col("region"), F.lit("'}]"))).otherwise(region_raw))
+    subsystem_raw = (F.when(odd, F.concat(F.lit("{'value': \""), F.col("region"), F.lit("\", 'child': {'value': 'B\\x41', 'x': {'y': 1}}}")))
+                     .when(long, F.concat(F.lit("{'child': {'value': {'deep': [[[]]]}, 'value': '"), F.col("subsystem"), F.lit("//'}, 'value': 'S'}")))
+                     .otherwise(subsystem_raw))
+    commitments_raw = (F.when(odd, F.concat(F.lit("{'value': '"), F.col("commitments"), F.lit("\\u00e9' '!', 'n': None}")))
+                       .when(long, F.concat(F.lit("{'all': [" + "[], " * 1500 + "], 'value': '"), F.col("commitments"), F.lit("'}")))
+                       .otherwise(commitments_raw))
     return region_raw, subsystem_raw, commitments_raw
 
 
