@@ -1,14 +1,18 @@
 """Fold ensembles trained with Spark ML.
 
-* categoricals: ``StringIndexer`` (unseen -> extra index) then a
-  ``TargetEncoder`` fitted on each fold's *training* part only;
+* categoricals: ``StringIndexer`` (unseen -> extra index), then smoothed means
+  of the target from each fold's *training* part: a ``TargetEncoder`` for rows
+  that are scored, ordered target statistics (see :mod:`target_stats`) for the
+  training rows, so that no row meets its own target;
 * effort: ``GBTRegressor`` on log1p(days), early-stopped on the fold's
   validation part (``validationIndicatorCol``), training part trimmed to its
   p1..p99; fold score = R² in days after clipping;
-* risk: ``RandomForestClassifier`` with balanced class weights (native
-  multi-class probabilities); fold score = accuracy.
+* risk: a boosted learner per class against the others (``GBTClassifier``),
+  with balanced class weights and early-stopped like effort, their
+  probabilities renormalised; or a weighted ``RandomForestClassifier``; fold
+  score = accuracy.
 
-The CV frame is persisted once; a fold is a filter on the ``fold`` column.
+The CV frame is written once; a fold is a filter on the ``fold`` column.
 Fold models are scored by chaining their transforms on the same rows, so
 the ensemble needs no shuffle.
 """
@@ -21,11 +25,11 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -33,8 +37,10 @@ from ..functions import text as T
 from . import ensemble as EN
 from . import split as SP
 from . import text as TX
-from .aggregates import with_class_weight
+from ..session import materialize
+from .aggregates import class_weights
 from .metrics import r2_expr
+from .target_stats import ordered_target_stats
 
 CATS = L.CATEGORICAL_FEATURES
 NUMS = L.NUMERIC_FEATURES
@@ -43,6 +49,8 @@ TE = [f"{c}_te" for c in CATS]
 # Encoded means as plain numbers: the encoder copies the indexer's nominal
 # metadata to its outputs, which would make trees treat them as category ids.
 TE_NUM = [f"{c}_enc" for c in CATS]
+#: The risk levels.
+RISK_CLASSES = (0, 1, 2)
 
 
 @dataclass
@@ -57,8 +65,13 @@ class EffortParams:
 
 @dataclass
 class RiskParams:
+    """``learner``: 'boosted' (max_iter trees a class at most) or 'forest' (num_trees)."""
+    learner: str = "boosted"
+    max_iter: int = 20
+    step_size: float = 0.1
+    validation_tol: float = 0.001
     num_trees: int = 40
-    max_depth: int = 8
+    max_depth: int = 5
     smoothing: float = 10.0
     seed: int = 42
 
@@ -95,6 +108,15 @@ def _target_encoder(label: str, smoothing: float) -> TargetEncoder:
                          handleInvalid="keep", smoothing=smoothing)
 
 
+def _class_probabilities(scored: DataFrame) -> Column:
+    """Array of class probabilities of a risk model's output; those of one
+    learner per class are renormalised to sum 1."""
+    if "probability" in scored.columns:
+        return vector_to_array(F.col("probability"))
+    each = [vector_to_array(F.col(f"probability_{c}"))[1] for c in RISK_CLASSES]
+    return F.array(*[p / sum(each[1:], each[0]) for p in each])
+
+
 @dataclass
 class FoldEnsemble:
     kind: str                               # 'effort' | 'risk'
@@ -111,7 +133,7 @@ class FoldEnsemble:
             if self.kind == "effort":
                 col = F.col("prediction").alias(f"{prefix or 'pred_log'}_{k}")
             else:
-                col = vector_to_array(F.col("probability")).alias(f"{prefix or 'prob'}_{k}")
+                col = _class_probabilities(scored).alias(f"{prefix or 'prob'}_{k}")
             out = scored.select(*keep, col)
             keep.append(f"{prefix or ('pred_log' if self.kind == 'effort' else 'prob')}_{k}")
         return out
@@ -124,8 +146,18 @@ class FoldEnsemble:
         return EN.ensemble_risk_arrays(scored, [f"prob_{k}" for k in range(n)])
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _training_rows(df: DataFrame) -> DataFrame:
+    """Written once, each row under a number of its own, and kept at hand."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "cv").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _encoded(train: DataFrame, val: DataFrame, label: str, smoothing: float, seed: int):
+    """The fold's encoder, and its training and validation rows encoded:
+    training rows by the rows before them, validation rows as scored ones are."""
+    te = _target_encoder(label, smoothing).fit(train)
+    own = ordered_target_stats(train, dict(zip(IDX, TE)), label, "_row", smoothing=smoothing, seed=seed)
+    both = own.withColumn("is_val", F.lit(False)).unionByName(te.transform(val).withColumn("is_val", F.lit(True)))
+    return te, both
 
 
 def _run_folds(fit_fold, folds: int, parallelism: int):
@@ -143,23 +175,20 @@ def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
                     params: EffortParams | None = None, parallelism: int = 5) -> FoldEnsemble:
     """``cv`` carries model inputs, ``fold`` and the target (days)."""
     p = params or EffortParams()
-    data = _persisted(cv.filter(F.col(target).isNotNull()).withColumn("y_log", F.log1p(F.col(target))))
+    data = _training_rows(cv.filter(F.col(target).isNotNull()).withColumn("y_log", F.log1p(F.col(target))))
     try:
         bounds = {r["fold"]: (r["lower"], r["upper"]) for r in SP.fold_bounds(data, folds, target).collect()}
 
         def fit_fold(k):
             lo, hi = bounds[k]
-            train = data.filter((F.col("fold") != k) & F.col(target).between(lo, hi))
-            te = _target_encoder("y_log", p.smoothing).fit(train)
-            both = te.transform(train.unionByName(data.filter(F.col("fold") == k))
-                                .withColumn("is_val", F.col("fold") == k))
+            held = data.filter(F.col("fold") == k)
+            te, both = _encoded(data.filter((F.col("fold") != k) & F.col(target).between(lo, hi)), held, "y_log", p.smoothing, p.seed + k)
             gbt = GBTRegressor(labelCol="y_log", featuresCol="features", maxIter=p.max_iter,
                                maxDepth=p.max_depth, stepSize=p.step_size, seed=p.seed + k,
                                validationIndicatorCol="is_val", validationTol=p.validation_tol)
             fitted = Pipeline(stages=[_plain_encodings(), _assembler(), gbt]).fit(both)
             model = PipelineModel(stages=[te, *fitted.stages])
-            val = model.transform(data.filter(F.col("fold") == k))
-            score = val.agg(r2_expr(F.col(target), F.greatest(F.expm1("prediction"), F.lit(0.0)))).first()[0]
+            score = model.transform(held).agg(r2_expr(F.col(target), F.greatest(F.expm1("prediction"), F.lit(0.0)))).first()[0]
             return model, float(score) if score is not None else float("nan")
 
         out = _run_folds(fit_fold, folds, parallelism)
@@ -168,20 +197,39 @@ def train_effort_cv(cv: DataFrame, folds: int = 5, target: str = "logged_days",
         data.unpersist()
 
 
+def _risk_learners(p: RiskParams, seed: int) -> list:
+    if p.learner == "forest":
+        return [RandomForestClassifier(labelCol="label_d", featuresCol="features", weightCol="weight",
+                                       numTrees=p.num_trees, maxDepth=p.max_depth, seed=seed)]
+    if p.learner != "boosted":
+        raise ValueError(f"no such learner: {p.learner}")
+    return [GBTClassifier(labelCol=f"is_{c}", featuresCol="features", weightCol="weight", maxIter=p.max_iter, maxDepth=p.max_depth,
+                          stepSize=p.step_size, seed=seed, validationIndicatorCol="is_val", validationTol=p.validation_tol,
+                          predictionCol=f"prediction_{c}").setProbabilityCol(f"probability_{c}").setRawPredictionCol(f"raw_{c}")
+            for c in RISK_CLASSES]
+
+
 def train_risk_cv(cv: DataFrame, folds: int = 5, label: str = "risk_level",
                   params: RiskParams | None = None, parallelism: int = 5) -> FoldEnsemble:
+    """``cv`` carries model inputs, ``fold`` and the risk level.  The weights
+    are balanced on each fold's training part; validation rows weigh as rows of their class."""
     p = params or RiskParams()
-    data = _persisted(cv.filter(F.col(label).isNotNull()).withColumn("label_d", F.col(label).cast("double")))
+    data = _training_rows(cv.filter(F.col(label).isNotNull()).withColumns(
+        {"label_d": F.col(label).cast("double"), **{f"is_{c}": (F.col(label) == c).cast("double") for c in RISK_CLASSES}}))
     try:
         def fit_fold(k):
-            train = with_class_weight(data.filter(F.col("fold") != k), label, "weight")
-            te = _target_encoder("label_d", p.smoothing).fit(train)
-            rf = RandomForestClassifier(labelCol="label_d", featuresCol="features", weightCol="weight",
-                                        numTrees=p.num_trees, maxDepth=p.max_depth, seed=p.seed + k)
-            fitted = Pipeline(stages=[_plain_encodings(), _assembler(), rf]).fit(te.transform(train))
+            train, held = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
+            te, both = _encoded(train, held, "label_d", p.smoothing, p.seed + k)
+            weights = class_weights(train, label).select(label, "weight")                            # a row per class
+            both = both.join(F.broadcast(weights), label, "left").fillna(1.0, ["weight"])
+            learners = _risk_learners(p, p.seed + k)
+            rows = both if p.learner == "boosted" else both.filter("not is_val")
+            fitted = Pipeline(stages=[_plain_encodings(), _assembler(), *learners]).fit(rows)
             model = PipelineModel(stages=[te, *fitted.stages])
-            val = model.transform(data.filter(F.col("fold") == k))
-            acc = val.agg(F.avg((F.col("prediction") == F.col("label_d")).cast("double"))).first()[0]
+            scored = model.transform(held)
+            best = _class_probabilities(scored)
+            right = (F.array_position(best, F.array_max(best)) - 1) == F.col(label)
+            acc = scored.agg(F.avg(right.cast("double"))).first()[0]
             return model, float(acc) if acc is not None else float("nan")
 
         out = _run_folds(fit_fold, folds, parallelism)

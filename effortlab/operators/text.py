@@ -11,16 +11,25 @@ tables; both have a size bound fixed by parameters.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows projected together: bounds the weighted rows of the basis that a task holds.
+EMBED_ROWS = 256
+
 # Fixed value: a token is a maximal run of >= 2 word characters (letters,
 # digits, underscore) of the lower-cased text.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -71,6 +80,11 @@ class TfidfModel:
     def transform(self, docs: DataFrame, doc: str = "ticket_id", text: str = "text") -> DataFrame:
         return tfidf_transform(docs, self, doc, text)
 
+    def terms(self) -> tuple[list[str], np.ndarray]:
+        """Terms in the order of their index, and their idf (``max_features`` at most)."""
+        rows = self.vocab.select("term_idx", "term", "idf").orderBy("term_idx").collect()
+        return [r["term"] for r in rows], np.array([r["idf"] for r in rows], float)
+
 
 def fit_tfidf_counts(train_tc: DataFrame, n_docs: int, doc: str = "ticket_id", min_df: int = 2,
                      max_features: int | None = 25_000) -> TfidfModel:
@@ -170,18 +184,41 @@ def fit_lsa(tfidf: DataFrame, size: int, k: int = 32, doc: str = "ticket_id") ->
     return LsaModel(V, s, basis)
 
 
+def embed_token_lists(lists: pa.Array, terms: pa.Array, idf: np.ndarray, basis: np.ndarray) -> pa.Array:
+    """Embedding of every token list: known terms counted, weighted, normalised
+    and projected, for all lists at once.  A null list counts as empty."""
+    rows, k = len(lists), basis.shape[1]
+    out = np.zeros((rows, k))
+    if rows and k:
+        tokens = lists.flatten()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        term = pc.fill_null(pc.index_in(tokens, value_set=terms), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(rows), sizes)[term >= 0]
+        key, tf = np.unique(row * len(idf) + term[term >= 0], return_counts=True)
+        row, term = np.divmod(key, len(idf)) if len(key) else (key, key)
+        weight = (1.0 + np.log(tf)) * idf[term]
+        weight /= np.sqrt(np.bincount(row, weight * weight, rows))[row]
+        first = np.flatnonzero(np.diff(row, prepend=-1))             # of every row that has a known term
+        for at, end in zip(range(0, len(first), EMBED_ROWS), [*range(EMBED_ROWS, len(first), EMBED_ROWS), len(first)]):
+            lo, hi = first[at], first[end] if end < len(first) else len(row)
+            out[row[first[at:end]]] = np.add.reduceat(weight[lo:hi, None] * basis[term[lo:hi]], first[at:end] - lo)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * k, pa.int32()), pa.array(out.ravel()))
+
+
 def embed_texts(df: DataFrame, tfidf: "TfidfModel", lsa: "LsaModel", text: str = "text", out: str = "embedding") -> DataFrame:
-    """``df`` with the embedding of each row's text.
-
-    Distinct texts are embedded once, under the sha-256 of the text, and joined
-    back on it: rows need no id, may repeat one, and get one embedding each
-    whatever their ids are.  A null text counts as empty (a zero vector)."""
-    keyed = df.withColumn("_text_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    texts = keyed.groupBy("_text_key").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    emb = lsa.transform(tfidf.transform(texts, "_text_key", "_text"), "_text_key")
-    zeros = F.array(*[F.lit(0.0) for _ in range(lsa.components.shape[1])])
-    return (keyed.drop(out).join(emb.withColumnRenamed("embedding", out), "_text_key", "left")
-            .withColumn(out, F.coalesce(F.col(out), zeros)).drop("_text_key"))
+    """``df`` with the embedding of each row's text, computed where the row is:
+    nothing is shuffled or joined, rows need no id and may repeat one.  The text
+    is tokenised in the JVM; its tokens meet the vocabulary and the basis, both
+    bounded by ``max_features`` and broadcast, in Arrow batches.  A null text
+    counts as empty, and a text without a known term is a zero vector."""
+    shared = df.sparkSession.sparkContext.broadcast(tfidf.terms() + (np.ascontiguousarray(lsa.components),))
+
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        terms, idf, basis = shared.value
+        return embed_token_lists(lists, pa.array(terms, pa.string()), idf, basis)
+
+    return df.withColumn(out, embed(tokens(F.coalesce(F.col(text), F.lit("")))))
 
 
 def lsa_transform(tfidf: DataFrame, model: LsaModel, doc: str = "ticket_id",
