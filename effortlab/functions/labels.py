@@ -28,7 +28,8 @@ def filter_valid(df: DataFrame, target="logged_days", estimate="estimate",
                  max_estimate: float = 10.0) -> DataFrame:
     """Keep rows with a target and 0 < estimate <= max_estimate.
 
-    Written on the raw columns so Catalyst pushes it into the Parquet scan.
+    Written on the raw columns, so that it runs before anything computed from
+    texts and, for plain columns, in the Parquet scan.
     """
     return df.filter(_c(target).isNotNull() & _c(estimate).isNotNull()
                      & (_c(estimate) > 0) & (_c(estimate) <= max_estimate))

@@ -9,11 +9,8 @@ from ..functions import labels as L
 from ..functions import parse as P
 from ..functions import text as T
 
-DATASET_COLUMNS = [
-    "text", "estimate", "logged_days", "risk_level", "region", "subsystem", "commitments",
-    "has_description", "has_code_block", "is_dev_task", "is_test_task", "is_analysis_task",
-    "text_len", "word_count",
-]
+# The names and order of the dataset's columns.
+DATASET_COLUMNS = ["text", "estimate", "logged_days", "risk_level", *L.CATEGORICAL_FEATURES, *T.FEATURE_COLUMNS]
 # Columns kept in addition for joins and error reports.
 KEY_COLUMNS = ["ticket_id", "summary", "description"]
 
@@ -22,8 +19,9 @@ def prepare_dataset(seed: DataFrame, parse_literals: bool = False, strip_text: b
     """One lazy projection/filter plan.
 
     The validity filter only reads ``time_spent`` and ``estimate``; Catalyst
-    moves it under the feature projection and into the scan, so features are
-    computed for kept rows only.
+    moves it under the feature projection, so features are computed for kept
+    rows only.  Where the estimate is an expression of the scanned columns, only its
+    null check reaches the scan.
     """
     if "ticket_id" not in seed.columns and "key" in seed.columns:
         seed = seed.withColumn("ticket_id", F.col("key"))          # export key as the stable id

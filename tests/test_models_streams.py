@@ -7,8 +7,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from effortlab.operators import aggregates as A
 from effortlab.operators import explain as XP
 from effortlab.operators import models as MD
+from effortlab.operators import text as TX
 from effortlab.plans import reports as R
 from effortlab.plans.prepare import prepare_dataset
 from effortlab.plans.train import train_all
@@ -35,7 +37,7 @@ def planted(spark):
 @pytest.fixture(scope="module")
 def trained(spark):
     return train_all(planted(spark), k=8, effort_params=MD.EffortParams(max_iter=15),
-                     risk_params=MD.RiskParams(num_trees=10, max_depth=5))
+                     risk_params=MD.RiskParams(max_iter=6, max_depth=4))
 
 
 def test_effort_model_beats_global_median(spark, trained):
@@ -56,6 +58,90 @@ def test_risk_probabilities_sum_to_one(spark, trained):
     assert bad == 0 and r.filter(~F.col("pred_risk").isin(0, 1, 2)).count() == 0
 
 
+def planted_risk(spark, n=900):
+    """Critical tickets are few and told by one number; the middle class by another."""
+    import random
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        a, b = rng.random(), rng.random()
+        level = 2 if a > 0.9 else 1 if b > 0.75 else 0
+        if rng.random() < 0.05:
+            level = rng.randrange(3)
+        rows.append((i, i % 3, level, [a, b], f"s{rng.randrange(5)}"))
+    df = spark.createDataFrame(rows, "ticket_id bigint, fold int, risk_level int, embedding array<double>, subsystem string")
+    df = df.selectExpr("*", "'r' as region", "'c' as commitments", *[f"0 as {c}" for c in MD.NUMS])
+    return MD.model_input(MD.category_indexer(df).transform(MD.with_default_categories(df)))
+
+
+def test_boosted_risk_stops_early_and_beats_the_forest(spark):
+    cv = planted_risk(spark)
+    boosted = MD.train_risk_cv(cv, 3, params=MD.RiskParams(max_iter=25, max_depth=3, validation_tol=0.01))
+    forest = MD.train_risk_cv(cv, 3, params=MD.RiskParams(learner="forest", num_trees=10, max_depth=3))
+    trees = [m.getNumTrees for fold in boosted.models for m in fold.stages if hasattr(m, "getNumTrees")]
+    assert len(trees) == 9 and min(trees) < 25                 # a learner per class and fold; early stop seen
+    assert sum(boosted.scores) >= sum(forest.scores) and min(boosted.scores) > 0.75
+    probs = boosted.ensemble(cv).select("p_low", "p_medium", "p_critical").collect()
+    assert all(abs(sum(r) - 1) < 1e-9 and min(r) > 0 for r in probs)
+    with pytest.raises(ValueError):
+        MD.train_risk_cv(cv, 3, params=MD.RiskParams(learner="none"))
+
+
+def test_risk_weights_are_balanced_in_each_fold(spark, monkeypatch):
+    """Weighted sums of the classes are equal in the training part of every fold."""
+    seen = []
+    fit = MD.Pipeline.fit
+
+    def spy(self, df, *more):
+        seen.append(df.filter("not is_val").groupBy("risk_level").agg(F.sum("weight")).collect())
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(MD.Pipeline, "fit", spy)
+    MD.train_risk_cv(planted_risk(spark, 200), 3, params=MD.RiskParams(max_iter=1, max_depth=1), parallelism=1)
+    assert len(seen) == 3
+    for rows in seen:
+        sums = [r[1] for r in rows]
+        assert len(sums) == 3 and max(sums) == pytest.approx(min(sums))
+
+
+def test_embeddings_are_local_to_rows(spark, trained):
+    """No shuffle above the rows' own, and the numbers of the relational way."""
+    b = trained.bundle
+    texts = ["T-1 migration of the customer", "", None, "Customer#000000001 customer migration T-1 " * 50, "unknown zzzz words", "T-1 migration of the customer"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id bigint, text string")
+    got = {r.ticket_id: r.embedding for r in TX.embed_texts(df, b.tfidf, b.lsa).collect()}
+    want = {r.ticket_id: r.embedding for r in b.lsa.transform(b.tfidf.transform(df), docs=df).collect()}
+    assert all(x == pytest.approx(y, abs=1e-9) for i in want for x, y in zip(got[i], want[i], strict=True)) and len(got) == len(want) == 6
+    assert any(got[0]) and not any(got[1]) and not any(got[2]) and got[0] == got[5]
+    every = S.tickets(spark, SF01)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    exchanges = lambda d: plan(d).count("Exchange hashpartitioning") + plan(d).count("Exchange range")
+    assert exchanges(b.score(every)) == exchanges(every)
+    assert exchanges(XP.explain(b.features(every), b)) == exchanges(every)
+
+
+def test_embedding_in_parts_changes_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    terms, idf, basis = [f"t{i}" for i in range(30)], rng.uniform(1, 5, 30), rng.normal(size=(30, 4))
+    lists = [[f"t{rng.integers(40)}" for _ in range(rng.integers(0, 60))] for _ in range(50)] + [None, []]
+    args = pa.array(lists, pa.list_(pa.string())), pa.array(terms), idf, basis
+    want = []
+    for words in lists:
+        e, norm = np.zeros(4), 0.0
+        for t in range(30):
+            tf = (words or []).count(f"t{t}")
+            if tf:
+                w = (1 + np.log(tf)) * idf[t]
+                e, norm = e + w * basis[t], norm + w * w
+        want.append((e / np.sqrt(norm) if norm else e).tolist())
+    for rows in (256, 1, 7):
+        monkeypatch.setattr(TX, "EMBED_ROWS", rows)
+        assert np.allclose(TX.embed_token_lists(*args).to_pylist(), want, atol=1e-12)
+    assert len(TX.embed_token_lists(pa.array([], pa.list_(pa.string())), *args[1:])) == 0
+
+
 def test_explanations_add_up(spark, trained):
     test = trained.features.filter(F.col("split") == "test")
     ex = XP.explain(test, trained.bundle)
@@ -147,17 +233,97 @@ def test_score_stream_equals_batch_and_replay(spark, trained, tmp_dir):
 
 
 def test_feedback_stream_counts(spark, tmp_dir):
-    src, fb, ckpt = (os.path.join(tmp_dir, x) for x in ("src", "fb", "ckpt"))
-    rows = [(i, f"Task {i}" if i % 10 else "  ", "", "r", "s", "c", 1.0, 2.0) for i in range(60)]
-    spark.createDataFrame(rows, SJ.FEEDBACK_REQUEST_SCHEMA).repartition(3).write.parquet(src)
-    SJ.feedback_stream(spark, src, fb, ckpt).awaitTermination()
-    c = ST.read_feedback(spark, fb).count()
-    assert c == 54
-    q = SJ.feedback_totals_stream(spark, src, "fb_totals_test")
-    q.awaitTermination()
-    r = spark.sql("select * from fb_totals_test").first()
-    assert r.feedback_count == 54 and r.retrain_ready
-    assert math.isfinite(c)
+    """After every batch the totals equal the batch operator's, over replays and marks."""
+    src, fb, ckpt, totals, marks = (os.path.join(tmp_dir, x) for x in ("src", "fb", "ckpt", "totals", "marks"))
+    rows = [(i, f"Task {i}" if i % 10 else "  ", "", "r", "s", "c", 1.0, 2.0 if i % 7 else None) for i in range(60)]
+
+    def arrive(part, name):
+        spark.createDataFrame(part, SJ.FEEDBACK_REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        SJ.feedback_stream(spark, src, fb, ckpt, marks_path=marks, totals_path=totals, threshold=20).awaitTermination()
+        return spark.read.parquet(totals).orderBy(F.col("batch_id").desc()).drop("batch_id").first()
+
+    for k in range(3):
+        last = arrive(rows[k * 20:k * 20 + 20], k)
+        state = ST.read_feedback(spark, fb, marks)
+        assert last == A.feedback_counts(state, 20).first() == ST.feedback_totals(spark, fb, marks, 20).first()
+        if k == 1:
+            ids = state.limit(15).select("id")
+            for run in ("a", "a", "b"):                      # the same marks again, by the run and by another
+                ST.mark_used(ids, marks, run)
+            assert ST.feedback_totals(spark, fb, marks, 20).first().unused == last.total - 15
+    before = ST.feedback_totals(spark, fb, marks, 20).first()
+    ST.append_feedback(spark.createDataFrame(rows[40:], SJ.FEEDBACK_REQUEST_SCHEMA), fb, 2)                 # a replayed batch
+    assert ST.feedback_totals(spark, fb, marks, 20).first() == before
+    ST.append_feedback(spark.createDataFrame(rows[:1], SJ.FEEDBACK_REQUEST_SCHEMA), fb, 2)                  # that has no valid row now
+    after = ST.feedback_totals(spark, fb, marks, 20).first()
+    assert after.total == ST.read_feedback(spark, fb).count() < before.total
+
+
+def test_two_triggers_retrain_once(spark, tmp_dir):
+    """Two drivers on one store: both see enough feedback at once, one retrains."""
+    import threading
+    fb, marks = os.path.join(tmp_dir, "fb"), os.path.join(tmp_dir, "marks")
+    rows = [(i, f"Task {i}", "", "r", "s", "c", 1.0, 2.0) for i in range(60)]
+    ST.append_feedback(spark.createDataFrame(rows, SJ.FEEDBACK_REQUEST_SCHEMA), fb, 0)
+    together, runs = threading.Barrier(2), []
+
+    def retrain():
+        runs.append(1)
+        ST.mark_used(ST.unused_rows(ST.read_feedback(spark, fb, marks)), marks, "run")
+
+    class Both(SJ.RetrainTrigger):
+        def _ready(self):
+            ready = super()._ready()
+            if together.n_waiting < 2 and not getattr(self, "met", False):
+                self.met = True
+                together.wait(60)
+            return ready
+
+    both = [Both(spark, retrain, fb, marks) for _ in range(2)]
+    threads = [threading.Thread(target=t.check) for t in both]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(runs) == 1 and sum(len(t.results) for t in both) == 1
+    SJ.RetrainTrigger(spark, retrain, fb, marks).check()                                  # nothing unused is left
+    assert len(runs) == 1
+
+
+def test_lease_is_exclusive_renewed_and_taken_over(spark, tmp_dir):
+    import time
+
+    from effortlab.streaming.lease import Lease
+    folder = os.path.join(tmp_dir, "lease")
+    a, b = Lease(spark, folder, ttl=2.0), Lease(spark, folder, ttl=2.0)
+    assert a.acquire() and not b.acquire()
+    time.sleep(3)                                            # renewed meanwhile
+    assert not b.acquire()
+    a.release()
+    assert b.acquire() and not a.acquire()
+    b._stop.set()                                            # its driver is gone
+    time.sleep(2.5)
+    assert a.acquire() and not Lease(spark, folder, ttl=2.0).acquire()
+    b.release()                                              # too late: it says nothing about the new holder
+    assert not Lease(spark, folder, ttl=2.0).acquire()
+    a.release()
+
+
+def test_identical_requests_are_numbered_in_runs(spark, tmp_dir, monkeypatch):
+    """One request as most of a batch: unique ids that a replay repeats, written by several tasks."""
+    monkeypatch.setattr(ST, "RUN", 50)
+    rows = [("same", 1.0, 2.0)] * 900 + [(f"t{i}", 1.0, 2.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "summary string, predicted_days double, actual_days double")
+    got = ST.feedback_rows(df, 3)
+    ids = [r.id for r in got.collect()]
+    assert len(ids) == len(set(ids)) == 920
+    assert {r.id for r in ST.feedback_rows(df.repartition(7), 3).collect()} == set(ids)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # it would join these few rows again
+    try:
+        spread = got.filter("summary = 'same'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(spread) > 2 and max(r["count"] for r in spread) < 900
 
 
 def test_score_response_columns(spark, trained):

@@ -19,14 +19,14 @@ def req(spark, rows):
 
 def test_feedback_append_replay_and_marks(spark, tmp_dir):
     fb, marks = os.path.join(tmp_dir, "fb"), os.path.join(tmp_dir, "marks")
-    r = req(spark, [("Task", "", None, "", "SLA", 1.5, 2.0), ("  ", "", "a", "b", "c", 1.0, 1.0),
-                    ("Task", "", None, "", "SLA", 1.5, 2.0)])
+    r = req(spark, [("Task", "", None, "", "SLA", 3.0, 8.0), ("  ", "", "a", "b", "c", 1.0, 1.0),
+                    ("Task", "", None, "", "SLA", 3.0, 8.0)])
     ST.append_feedback(r, fb, batch_id=0)
     ST.append_feedback(r, fb, batch_id=0)           # replayed batch
     got = ST.read_feedback(spark, fb, marks)
     assert got.count() == 2 and got.select("id").distinct().count() == 2
     row = got.first()
-    assert row.delta_pct == 25.0 and row.region == "Unknown" and row.subsystem == "" and row.is_used_for_training == 0
+    assert row.delta_pct == 62.5 and row.region == "Unknown" and row.subsystem == "" and row.is_used_for_training == 0
     ST.mark_used(got.limit(1).select("id"), marks, "run1")
     after = ST.read_feedback(spark, fb, marks)
     assert after.filter("is_used_for_training = 1").count() == 1
