@@ -83,16 +83,29 @@ def describe(docs: DataFrame, *, text: str = "text", topics: int = 8) -> DataFra
 
 
 def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str, float]], *, rounds: int = 1000,
-         near: float = 1e-9) -> dict[tuple[str, ...], float]:
+         slack: float = 1e-4) -> dict[tuple[str, ...], float]:
     """Weight of each cell such that the weighted sizes of every margin are in
-    the proportions of its target; the mean weight per size is 1."""
+    the proportions of its target; the mean weight per size is 1.  Targets that
+    no weights meet (``slack``: as a share of the whole) are an error."""
+    weights, off = fit(cells, targets, rounds=rounds)
+    if off > slack:
+        raise ValueError(f"the targets contradict each other: a margin misses its target by {off:.4f} of the whole")
+    return weights
+
+
+def fit(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str, float]], *, rounds: int = 1000,
+        near: float = 1e-9) -> tuple[dict[tuple[str, ...], float], float]:
+    """The weights after ``rounds`` rounds at most, and the largest share of
+    the whole by which a margin still misses its target (0 but where empty
+    cells make the targets contradict each other)."""
     keys = [k for k, _ in cells]
     size = np.array([s for _, s in cells], float)
     total = size.sum()
     margins = []
     for d, target in enumerate(targets):
         names = sorted({k[d] for k in keys})
-        code = np.array([names.index(k[d]) for k in keys], np.int64)
+        place = {n: i for i, n in enumerate(names)}
+        code = np.array([place[k[d]] for k in keys], np.int64)
         held = np.bincount(code, size, len(names))
         want = np.array([target.get(n, 0.0) for n in names]) * (held > 0)
         own = np.array([held[i] if n == OTHER and OTHER not in target else 0.0 for i, n in enumerate(names)])
@@ -103,7 +116,7 @@ def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str,
         else:
             raise ValueError(f"no tokens in any value that has a target: {dict(target)}")
         margins.append((code, want, len(names)))
-    w = np.ones(len(keys))
+    w, off = np.ones(len(keys)), 0.0
     for _ in range(rounds):
         off = 0.0
         for code, want, n in margins:
@@ -113,7 +126,7 @@ def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[Mapping[str,
             w = w * factor[code]
         if off < near:
             break
-    return dict(zip(keys, w.tolist(), strict=True))
+    return dict(zip(keys, w.tolist(), strict=True)), off
 
 
 def scale(sizes: list[float], weights: list[float], shortfall: float = 0.0) -> float:
@@ -150,7 +163,9 @@ def tempered(sizes: DataFrame, rule: Tempered) -> dict[str, float]:
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | Tempered], *, tokens: str = "n_tokens",
         id_col: str = "doc_id", text: str | None = None, seed: int = 17, shortfall: float = 0.0) -> DataFrame:
-    """``docs`` with ``probability`` (double) and ``taken`` (boolean).
+    """``docs`` with ``probability`` (double), ``taken`` (boolean) and
+    ``margin_off`` (double, one value for all: the largest share of the tokens by
+    which a margin misses its target; 0 unless the targets contradict each other).
     ``targets``: column -> value -> share of the tokens, or column -> rule."""
     spark = docs.sparkSession
     rules = {i: c for i, (c, t) in enumerate(targets.items()) if isinstance(t, Tempered)}
@@ -167,13 +182,13 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | Tempered],
     if rules:
         scratch.drop("sums")
     cells = [(tuple(r[f"m{i}"] for i in range(len(names))), r["size"] or 0.0) for r in found]
-    weights = rake(cells, list(targets.values())) if sum(s for _, s in cells) else {k: 1.0 for k, _ in cells}
+    weights, off = fit(cells, list(targets.values())) if sum(s for _, s in cells) else ({k: 1.0 for k, _ in cells}, 0.0)
     factor = scale([s for _, s in cells], [weights[k] for k, _ in cells], shortfall)
     rows = [(*k, min(1.0, w * factor)) for k, w in weights.items()]
     schema = ", ".join(f"`__m{i}` string" for i in range(len(names))) + ", `probability` double"
     drawn = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text) if text else F.lit("")))
     share = F.shiftrightunsigned(drawn, 11).cast("double") / float(1 << 53)
-    keyed = docs.drop("probability", "taken").withColumns({f"__m{i}": _name(c, t) for i, (c, t) in enumerate(targets.items())})
+    keyed = docs.drop("probability", "taken", "margin_off").withColumns({f"__m{i}": _name(c, t) for i, (c, t) in enumerate(targets.items())})
     return (keyed.join(F.broadcast(spark.createDataFrame(rows, schema)), [f"__m{i}" for i in range(len(names))])
-            .withColumn("taken", share < F.col("probability"))
+            .withColumns({"taken": share < F.col("probability"), "margin_off": F.lit(float(off))})
             .drop(*[f"__m{i}" for i in range(len(names))]))

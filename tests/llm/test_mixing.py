@@ -42,6 +42,20 @@ def test_unnamed_values_and_missing_tokens():
         mixing.rake(cells, [{"gone": 1.0}])
 
 
+def test_margins_that_contradict_each_other(spark):
+    """Two cells without a cell between them cannot be 0.5 / 0.5 and 0.9 / 0.1 at once."""
+    cells, targets = [(("a", "x"), 10.0), (("b", "y"), 30.0)], [{"a": 0.5, "b": 0.5}, {"x": 0.9, "y": 0.1}]
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.rake(cells, targets)
+    assert mixing.fit(cells, targets)[1] == pytest.approx(0.4, abs=1e-3)
+    assert mixing.fit(cells, [targets[0], {"x": 0.5, "y": 0.5}])[1] < 1e-8
+    rows = [(i, k[0], k[1], 1) for k, n in cells for i in range(int(n))]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, n_tokens bigint")
+    got = mixing.mix(df, {"source": targets[0], "lang": targets[1]}).select("margin_off").distinct().collect()
+    assert [r.margin_off for r in got] == [pytest.approx(0.4, abs=1e-3)]
+    assert mixing.mix(df, {"source": targets[0]}).first().margin_off < 1e-8
+
+
 def test_scarce_cells_do_not_shrink_the_mixture():
     sizes, weights = [1000.0, 1000.0, 1.0], [1.2, 0.76, 40.0]
     assert mixing.scale(sizes, weights) == pytest.approx(1 / 40)
@@ -78,29 +92,6 @@ def test_margins_of_the_draw(spark):
     assert mixing.mix(df.filter("n_tokens = 0"), targets).count() == 1
 
 
-def test_query_equals_plain_fitting(spark):
-    got = queries.op6_mixing_ipf(spark, "/root/testdata/sf0.001").collect()
-    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    names = [{n: n for n in queries.MIX_TARGETS[c]} for c in ("source", "lang", "topic")]
-    table = {}
-    key = lambda r: tuple(m.get(r[c], "*") for m, c in zip(names, ("source", "lang", "topic"), strict=True))
-    for r in got:
-        table[key(r)] = table.get(key(r), 0) + r.n_tokens
-    table = {k: v for k, v in table.items() if v}
-    total = sum(table.values())
-    targets = []
-    for d, c in enumerate(("source", "lang", "topic")):
-        own = sum(v for k, v in table.items() if k[d] == "*") / total
-        target = queries.MIX_TARGETS[c]
-        targets.append(target if "*" in target else {"*": own} | {n: v / sum(target.values()) * (1 - own) for n, v in target.items()})
-    want = plain_rake(table, targets, 300)
-    most = next(top for top in sorted(want.values()) if sum(
-        table[k] * max(0.0, w - top) for k, w in want.items()) <= queries.MIX_SHORTFALL * total)
-    for r in got:
-        if r.n_tokens:
-            assert r.probability == pytest.approx(min(1.0, want[key(r)] / most), rel=1e-3)
-
-
 def test_tempered_targets(spark):
     """Every source by name; those beyond the most named share what each would get."""
     sizes = {"a": 400, "b": 100, "c": 25, "d": 25, "e": 0}
@@ -134,7 +125,7 @@ def test_names_of_sources_do_not_matter(spark):
     assert kept[0] == pytest.approx(kept[1]) and kept[0] == pytest.approx(kept[2])
 
 
-def test_query_equals_plain_fitting_to_the_sources(spark):
+def test_query_equals_plain_fitting(spark):
     got = queries.op6_mixing_ipf(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     table, of = {}, {}
