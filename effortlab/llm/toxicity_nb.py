@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams whose features are
 scaled by naive Bayes log-count ratios.
 
-A text is lower-cased, everything but letters and digits becomes a blank, and
-each of its n-grams (3 to 6 bytes, word ends included) is one exact 64-bit
-code.  From labelled texts come, per n-gram, the counts of documents of either
+A text is lower-cased, everything but letters, marks and digits becomes a
+blank, and each of its n-grams (3 to 6 characters, word ends included) is a
+64-bit code: a polynomial of its code points, different for each length.
+From labelled texts come, per n-gram, the counts of documents of either
 class; the log ratio of the classes' smoothed shares scales the n-gram's 0/1
 feature, and a regularised logistic regression is fitted on the scaled
 features.  N-grams whose ratio is not clearly off zero are left out of the
@@ -18,13 +19,15 @@ Defined results: a null or empty text has no n-grams and gets the score of the
 intercept.  Rows without a label, with a null one or with both labels teach
 nothing; without any usable label every score is 0.5.  Other columns pass
 through, columns named like a result are replaced, repeated rows are scored
-each.  Texts are read whole.
+each.  Texts are read whole, in strides: memory follows the stride, not the text.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,24 +39,60 @@ from .common import Scratch, bounded_sample, by_value, labels_of, with_fields
 by_value(__name__)
 
 ORDERS = (3, 4, 5, 6)
-_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
-
-def ngrams(text: str) -> list[np.ndarray]:
-    """Codes of all n-grams of a text, one array per order: the bytes, and the
-    order in the top byte."""
-    raw = text.lower().encode("utf-8", "replace").translate(_PLAIN).split()
-    b = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        if len(b) < n or not raw:
-            out.append(np.empty(0, np.uint64))
-            continue
-        code = np.full(len(b) - n + 1, n << 56, np.uint64)
-        for i in range(n):
-            code |= b[i:len(b) - n + 1 + i] << np.uint64(8 * i)
-        out.append(code)
-    return out
+#: Characters that are looked at together.
+STRIDE = 1_000_000
+_FACTOR = np.uint64(0x9E3779B185EBCA87)
+_BLANK = np.uint64(32)
+
+
+def _kept(char: str) -> bool:
+    return unicodedata.category(char)[0] in "LMN"
+
+
+@cache
+def _table() -> np.ndarray:
+    """Which of the code points below 2^16 are kept."""
+    return np.array([_kept(chr(c)) for c in range(1 << 16)])
+
+
+def _points(part: str) -> np.ndarray:
+    """Code points of a part of a text, lower-cased, with a blank for every other character."""
+    points = np.frombuffer(part.lower().encode("utf-32-le", "replace"), np.uint32)
+    kept = _table()[np.minimum(points, 0xFFFF)]
+    high = np.flatnonzero(points > 0xFFFF)
+    if len(high):
+        which, place = np.unique(points[high], return_inverse=True)
+        kept[high] = np.array([_kept(chr(c)) for c in which])[place]
+    return np.where(kept, points, 32).astype(np.uint64)
+
+
+def _strides(text: str) -> Iterator[str]:
+    """Parts of a text, cut behind a blank where there is one."""
+    at = 0
+    while at < len(text):
+        end = at + STRIDE
+        if end < len(text):
+            end = max(text.rfind(" ", at, end) + 1, 0) or end
+        yield text[at:end]
+        at = end
+
+
+def ngrams(text: str) -> Iterator[list[np.ndarray]]:
+    """Codes of all n-grams of a text, an array per order for each stride.  Words are
+    told apart by one blank; the text begins and ends with one."""
+    parts = list(_strides(text))
+    held = np.array([_BLANK])                                # the end of what came before
+    for i, part in enumerate(parts):
+        points = np.concatenate([held, _points(part), [_BLANK] if i == len(parts) - 1 else held[:0]])
+        blank = points == _BLANK
+        points = points[~np.append(False, blank[1:] & blank[:-1])]
+        code, out = np.zeros(len(points), np.uint64), []
+        for n in range(1, max(ORDERS) + 1):
+            code = code[:max(len(points) - n + 1, 0)] * _FACTOR + points[n - 1:]
+            if n in ORDERS:                                  # what lies in ``held`` whole was given out before
+                out.append((code[max(len(held) - n + 1, 0):] + np.uint64(n)) * _FACTOR)
+        yield out
+        held = points[1 - max(ORDERS):]
 
 
 def _mixed(codes: np.ndarray, bits: int) -> np.ndarray:
@@ -75,8 +114,8 @@ class Lookup:
         """Distinct features of a text, ascending."""
         if not len(self.codes):
             return np.empty(0, np.int64)
-        found = [c[self.maybe[_mixed(c, self.BITS)]] for c in ngrams(text)]
-        c = np.unique(np.concatenate(found))
+        found = [c[self.maybe[_mixed(c, self.BITS)]] for orders in ngrams(text) for c in orders]
+        c = np.unique(np.concatenate([*found, self.codes[:0]]))
         at = np.searchsorted(self.codes, c)
         at[at == len(self.codes)] = 0
         return at[self.codes[at] == c]
@@ -135,30 +174,38 @@ def _fit_linear(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale
 
 
 def _count(sample: DataFrame, text: str) -> DataFrame:
-    """Documents of either class that hold each n-gram: code, pos, neg."""
+    """Documents of either class that hold each n-gram: code, pos, neg.  A text
+    of one stride is one set; the sets of a longer one meet in Spark, under the text's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(codes: np.ndarray, pos: np.ndarray, neg: np.ndarray, row: int | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(pos), pa.array(neg),
+                                               pa.array([row] * len(codes), pa.int64())], ["code", "pos", "neg", "row"])
+
         def flush(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
             codes, where = np.unique(np.concatenate([*held[1], *held[0]]), return_inverse=True)
             n1 = sum(map(len, held[1]))
-            pos, neg = (np.bincount(w, minlength=len(codes)) for w in (where[:n1], where[n1:]))
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(pos), pa.array(neg)],
-                                              ["code", "pos", "neg"])
+            return rows(codes, *(np.bincount(w, minlength=len(codes)) for w in (where[:n1], where[n1:])), None)
 
         held, size = {0: [], 1: []}, 0
         for batch in batches:
-            for t, y in zip(batch.column(text).to_pylist(), batch.column("y").to_pylist(), strict=True):
-                own = np.unique(np.concatenate(ngrams(t or "")))
-                held[y].append(own)
-                size += len(own)
+            for t, y, row in zip(*(batch.column(c).to_pylist() for c in (text, "y", "row")), strict=True):
+                for orders in ngrams(t or ""):
+                    own = np.unique(np.concatenate(orders))
+                    if len(t) > STRIDE:
+                        yield rows(own, np.full(len(own), y), np.full(len(own), 1 - y), row)
+                    else:
+                        held[y].append(own)
+                        size += len(own)
                 if size > 4_000_000:
                     yield flush(held)
                     held, size = {0: [], 1: []}, 0
         if size:
             yield flush(held)
 
-    return sample.mapInArrow(run, "code bigint, pos bigint, neg bigint") \
-        .groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    each = sample.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "code bigint, pos bigint, neg bigint, row bigint")
+    sets = [F.when(F.col("row").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("pos", "neg")]
+    return each.groupBy("code", "row").agg(*sets).groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", id_col: str = "doc_id",

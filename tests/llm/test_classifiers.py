@@ -2,6 +2,10 @@
 versions, odd rows."""
 
 import math
+import os
+import subprocess
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,6 +14,7 @@ import pytest
 from effortlab.llm import quality_gam, queries, toxicity_nb
 
 SF = "/root/testdata/sf0.1"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def auc(score, y):
@@ -41,22 +46,106 @@ def test_toxicity_on_held_out_rows(spark):
     assert area > 0.95 and right > 0.95
 
 
-def test_ngram_codes_are_the_ngrams():
-    text = "Ab, c!\n\nÉ1"
-    flat = " ab c é1 ".encode()
-    codes = np.concatenate(toxicity_nb.ngrams(text)).tolist()
-    want = [int.from_bytes(flat[i:i + n], "little") | n << 56 for n in toxicity_nb.ORDERS for i in range(len(flat) - n + 1)]
-    assert codes == want
-    assert all(len(c) == 0 for c in toxicity_nb.ngrams(" ,.")) and all(len(c) == 0 for c in toxicity_nb.ngrams(""))
+def all_codes(text):
+    return np.concatenate([np.empty(0, np.uint64), *(c for orders in toxicity_nb.ngrams(text) for c in orders)])
+
+
+def plain_code(gram):
+    """Polynomial of the code points, told apart by length."""
+    code = 0
+    for c in gram:
+        code = (code * 0x9E3779B185EBCA87 + ord(c)) % 2 ** 64
+    return (code + len(gram)) * 0x9E3779B185EBCA87 % 2 ** 64
+
+
+def plain_ngrams(text):
+    flat = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower())
+    flat = " " + " ".join(flat.split(" ")) + " "
+    while "  " in flat:
+        flat = flat.replace("  ", " ")
+    return [flat[i:i + n] for n in toxicity_nb.ORDERS for i in range(len(flat) - n + 1)]
+
+
+TEXTS = ["Ab, c!\n\nÉ1", "Привет, мир — ДА", "你好，世界。再见", "Γεια σου Κόσμε", "a😀b 𝒳𝓎 𐐀𐐁 x", "नमस्ते दुनिया", "", " ,.", "a", "  a  b  "]
+
+
+def test_ngrams_are_the_ngrams_of_characters():
+    for t in TEXTS:
+        assert sorted(all_codes(t).tolist()) == sorted(map(plain_code, plain_ngrams(t))), t
+    assert "你好" in " ".join(plain_ngrams(TEXTS[2])) and plain_code("мир") in all_codes(TEXTS[1]).tolist()
+
+
+def test_strides_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abé ,你X\n"), 400)) for _ in range(20)] + TEXTS
+    want = [sorted(all_codes(t).tolist()) for t in texts]
+    for stride in (1, 7, 50):
+        monkeypatch.setattr(toxicity_nb, "STRIDE", stride)
+        assert [sorted(all_codes(t).tolist()) for t in texts] == want
+
+
+def test_counts_and_ratios_equal_plain_counting(spark, monkeypatch):
+    """Documents per n-gram and class, with long texts in strides; the features that a fit takes."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "".join(rng.choice(list("abcd é"), 60)) + ("你坏蛋" if i % 3 == 0 else "你好吗"), int(i % 3 == 0)) for i in range(60)]
+    rows += [(100, None, 1), (101, "", 0), (100, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    held = [(set(map(plain_code, plain_ngrams(t or ""))), y) for _, t, y in rows]
+    codes = set().union(*(c for c, _ in held))
+    want = {c: (sum(y for s, y in held if c in s), sum(1 - y for s, y in held if c in s)) for c in codes}
+    for stride in (1_000_000, 20):
+        monkeypatch.setattr(toxicity_nb, "STRIDE", stride)
+        got = {r.code % 2 ** 64: (r.pos, r.neg) for r in toxicity_nb._count(df, "text").collect()}
+        assert got == want
+    model = toxicity_nb.fit(df.select("doc_id", "text"), df.selectExpr("doc_id", "y as toxic").filter("doc_id < 100"), min_docs=2, min_z=2.0)
+    n1, n0 = 20, 40
+    short = [(c, y) for (c, y), (i, _, _) in zip(held, rows) if i < 100]
+    taken = {}
+    for c in codes:
+        p, q = sum(y for s, y in short if c in s) + 1, sum(1 - y for s, y in short if c in s) + 1
+        ratio = math.log(p / (n1 + 2)) - math.log(q / (n0 + 2))
+        if p + q - 2 >= 2 and abs(ratio) / math.sqrt(1 / p + 1 / q) >= 2.0:
+            taken[c] = ratio
+    assert set(model.codes.tolist()) == set(taken) and plain_code("坏蛋 ") in taken
+    assert all((w > 0) == (taken[c] > 0) for c, w in zip(model.codes.tolist(), model.weights.tolist()) if abs(w) > 1e-6)
+
+
+def test_the_fit_is_at_its_optimum():
+    """No direction lowers the regularised loss: its gradient is near 0."""
+    rng = np.random.default_rng(8)
+    rows = [np.flatnonzero(rng.random(30) < 0.2) for _ in range(300)]
+    y, weight, scale = (rng.random(300) < 0.4).astype(float), rng.uniform(0.5, 2, 300), rng.normal(size=30)
+    v, base = toxicity_nb._fit_linear(rows, y, weight, scale, ridge=1.0)
+    x = np.zeros((300, 30))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+    off = weight * (1 / (1 + np.exp(-(x @ v + base))) - y)
+    assert np.abs(x.T @ off + v).max() < 0.05 and abs(off.sum()) < 0.05
+
+
+def test_a_very_long_text_in_little_memory():
+    """50 MB are scored within 500 MB."""
+    code = """
+import resource, numpy as np
+from effortlab.llm import toxicity_nb as T
+codes = np.unique(np.concatenate([c for o in T.ngrams('some bad words here and others') for c in o]))
+look = T.Lookup(codes)
+text = 'plain text of words, ' * 2_400_000 + 'some bad words'
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = len(look.present(text))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True).stdout.split()
+    assert int(said[0]) > 10 and int(said[1]) < 500
 
 
 def test_lookup_equals_sets():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abc d"), 60)) for _ in range(50)]
-    codes = np.unique(np.concatenate([np.concatenate(toxicity_nb.ngrams(t)) for t in texts[:20]]))[::3]
+    codes = np.unique(np.concatenate([all_codes(t) for t in texts[:20]]))[::3]
     look = toxicity_nb.Lookup(codes)
     for t in texts:
-        have = set(np.concatenate(toxicity_nb.ngrams(t)).tolist())
+        have = set(all_codes(t).tolist())
         assert look.present(t).tolist() == [i for i, c in enumerate(codes.tolist()) if c in have]
 
 
