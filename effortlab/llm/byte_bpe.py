@@ -8,13 +8,14 @@ leaves two parts, merging by this list equals merging by ranks: lower ranks
 are used up before a token's own turn, so a pair next to each other then is
 the pair found here.  Any other rank file is refused.
 
-Encoding: texts are gathered in slices of bounded size, encoded by the library
-and turned back into whole rows.  A text longer than a slice is cut at single
-blanks between other characters, where no match of the pattern spans, so its
-ids do not change; memory follows the slice, or the longest stretch without
-such a blank.  Offsets come from the ids: the lengths of the tokens in bytes
-give byte offsets, and the text's own bytes say to which character each
-belongs.  A token that holds part of a character spans that character.
+Encoding: a match of the pattern never spans a single blank between two other
+characters but begins with it, so texts are cut there and the library
+encodes every distinct piece of a slice of the batch once; what a task remembers of
+earlier slices is bounded.  Long texts go through in strides, so memory follows
+the stride, or the longest stretch without such a blank.  Offsets come from
+the ids: the lengths of the tokens in bytes give byte offsets, and the text's
+own bytes say to which character each belongs.  A token that holds part of a
+character spans that character.
 
 Decoding reverses the byte table.  The bytes are exact.  As text, a character
 whose bytes lie in several tokens appears with the token that completes it,
@@ -33,6 +34,7 @@ import base64
 import codecs
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,14 @@ from .common import by_value, with_fields
 
 by_value(__name__)
 
-#: Characters that go through the library together.
+#: Characters that are encoded together.
 SLICE_CHARS = 500_000
+#: Pieces in each half of a task's memory, and the longest piece that it keeps.
+REMEMBERED, LONGEST = 200_000, 64
+#: Pieces that the library encodes as one text.
+ROW = 20_000
+#: Marks that often follow a word.
+MARKS = ".,;:!?"
 
 
 def byte_table() -> dict[int, str]:
@@ -94,6 +102,7 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # a task has one core
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(spec)
+        self.library.model._resize_cache(0)                  # it would meet no word twice
         byte_of = {c: b for b, c in byte_table().items()}
         vocab = self.library.get_vocab()
         self.bytes_of: list[bytes | None] = [None] * (max(vocab.values(), default=-1) + 1)
@@ -101,38 +110,111 @@ class Coder:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, shown))
         self.lengths = np.array([len(b or b"") for b in self.bytes_of], np.int64)
         self.blank = re.compile(r"(?<=\S) (?=\S)")
+        others = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+        #: what tells that a blank stands beside other white space (in ASCII texts, in all)
+        self.uneven = [["  "] + [x for c in others if c.isascii() or not ascii for x in (" " + c, c + " ")] for ascii in (False, True)]
+        self.known: dict[str, bytes] = {}            # pieces met of late ...
+        self.before: dict[str, bytes] = {}           # ... and those before them
 
-    def pieces(self, text: str, size: int) -> list[str]:
+    def strides(self, text: str, size: int) -> Iterator[str]:
         """``text`` cut at the first fitting blank after every ``size`` characters."""
-        out, at = [], 0
+        at = 0
         while len(text) - at > size and (cut := self.blank.search(text, at + size)):
-            out.append(text[at:cut.start()])
+            yield text[at:cut.start()]
             at = cut.start()
-        return [*out, text[at:]]
+        yield text[at:]
+
+    def pieces(self, stride: str, first: bool) -> list[str]:
+        """Keys of a stride's pieces: a key stands for itself with a blank before
+        it, but one that begins with a blank for what follows."""
+        if not first:
+            stride = stride[1:]                      # the blank at which it was cut
+        if stride[:1].isspace() or stride[-1:].isspace() or any(x in stride for x in self.uneven[stride.isascii()]):
+            keys = self.blank.split(stride)
+        else:
+            keys = stride.split(" ")
+        if first:
+            keys[0] = " " + keys[0]
+        return keys
+
+    def learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the newer memory lacks; short ones are remembered."""
+        found, parts, new = {}, {}, set()
+        for k in keys:
+            if k in self.before:
+                found[k] = self.before[k]
+            elif k[-1] in MARKS and k[:-1].isalpha():        # letters, then a mark: two matches of the pattern
+                parts[k] = k[:-1], " " + k[-1]
+                new.update(p for p in parts[k] if p not in self.known and p not in keys)
+            else:
+                new.add(k)
+        for k in [k for k in new if k in self.before]:
+            found[k] = self.before[k]
+            new.remove(k)
+        row = [k for k in new if k[0] != " " and not k[-1].isspace()]
+        found.update(zip(row, self.in_a_row(row)))
+        odd = [k for k in new if k[0] == " " or k[-1].isspace()]
+        raw = [k[1:] if k[0] == " " else " " + k for k in odd]
+        for k, e in zip(odd, self.library.encode_batch_fast(raw, add_special_tokens=False), strict=True):
+            found[k] = array("i", e.ids).tobytes()
+        for k, (word, mark) in parts.items():
+            found[k] = (found.get(word) or self.known[word]) + (found.get(mark) or self.known[mark])
+        self.known.update((k, ids) for k, ids in found.items() if len(k) <= LONGEST)
+        return found
+
+    def in_a_row(self, keys: list[str]) -> Iterator[bytes]:
+        """Ids of pieces that begin and end with no white space: encoded as one
+        text, each behind a blank, and told apart by the lengths of their tokens."""
+        for lo in range(0, len(keys), ROW):
+            part = keys[lo:lo + ROW]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum([len(k.encode()) + 1 for k in part])
+            at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            first = 0
+            for end in at.tolist():
+                yield ids[first:end].tobytes()
+                first = end
+
+    def encode_slice(self, strides: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of each stride, as 32-bit integers."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        rows, missing = [], set()
+        for stride, first in strides:
+            keys = self.pieces(stride, first)
+            ids = list(map(self.known.get, keys))
+            gaps = [(i, keys[i]) for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update(k for _, k in gaps)
+            rows.append((ids, gaps))
+        found = self.learn(missing)
+        for ids, gaps in rows:
+            for i, k in gaps:
+                ids[i] = found[k]
+        return [b"".join(ids) for ids, _ in rows]
 
     def encode(self, texts: list[str], size: int = SLICE_CHARS) -> list[np.ndarray]:
         """Ids of each text."""
-        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        parts: list[list[bytes]] = [[] for _ in texts]
         rows: list[int] = []
-        held: list[str] = []
+        held: list[tuple[str, bool]] = []
         chars = 0
 
         def flush() -> None:
-            for row, e in zip(rows, self.library.encode_batch_fast(held, add_special_tokens=False), strict=True):
-                parts[row].append(np.array(e.ids, np.int32))
+            for row, ids in zip(rows, self.encode_slice(held), strict=True):
+                parts[row].append(ids)
             rows.clear()
             held.clear()
 
         for row, text in enumerate(texts):
-            for piece in self.pieces(text, size):
+            for i, stride in enumerate(self.strides(text, size)):
                 rows.append(row)
-                held.append(piece)
-                chars += len(piece)
+                held.append((stride, i == 0))
+                chars += len(stride)
                 if chars >= size:
                     flush()
                     chars = 0
         flush()
-        return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
+        return [np.frombuffer(b"".join(p), np.int32) for p in parts]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its first character, the one after its last, and whether
@@ -144,10 +226,13 @@ class Coder:
         return character[begins].astype(np.int32), (character[ends - 1] + 1).astype(np.int32), ~leads[begins]
 
     def raw(self, ids: list[int]) -> bytes:
-        found = [self.bytes_of[i] if 0 <= i < len(self.bytes_of) else None for i in ids]
-        if None in found:
-            raise ValueError(f"id {ids[found.index(None)]} is not in the vocabulary")
-        return b"".join(found)
+        try:
+            if min(ids, default=0) >= 0:
+                return b"".join(map(self.bytes_of.__getitem__, ids))
+        except (IndexError, TypeError):
+            pass
+        lacking = next(i for i in ids if not 0 <= i < len(self.bytes_of) or self.bytes_of[i] is None)
+        raise ValueError(f"id {lacking} is not in the vocabulary")
 
     def shown(self, ids: list[int]) -> list[str]:
         """Text that each token adds when the tokens are decoded one after the other."""

@@ -50,10 +50,21 @@ def test_cutting_long_texts_changes_nothing(coder, by_ranks):
     for size in (1, 7, 50):
         for _ in range(60):
             t = "".join(rng.choice(PARTS) for _ in range(200))
-            assert "".join(coder.pieces(t, size)) == t
+            assert "".join(coder.strides(t, size)) == t
             assert coder.encode([t, "", t], size)[2].tolist() == by_ranks.encode_ordinary(t)
 
 
+def test_memory_is_bounded_and_changes_nothing(coder, by_ranks, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(byte_bpe, "LONGEST", 6)
+    small = byte_bpe.Coder(coder.library.to_str())
+    texts = [f"word{i % 97}, other{i % 13} text  of\u00a0 {'long' * (i % 5)}." for i in range(400)]
+    for lo in range(0, 400, 10):
+        part = texts[lo:lo + 10]
+        assert [x.tolist() for x in small.encode(part)] == [by_ranks.encode_ordinary(t) for t in part]
+    assert len(small.known) < 100 and len(small.before) < 100 and all(len(k) <= 6 for k in small.known)
+
+
 def test_spans_equal_the_library(coder):
     for t in odd_texts(600, 9):
         e = coder.library.encode(t, add_special_tokens=False)
