@@ -118,7 +118,8 @@ def _bucket(value: Column, cuts: list[int], *, up_to: bool = False) -> Column:
     below = lambda points: F.size(F.filter(points, lambda c: c <= value if up_to else c < value))
     whole = below(F.array(*[_long(r[-1]) for r in rows]))
     inside = below(F.coalesce(F.get(F.array(*[F.array(*map(_long, r)) for r in rows]), whole), F.array().cast("array<bigint>")))
-    return F.when(value.isNull(), F.lit(0)).otherwise(whole * width + inside)
+    # The last level may be shorter than the others.
+    return F.when(value.isNull(), F.lit(0)).otherwise(F.least(whole * width, F.lit(len(cuts))) + inside)
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, Window]:
