@@ -114,8 +114,8 @@ class Lookup:
         """Distinct features of a text, ascending."""
         if not len(self.codes):
             return np.empty(0, np.int64)
-        found = [c[self.maybe[_mixed(c, self.BITS)]] for orders in ngrams(text) for c in orders]
-        c = np.unique(np.concatenate([*found, self.codes[:0]]))
+        found = [np.unique(np.concatenate([c[self.maybe[_mixed(c, self.BITS)]] for c in orders])) for orders in ngrams(text)]
+        c = np.unique(np.concatenate([*found, self.codes[:0]])) if len(found) != 1 else found[0]
         at = np.searchsorted(self.codes, c)
         at[at == len(self.codes)] = 0
         return at[self.codes[at] == c]
