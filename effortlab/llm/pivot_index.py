@@ -69,6 +69,13 @@ def _unit(rows: list, width: int) -> np.ndarray:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no product of theirs overflows or vanishes; cosines stay as they are."""
+    if not x.size:
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :near]
 
@@ -138,7 +145,7 @@ def _meet(listed: DataFrame, m: int, shared: int, cosine: float) -> DataFrame:
             two = same[0]["i"] != same[0]["j"]
             sides = []
             for part in ([[r for r in same if r["chunk"] == same[0][c]] for c in ("i", "j")] if two else [same]):
-                vec = np.array([r["embedding"] for r in part], float)
+                vec = _scaled(np.array([r["embedding"] for r in part], float))
                 sides.append({"vec": vec, "perm": np.array([r["perm"] for r in part], np.int64),
                               "norm": np.sqrt(np.einsum("ij,ij->i", vec, vec)) if len(part) else None, "rows": part})
             if any(not s["rows"] for s in sides):

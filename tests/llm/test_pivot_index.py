@@ -76,3 +76,12 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 4, 1, False), (0, 4, 1, False),
                           (0, 0, 0, True), *alone])
     assert pivot_index.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_very_large_and_very_small_components(spark):
+    """Finite vectors whose products overflow or vanish link by their cosine all the same."""
+    rows = [(1, [1e200, 0.0], 0), (2, [1e200, 1e198], 0), (3, [1e-200, 1e-202], 0), (4, [0.0, 1e200], 0), (5, [1.7e308, 1.7e308], 0),
+            (6, [5e-324, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_duplicates(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (0, 4), 5: (0, 5)}
