@@ -8,15 +8,17 @@ the shards' bytes come out near equal.
 
 At scale no task sees all groups.  Groups under a ``grain`` (total bytes /
 shards / ``GRAINS``) are dealt into lots by their key's hash, and each lot packs its
-own into bricks of a grain by the same rule.  What is left to pack, bricks and large
-groups, is bounded: at most shards x GRAINS of either, and one open brick per lot.
+own into bricks of a grain by the same rule.  At most one brick of a lot is not half
+full; while there are more lots than shards x GRAINS, the bricks are dealt into lots
+and packed again.  What is left to pack, bricks and large groups, is bounded by shards x
+GRAINS, whatever the number of groups.
 A group larger than a shard cannot stay whole; its rows are dealt into pieces of at most
 a shard, so equal texts of a third of all rows break nothing.  Groups with many rows
 (over 1 / (shards x GRAINS) of all) are placed by a broadcast of bounded size, so no
 shuffle meets their key.
 
-Positions inside a shard are counted per bucket of the id's hash and offset by the
-buckets' totals, so no task numbers a whole shard.
+Positions inside a shard are counted per bucket of a hash of id and checksum and offset
+by the buckets' totals, so no task numbers a whole shard, nor all rows without an id.
 
 Defined results: a null text has no bytes and is a group of its own, apart from the
 empty text (its checksum is that of no bytes).  Every row gets a place, repeated ids
@@ -195,6 +197,16 @@ def shard(docs: DataFrame, shards: int = 40, *, text: str = "text", id_col: str
         "pieces", F.when(F.col("size") <= full, F.lit(1)).otherwise(F.ceil(F.col("size") * 2 / F.lit(full))))
     bricks = scratch.put(_bricks(groups.filter(~is_large).withColumn(
         "lot", F.expr(f"pmod(xxhash64(key), {lots}L)")), grain), "bricks")
+    of_group = bricks.select("key", "lot", "brick")
+    while lots > shards * GRAINS:                        # open bricks of the lots are packed again
+        lots, before = -(-(2 * shards * GRAINS + lots) // PER_LOT), lots
+        if lots >= before:
+            break
+        name = F.concat_ws(":", "lot", "brick").cast("binary")
+        sums = bricks.groupBy(name.alias("key")).agg(F.sum("size").alias("size"))
+        bricks = scratch.put(_bricks(sums.withColumn("lot", F.expr(f"pmod(xxhash64(key), {lots}L)")), grain), f"bricks-{lots}")
+        of_group = (of_group.select("key", name.alias("__brick"))
+                    .join(bricks.select(F.col("key").alias("__brick"), "lot", "brick"), "__brick").select("key", "lot", "brick"))
     pieces = (rows.join(F.broadcast(large.select("key", "pieces")), "key")          # at most 2 x shards x GRAINS keys
               .withColumn("piece", F.expr("pmod(xxhash64(__id, text_crc32), pieces)"))
               .groupBy("key", "piece").agg(F.sum("size").alias("size")))
@@ -213,14 +225,14 @@ def shard(docs: DataFrame, shards: int = 40, *, text: str = "text", id_col: str
     of_brick = spark.createDataFrame(
         [(int(a), int(b), int(s)) for a, b, s in zip(packed["lot"], packed["brick"], packed["shard"], strict=True)],
         "lot bigint, brick bigint, shard int")
-    of_group = bricks.join(F.broadcast(of_brick), ["lot", "brick"]).select("key", "shard")
+    of_group = of_group.join(F.broadcast(of_brick), ["lot", "brick"]).select("key", "shard")
     per_key = F.broadcast(large.select("key", "pieces"))
     hot = (rows.join(per_key, "key").withColumn("piece", F.expr("pmod(xxhash64(__id, text_crc32), pieces)"))
            .join(F.broadcast(of_piece), ["key", "piece"]).drop("pieces", "piece"))
     rest = rows.join(per_key, "key", "left_anti").join(of_group, "key")
     buckets = max(1, n // (shards * PER_BUCKET))
     placed = scratch.put(hot.unionByName(rest).drop("key").withColumn(
-        "bucket", F.expr(f"pmod(xxhash64(__id), {buckets}L)")), "placed")
+        "bucket", F.expr(f"pmod(xxhash64(__id, text_crc32), {buckets}L)")), "placed")
 
     # Slots: counts per (shard, bucket) give each bucket its first slot.
     first = placed.groupBy("shard", "bucket").agg(F.count("*").alias("held"))

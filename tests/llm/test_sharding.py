@@ -78,3 +78,42 @@ def test_every_row_gets_a_place(spark, monkeypatch, hot):
     split = {k for k, v in of.items() if len(v) > 1}
     assert len(split) <= (hot == "big") + 1                 # the hot group; null and empty texts share a checksum
     assert sharding.shard(df.limit(0), 10).count() == 0
+
+
+def test_what_the_driver_packs_is_bounded(spark, monkeypatch):
+    """Ten times the groups, the same number of items: the lots' open bricks are packed again."""
+    monkeypatch.setattr(sharding, "PER_LOT", 4)
+    monkeypatch.setattr(sharding, "GRAINS", 2)
+    packed, pack = [], sharding.pack
+    monkeypatch.setattr(sharding, "pack", lambda sizes, shards: packed.append(len(sizes)) or pack(sizes, shards))
+    rng = random.Random(3)
+    for n in (300, 3000):
+        rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 60)))) for i in range(n)]
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect()
+        assert sorted(r.doc_id for r in got) == list(range(n))
+        load = {}
+        for r in got:
+            load[r.shard] = load.get(r.shard, 0) + r.size
+        assert len(load) == 5 and max(load.values()) < 1.25 * sum(load.values()) / 5
+    assert max(packed) <= 4 * 5 * 2
+
+
+def test_query_places_every_document(spark):
+    """The registered query on 40 shards: bytes near equal, slots without gaps, equal texts together."""
+    from effortlab.llm import queries
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op5_sharding_bfd(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    load, of = {}, {}
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        load.setdefault(r.shard, []).append(r)
+        of.setdefault(raw, set()).add(r.shard)
+    mean = sum(r.size for r in got) / 40
+    whole = max(r.size for r in got) <= mean
+    assert set(load) == set(range(40)) and all(len(s) == 1 for t, s in of.items() if len(t) <= mean)
+    for held in load.values():
+        assert sorted(r.slot for r in held) == list(range(len(held)))
+        assert not whole or abs(sum(r.size for r in held) - mean) < 0.05 * mean
