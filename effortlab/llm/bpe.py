@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value, with_fields
+from .common import by_value, trim, with_fields
 
 by_value(__name__)
 
@@ -327,6 +327,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", decode:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
+        trim()
         for whole in batches:
             for batch, texts in _slices(whole, text):
                 coder = coder or Encoder(*shared.value)

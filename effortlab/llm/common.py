@@ -7,10 +7,12 @@ takes the only copy of them, and each is dropped once nothing reads it.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +27,30 @@ def by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+by_value(__name__)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give back to the system what this worker process has freed: workers
+    live on from stage to stage, and so does the memory that they do not use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):                        # another C library
+        pass
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From here on, batches that go to Python hold ``size`` bytes at most (or
+    one row).  Whole texts stand in a batch several times, in the JVM, in Arrow
+    and as Python strings; by rows alone, long texts make batches of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared
     checkpoint folder."""
