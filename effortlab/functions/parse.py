@@ -148,11 +148,39 @@ def _json(raw: Column) -> Column:
     return _let(tokens, of)
 
 
+def _plain_value(levels: int) -> str:
+    """Pattern of a value in plain spelling with so many levels of brackets."""
+    if not levels:
+        return _PLAIN_SCALAR
+    below, gap = _plain_value(levels - 1), " *+"
+    item, pair = rf"{below}{gap}", rf"{_PLAIN_SCALAR}{gap}:{gap}{below}{gap}"
+    brackets = [rf"{left}{gap}(?:{x}(?:,{gap}|(?={right})))*+{right}" for left, x, right in ((r"\[", item, r"\]"), (r"\{", pair, r"\}"))]
+    return "(?:" + "|".join([_PLAIN_SCALAR, *brackets]) + ")"
+
+
+# Plain spelling, as exports mostly have it: lists and dicts a few levels deep of strings without
+# prefixes and rare escapes, and of whole numbers.  It is JSON but for quotes, numbers and last commas.
+_PLAIN_STRING = r"""(?:'(?:[^'"\\\x00-\x1f]++|\\[\\ntrbf])*+'(?!')|"(?:[^"\\\x00-\x1f]++|\\[\\ntrbf])*+"(?!"))"""
+_PLAIN_SCALAR = rf"(?:{_PLAIN_STRING}|(?:0|[1-9][0-9]*+)(?![0-9A-Za-z_.]))"
+_PLAIN = rf"^(?=[\[{{]){_plain_value(3)}\z"
+_QUOTED = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
+_RESPELT = r"""'((?:[^'\\]++|\\.)*+)'|"((?:[^"\\]++|\\.)*+)"|([0-9]++)"""
+_LAST_COMMA = rf"({_QUOTED})|, *+(?=[\]}}])"
+# What begins with anything else is no literal.
+_BEGINS = rf"^(?:{_SPACE})?+(?:['\"uUrRNTF\[({{0-9+.-])"
+
+
 def _root(raw) -> Column:
     """JSON text of the literal's value (a scalar: its text after the mark);
-    null for what is no literal, or several values."""
-    values = F.from_json(_json(_c(raw)), "array<string>", _JSON)
-    return F.when(F.size(values) == 1, values[0])
+    null for what is no literal, or several values.  What is spelt plainly is
+    respelt by patterns at once, everything else token by token."""
+    def of(text):
+        marked = F.regexp_replace(F.regexp_replace(text, _LAST_COMMA, "$1"), _RESPELT, f'"{_MARK}$1$2$3"')
+        values = F.from_json(F.when(text.rlike(_BEGINS), _json(text)), "array<string>", _JSON)
+        slow = _let(values, lambda v: F.when(F.size(v) == 1, v[0]))
+        return F.when(text.rlike(_PLAIN), marked).otherwise(slow)
+
+    return _let(_c(raw), of)
 
 
 def _scalar(text: Column) -> Column:
