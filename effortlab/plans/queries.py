@@ -900,7 +900,7 @@ def q_flatten_issues(spark, sf):
     # Pages of at most 1000 issues, as the export API returns them.
     pages = t.groupBy(F.floor(F.col("ticket_id") / 1000).alias("page")).agg(
         F.count(F.lit(1)).alias("total"), F.collect_list(issue).alias("issues"))
-    pages.select("total", "issues").write.json(path)
+    pages.select("total", "issues").write.option("compression", "gzip").json(path)
     return X.flatten_issues(X.read_issue_pages(spark, path, one_page_per_file=False))
 
 

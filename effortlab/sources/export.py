@@ -76,9 +76,11 @@ def flatten_issues(pages: DataFrame, parse_options: bool = True) -> DataFrame:
             "subsystem": P.subsystem_from_struct("subsystem"),
             "commitments": P.commitments_from_struct("commitments"),
         })
-    rest = [c for c in out.columns if c != "key"]
-    newest = F.max_by(F.struct(*rest), F.struct(F.col("time_spent"), F.struct(*[c for c in rest if c != "time_spent"])))
-    return out.groupBy("key").agg(newest.alias("v")).select("key", "v.*")
+    # The order of versions holds every column: the largest is the version, and no text moves twice.
+    rest = [c for c in out.columns if c not in ("key", "time_spent")]
+    newest = F.max(F.struct("time_spent", F.struct(*rest).alias("r")))
+    v = out.groupBy("key").agg(newest.alias("v"))
+    return v.select("key", *[F.col("v.time_spent" if c == "time_spent" else f"v.r.{c}") for c in out.columns if c != "key"])
 
 
 def filter_export(df: DataFrame, project: str, cap: int | None = None, project_col: str = "project",

@@ -127,3 +127,18 @@ def test_split_csv_round_trip_keeps_whitespace(spark, tmp_dir):
     CSV.write_splits(df, path, fmt="csv")
     back = CSV.read_split(spark, os.path.join(path, "split=train")).select(*cols).first()
     assert list(back) == row
+
+
+def test_flatten_issues_moves_a_text_once(spark):
+    """The aggregate's buffer holds each column once; versions are chosen as by all columns in order."""
+    pages = spark.createDataFrame([(3, [("K", {"summary": "a", "description": "old", "timespent": 1.0}),
+                                        ("K", {"summary": "b", "description": None, "timespent": None}),
+                                        ("K", {"summary": "b", "description": "new", "timespent": 1.0})]),
+                                   (1, [("L", {"summary": None, "description": "x", "timespent": None})])], X.PAGE_SCHEMA)
+    flat = X.flatten_issues(pages)
+    assert flat.columns == ["key", "summary", "description", "time_spent", "estimate", "created_at", "status", "project",
+                            "region", "subsystem", "commitments"]
+    assert {r.key: (r.summary, r.description, r.time_spent, r.region) for r in flat.collect()} == {
+        "K": ("b", "new", 1.0, "БАЗОВЫЙ"), "L": ("", "x", None, "БАЗОВЫЙ")}
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "maxby" not in plan
