@@ -109,12 +109,26 @@ def fit_transform_tfidf(docs: DataFrame, is_train, doc: str = "ticket_id", text:
     """Fit on the rows where ``is_train`` holds and transform all rows with a
     single tokenisation pass: term counts are written once (with the train
     flag) and both the fit and the transform read them."""
+    model, tc = _fit_on_counts(docs, is_train, doc, text, min_df, max_features)
+    return model, tfidf_from_counts(tc, model, doc)
+
+
+def fit_transform_rows(docs: DataFrame, is_train, doc: str = "ticket_id", text: str = "text",
+                       min_df: int = 2, max_features: int | None = 25_000) -> tuple[TfidfModel, DataFrame]:
+    """As :func:`fit_transform_tfidf`, with the weights as one row per document,
+    written once: what reads them again and again moves no term."""
+    from ..session import materialize
+    model, tc = _fit_on_counts(docs, is_train, doc, text, min_df, max_features)
+    return model, materialize(document_rows(tc, model, doc), "tfidf-rows")
+
+
+def _fit_on_counts(docs: DataFrame, is_train, doc: str, text: str, min_df: int,
+                   max_features: int | None) -> tuple[TfidfModel, DataFrame]:
     from ..session import materialize
     flagged = docs.select(doc, text, F.coalesce(is_train, F.lit(False)).alias("_train"))
     tc = materialize(term_counts(flagged, doc, text, carry=("_train",)), "term-counts")
     n = flagged.filter("_train").count()
-    model = fit_tfidf_counts(tc.filter("_train").drop("_train"), n, doc, min_df, max_features)
-    return model, tfidf_from_counts(tc.drop("_train"), model, doc)
+    return fit_tfidf_counts(tc.filter("_train").drop("_train"), n, doc, min_df, max_features), tc.drop("_train")
 
 
 def tfidf_transform(docs: DataFrame, model: TfidfModel, doc: str = "ticket_id", text: str = "text") -> DataFrame:
@@ -125,17 +139,40 @@ def tfidf_transform(docs: DataFrame, model: TfidfModel, doc: str = "ticket_id",
 
 
 def tfidf_from_counts(tc: DataFrame, model: TfidfModel, doc: str = "ticket_id") -> DataFrame:
-    v = F.broadcast(model.vocab.select("term", "term_idx", "idf"))     # <= max_features rows
-    w = tc.join(v, "term").select(doc, "term_idx", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("w"))
+    w = _unnormed(tc, model, doc)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.select(doc, "term_idx", (F.col("w") / norm).alias("weight"))
 
 
+def _unnormed(tc: DataFrame, model: TfidfModel, doc: str) -> DataFrame:
+    v = F.broadcast(model.vocab.select("term", "term_idx", "idf"))     # <= max_features rows
+    return tc.join(v, "term").select(doc, "term_idx", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("w"))
+
+
+def document_rows(tc: DataFrame, model: TfidfModel, doc: str = "ticket_id") -> DataFrame:
+    """(doc, weights): the weights of :func:`tfidf_from_counts`, one row per
+    document with its (term_idx, weight) pairs by term."""
+    e = _unnormed(tc, model, doc).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_idx", "w"))).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    # Handed over in a list, the norm is computed once a document and not at each of its terms.
+    normed = F.transform(F.array(norm), lambda n: F.transform("e", lambda x: F.struct(
+        x["term_idx"].alias("term_idx"), (x["w"] / n).alias("weight"))))
+    return e.select(doc, normed[0].alias("weights"))
+
+
+def long_weights(rows: DataFrame, doc: str = "ticket_id") -> DataFrame:
+    """(doc, term_idx, weight) of one row per document."""
+    return rows.select(doc, F.inline("weights"))
+
+
 # ---------------------------------------------------------------- LSA
 def sparse_rows(tfidf: DataFrame, size: int, doc: str = "ticket_id") -> DataFrame:
     """One sparse vector struct per document (indices ascending), in the
     storage layout of the vector type."""
-    g = tfidf.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_idx", "weight"))).alias("e"))
+    if "weights" in tfidf.columns:
+        g = tfidf.select(doc, F.col("weights").alias("e"))
+    else:
+        g = tfidf.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_idx", "weight"))).alias("e"))
     return g.select(doc, F.struct(
         F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"),
         F.col("e.term_idx").alias("indices"), F.col("e.weight").alias("values")).alias("v"))
@@ -162,13 +199,16 @@ class LsaModel:
 
 
 def fit_lsa(tfidf: DataFrame, size: int, k: int = 32, doc: str = "ticket_id") -> LsaModel:
-    """Truncated SVD (no centring) of the training TF-IDF matrix with the
-    distributed ``RowMatrix.computeSVD``; each component's largest-magnitude
-    entry is made positive."""
+    """Truncated SVD (no centring) of the training TF-IDF matrix (long, or one
+    row per document) with the distributed ``RowMatrix.computeSVD``; each
+    component's largest-magnitude entry is made positive.
+
+    An iteration sends a vector of ``size`` numbers for each partition, so
+    there are no more partitions than cores."""
     from pyspark import StorageLevel
     from pyspark.mllib.linalg.distributed import RowMatrix
     spark = tfidf.sparkSession
-    rows = _vector_frame(tfidf, size, doc).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _vector_frame(tfidf, size, doc).coalesce(max(1, spark.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         svd = RowMatrix(rows).computeSVD(k, computeU=False)
         V = svd.V.toArray()
@@ -225,15 +265,47 @@ def lsa_transform(tfidf: DataFrame, model: LsaModel, doc: str = "ticket_id",
                   docs: DataFrame | None = None, out: str = "embedding") -> DataFrame:
     """Project documents on the basis: sum of weight x component row per
     document (one aggregate with k sums; input is already partitioned by
-    document).  With ``docs`` given, documents without terms get zeros."""
+    document).  One row per document is projected where it is.  With ``docs``
+    given, documents without terms get zeros."""
     k = model.components.shape[1]
+    if "weights" in tfidf.columns:
+        emb = _project(tfidf, model, doc, out)
+        return emb if docs is None else _with_zeros(emb, docs, doc, k, out)
     j = tfidf.join(F.broadcast(model.basis), "term_idx")          # size x k doubles
     sums = [F.sum(F.col("weight") * F.col("comp")[i]).alias(f"e{i}") for i in range(k)]
     emb = j.groupBy(doc).agg(*sums).select(doc, F.array(*[F.col(f"e{i}") for i in range(k)]).alias(out))
-    if docs is not None:
-        zeros = F.array(*[F.lit(0.0) for _ in range(k)])
-        emb = docs.select(doc).join(emb, doc, "left").withColumn(out, F.coalesce(F.col(out), zeros))
-    return emb
+    return emb if docs is None else _with_zeros(emb, docs, doc, k, out)
+
+
+def _with_zeros(emb: DataFrame, docs: DataFrame, doc: str, k: int, out: str) -> DataFrame:
+    zeros = F.array(*[F.lit(0.0) for _ in range(k)])
+    return docs.select(doc).join(emb, doc, "left").withColumn(out, F.coalesce(F.col(out), zeros))
+
+
+def project_weights(lists: pa.Array, basis: np.ndarray) -> pa.Array:
+    """Embedding of every list of (term_idx, weight) pairs, ``EMBED_ROWS`` lists
+    at a time."""
+    k, pairs = basis.shape[1], lists.flatten()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    term, weight = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    out = np.zeros((len(lists), k))
+    full = np.flatnonzero(ends > begins)
+    for at in range(0, len(full), EMBED_ROWS):
+        part = full[at:at + EMBED_ROWS]
+        lo, hi = begins[part[0]], ends[part[-1]]
+        out[part] = np.add.reduceat(weight[lo:hi, None] * basis[term[lo:hi]], begins[part] - lo)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * k, pa.int32()), pa.array(out.ravel()))
+
+
+def _project(rows: DataFrame, model: LsaModel, doc: str, out: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.components))    # size x k doubles
+
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        return project_weights(lists, shared.value)
+
+    return rows.select(doc, embed("weights").alias(out))
 
 
 def explained_variance(tfidf: DataFrame, emb: DataFrame, n_docs: int, k: int, out: str = "embedding") -> DataFrame:

@@ -591,7 +591,8 @@ def _lsa(spark, sf, k=32):
     tables they refer to are written to the checkpoint folder)."""
     key = (*_inputs(spark, sf), k)
     if key not in _LSA:
-        s, model, weights = _tfidf_model(spark, sf)
+        s = split_table(spark, sf, ["ticket_id", "text", "split"])
+        model, weights = TX.fit_transform_rows(s, F.col("split") == "train")
         train_w = weights.join(s.filter(F.col("split") == "train").select("ticket_id"), "ticket_id", "left_semi")
         _LSA[key] = (s, model, weights, train_w, TX.fit_lsa(train_w, model.size, k))
     return _LSA[key]
@@ -630,6 +631,7 @@ def q_explained_variance(spark, sf):
     train = s.filter(F.col("split") == "train")
     k = lsa.components.shape[1]
     emb = lsa.transform(train_w, docs=train)
+    train_w = TX.long_weights(train_w)
     got = TX.explained_variance(train_w, emb, model.n_docs, k).first()[0]
     n = float(model.n_docs)
     top = emb.agg(sum(F.var_pop(F.col("embedding")[i]) for i in range(k))).first()[0]

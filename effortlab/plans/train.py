@@ -36,7 +36,7 @@ def fit_text(splits: DataFrame, k: int = 32, doc: str = "ticket_id", min_df: int
     """TF-IDF fitted on the training rows (one tokenisation pass), then LSA
     fitted on their weights."""
     train = splits.filter(F.col("split") == "train")
-    tfidf, weights = TX.fit_transform_tfidf(train, F.lit(True), doc, text, min_df, max_features)
+    tfidf, weights = TX.fit_transform_rows(train, F.lit(True), doc, text, min_df, max_features)
     return tfidf, TX.fit_lsa(weights, tfidf.size, k, doc)
 
 

@@ -53,3 +53,26 @@ def test_lsa_matches_dense_svd(spark):
     ratio = TX.explained_variance(w, lsa.transform(w, "doc_id", docs=d), len(ids), 8).first()[0]
     X = A @ V
     assert math.isclose(ratio, X.var(axis=0).sum() / A.var(axis=0).sum(), rel_tol=1e-6)
+
+
+def test_document_rows_hold_the_long_weights(spark):
+    """One row per document, repeated and null ids included, written once: the same
+    weights, and the same embedding with nothing shuffled."""
+    docs = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "beta gamma"), (2, "alpha delta"), (3, ""), (4, None),
+                                  (None, "gamma alpha"), (5, "delta unknown alpha beta")], "ticket_id int, text string")
+    model, long = TX.fit_transform_tfidf(docs, F.lit(True))
+    again, rows = TX.fit_transform_rows(docs, F.lit(True))
+    assert again.size == model.size
+    key = lambda r: (r.ticket_id or 0, r.term_idx)
+    a, b = sorted(long.collect(), key=key), sorted(TX.long_weights(rows).collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b] and len(a) > 8
+    assert max(abs(x.weight - y.weight) for x, y in zip(a, b)) < 1e-12
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+    basis = np.arange(model.size * 2, dtype=float).reshape(-1, 2) - 3
+    lsa = TX.LsaModel(basis, np.ones(2), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(basis)], "term_idx int, comp array<double>"))
+    whole = {r.ticket_id: r.embedding for r in lsa.transform(long, docs=docs).collect()}
+    quick = lsa.transform(rows, docs=docs)
+    assert "Exchange" not in lsa.transform(rows)._jdf.queryExecution().executedPlan().toString()
+    got = {r.ticket_id: r.embedding for r in quick.collect()}
+    assert set(got) == set(whole) and all(np.allclose(got[i], whole[i]) for i in got)
