@@ -357,3 +357,15 @@ def test_retrain_threshold_skip_and_dry_run(spark, tmp_dir):
     assert (res.status, res.unused) == ("skipped", 12)
     res = JB.retrain_job(spark, None, None, fb, marks, runs, threshold=10, dry_run=True)
     assert res.status == "would_retrain"
+
+
+def test_learners_read_rows_that_are_written_once(spark, monkeypatch):
+    plans, fit = [], MD.Pipeline.fit
+
+    def spy(self, rows, *args):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(MD.Pipeline, "fit", spy)
+    MD.train_risk_cv(planted_risk(spark, 200), 3, params=MD.RiskParams(max_iter=1, max_depth=1), parallelism=1)
+    assert len(plans) == 3 and not any(step in p for p in plans for step in ("Window", "Join", "Aggregate"))

@@ -50,3 +50,11 @@ def test_struct_variants(spark):
     rows = df.select(P.region_from_struct("r").alias("r"), P.subsystem_from_struct("s").alias("s"),
                      P.commitments_from_struct("c").alias("c")).collect()
     assert [tuple(r) for r in rows] == [("a, b", "X/Y", "SLA"), ("БАЗОВЫЙ", "", "")]
+
+
+def test_plain_spelling_takes_no_token_by_token_step(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    plain = ["[{'value': 'b'}, {'value': 'a'}]", "{'value': 'X', 'child': {'value': 'Y'}}", "[1]", "[]", "{'all': [" + "[], " * 1500 + "], 'value': 'q'}"]
+    monkeypatch.setattr(P, "_json", lambda text: F.lit(None).cast("string"))
+    rows = spark.createDataFrame([(t,) for t in plain], "raw string").select(P._root("raw").alias("v")).collect()
+    assert all(r.v for r in rows)
