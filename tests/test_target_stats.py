@@ -72,3 +72,31 @@ def test_folds_learn_nothing_from_their_own_categories(spark):
     fitted = ens.ensemble(cv).agg(F.stddev_pop("pred_log")).first()[0]
     spread = df.agg(F.stddev_pop(F.log1p("logged_days"))).first()[0]
     assert fitted < 0.2 * spread
+
+
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_overlapping_sets_in_one_pass(spark, ranges):
+    """Every set's statistic is that of its rows alone, for its own rows."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "u", None]), rng.choice([1, 2, None]), None if rng.random() < 0.1 else rng.uniform(-5, 5), i % 3)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, a string, b int, y double, fold int")
+    names, sets = {"a": "a_enc", "b": "b_enc"}, {f"_{j}": F.col("fold") != j for j in range(3)}
+    whole = ordered_target_stats(df, names, "y", "k", ranges=ranges, sets=sets)
+    assert whole.count() == 300 and whole.filter("a_enc_0 is null or b_enc_2 is null").count() == 0
+    for j in range(3):
+        part = {r.k: r for r in ordered_target_stats(df.filter(F.col("fold") != j), names, "y", "k", ranges=ranges).collect()}
+        got = whole.filter(F.col("fold") != j).collect()
+        assert len(got) == len(part) == 200
+        for r in got:
+            assert (r[f"a_enc_{j}"], r[f"b_enc_{j}"]) == pytest.approx((part[r.k].a_enc, part[r.k].b_enc), abs=1e-9)
+
+
+def test_all_folds_are_encoded_in_one_pass(spark, monkeypatch):
+    calls, encode = [], MD.ordered_target_stats
+    monkeypatch.setattr(MD, "ordered_target_stats", lambda *a, **k: calls.append(1) or encode(*a, **k))
+    df = spark.range(90).selectExpr("id as ticket_id", "1.0 + id % 7 as logged_days", "concat('s', id % 3) as subsystem", "int(id % 3) as fold",
+                                    "'r' as region", "'c' as commitments", *[f"0 as {c}" for c in MD.NUMS], "array(0.0, 0.0) as embedding")
+    cv = MD.model_input(MD.category_indexer(df).transform(MD.with_default_categories(df)))
+    MD.train_effort_cv(cv.withColumn("logged_days", F.col("logged_days").cast("double")), 3, params=MD.EffortParams(max_iter=1, max_depth=1))
+    assert len(calls) == 1
