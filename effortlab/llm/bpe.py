@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -31,12 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value, trim, with_fields
+from .common import by_value, tidy, trim, with_fields
 
 by_value(__name__)
 
-#: Words and pieces in each half of a task's memory (about 150 MB a half).
-CACHE_ENTRIES = 600_000
+#: Words and pieces in each half of a task's memory (about 60 MB a half).
+CACHE_ENTRIES = 250_000
+#: Characters of the texts that are taken apart together (about 25 bytes of memory each).
+SLICE_CHARS = 1_000_000
 NEVER = 1 << 60
 
 # Ranges of letters (first row) and numbers (second row) of the
@@ -127,30 +130,34 @@ class Encoder:
         self.known: dict[str, bytes] = {}            # words and pieces met of late ...
         self.before: dict[str, bytes] = {}           # ... and those before them
 
-    def _edges(self, made: dict, side: int) -> dict[int, list[tuple[int, int]]]:
+    def _edges(self, made: dict, side: int) -> tuple[array, array, array]:
         """For each token, the tokens that stand at its right (1) or left (0)
         edge while it is being built, from a byte up, each with the rank of
-        the merge that ends it."""
-        out = {}
-        for t in self.vocab.values():
-            chain, end = [], NEVER
+        the merge that ends it: where a token's begin, the tokens, the ranks (packed,
+        for there are some hundred thousand)."""
+        begin, tokens, ends = array("l", bytes(8 * (max(self.vocab.values(), default=-1) + 1))), array("l"), array("q")
+        for whole in self.vocab.values():
+            chain, t, end = [], whole, NEVER
             while True:
                 chain.append((t, end))
                 if t not in made:
                     break
                 end, t = made[t][2], made[t][side]
-            out[chain[0][0]] = chain[::-1]
-        return out
+            begin[whole] = len(tokens)
+            tokens.extend([x for x, _ in reversed(chain)])
+            ends.extend([x for _, x in reversed(chain)])
+        return begin, tokens, ends
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` together gives exactly
         these two tokens: no merge across the border has an earlier turn than
         the merges that build up either side (at the same rank the left one
         goes first)."""
-        us, vs, i, j = self.right[a], self.left[b], 0, 0
+        (begin, us, us_end), (begin_v, vs, vs_end) = self.right, self.left
+        i, j = begin[a], begin_v[b]
         while True:
-            (u, u_end), (v, v_end) = us[i], vs[j]
-            r = self.rank.get((u, v), NEVER)
+            u_end, v_end = us_end[i], vs_end[j]
+            r = self.rank.get((us[i], vs[j]), NEVER)
             if r < u_end and r <= v_end and r < NEVER:
                 return False
             if u_end == NEVER and v_end == NEVER:
@@ -303,7 +310,7 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def _slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _slices(batch: pa.RecordBatch, column: str, max_chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch whose texts hold about ``max_chars`` together, so a
     task's memory does not grow with the batch."""
     texts = [t or "" for t in batch.column(column).to_pylist()]
@@ -325,6 +332,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", decode:
     schema = with_fields(docs.schema, fields)
     kept = [f.name for f in schema.fields[:-len(fields)]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         trim()

@@ -41,7 +41,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, trim, with_fields
+from .common import Scratch, by_value, tidy, trim, with_fields
 
 by_value(__name__)
 
@@ -69,6 +69,7 @@ def describe(docs: DataFrame, *, text: str = "text", topics: int = 8) -> DataFra
         most = max(count.values())
         return f"t{zlib.crc32(min(w for w, n in count.items() if n == most).encode()) % topics}"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, by_value, labels_of, with_fields
+from .common import Scratch, bounded_sample, by_value, labels_of, tidy, with_fields
 
 by_value(__name__)
 
@@ -76,6 +76,7 @@ def measure(docs: DataFrame, *, text: str = "text", out: str = "statistics") ->
     schema = with_fields(docs.schema, [(out, "array<double>")])
     kept = [f.name for f in schema.fields[:-1]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [statistics(t or "") for t in batch.column(text).to_pylist()]
@@ -223,6 +224,7 @@ def score(docs: DataFrame, model: Gam, *, text: str = "text", out: str = "score"
     schema = with_fields(docs.schema, [(out, "double")])
     kept = [f.name for f in schema.fields[:-1]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t or "") for t in batch.column(text).to_pylist()], float)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, by_value, labels_of, with_fields
+from .common import Scratch, bounded_sample, by_value, labels_of, tidy, with_fields
 
 by_value(__name__)
 
@@ -177,6 +177,7 @@ def _count(sample: DataFrame, text: str) -> DataFrame:
     """Documents of either class that hold each n-gram: code, pos, neg.  A text
     of one stride is one set; the sets of a longer one meet in Spark, under the text's number."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(codes: np.ndarray, pos: np.ndarray, neg: np.ndarray, row: int | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(pos), pa.array(neg),
@@ -255,6 +256,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
     schema = with_fields(docs.schema, [(out, "double")])
     kept = [f.name for f in schema.fields[:-1]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         look = Lookup(m.codes)

@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from effortlab.llm import bpe, queries
+from effortlab.llm import bpe, common, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -85,3 +86,18 @@ def test_query_equals_the_library(spark, library):
         ids = np.array(library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, "<u4")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_a_task_takes_a_batch_apart_in_small_parts():
+    """Pieces of a text take many times its memory: no part of a batch is larger than a megabyte and a text."""
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 50_000] * 12})
+    parts = list(bpe._slices(batch, "text"))
+    assert sum(len(texts) for _, texts in parts) == sum(b.num_rows for b, _ in parts) == 12
+    assert max(sum(map(len, texts)) for _, texts in parts) <= 1_250_000
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    run = common.tidy(lambda batches: (x + 1 for x in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and calls == [1]
