@@ -38,9 +38,11 @@ by_value(__name__)
 
 #: Words and pieces in each half of a task's memory (about 60 MB a half).
 CACHE_ENTRIES = 250_000
+#: Steps of the automaton in a task's memory (about 7 MB).
+STEP_ENTRIES = 65_536
 #: Characters of the texts that are taken apart together (about 25 bytes of memory each).
 SLICE_CHARS = 1_000_000
-NEVER = 1 << 60
+NEVER = (1 << 31) - 1
 
 # Ranges of letters (first row) and numbers (second row) of the
 # tokenizer's Unicode version (16) that this Python's tables (15.1) lack.
@@ -83,6 +85,62 @@ def load_rules(path: str) -> dict:
     return {"vocab": vocab, "merges": merges, "special": special}
 
 
+def endings(vocab: dict[bytes, int]) -> dict[str, array]:
+    """Automaton of the tokens that end at a place, as packed arrays that can be
+    broadcast.  A state is the longest beginning of a token that what was read
+    ends with (0: none), numbered by length; ``edge`` holds how each is reached,
+    from its beginning by a byte, and ``fail`` the next shorter one.  ``token`` is the
+    state that is the longest token a state ends with (0: none), ``shorter``
+    the longest one below that; ``id`` is a state's own token."""
+    edge, fail, token, shorter, length, ids = array("q"), *(array("i", [0]) for _ in range(4)), array("i", [-1])
+    number, goes = {b"": 0}, {}
+    for p in sorted({t[:i] for t in vocab for i in range(1, len(t) + 1)}, key=len):
+        state, before, b = len(length), number[p[:-1]], p[-1]
+        number[p] = goes[before << 8 | b] = state
+        edge.append(before << 8 | b)
+        f = before
+        while f:
+            f = fail[f]
+            if f << 8 | b in goes:
+                f = goes[f << 8 | b]
+                break
+        fail.append(f)
+        length.append(len(p))
+        token.append(state if p in vocab else token[f])
+        shorter.append(token[f] if p in vocab else shorter[f])
+        ids.append(vocab.get(p, -1))
+    return {"edge": edge, "fail": fail, "token": token, "shorter": shorter, "length": length, "id": ids}
+
+
+def edges(rules: dict, side: int) -> tuple[array, array, array]:
+    """For each token, the tokens that stand at its right (1) or left (0)
+    edge while it is being built, from a byte up, each with the rank of
+    the merge that ends it: where a token's begin, the tokens, the ranks (packed,
+    for there are some hundred thousand)."""
+    vocab = rules["vocab"]
+    made = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in enumerate(rules["merges"])}
+    begin, tokens, ends = array("i", bytes(4 * (max(vocab.values(), default=-1) + 1))), array("i"), array("i")
+    for whole in vocab.values():
+        chain, t, end = [], whole, NEVER
+        while True:
+            chain.append((t, end))
+            if t not in made:
+                break
+            end, t = made[t][2], made[t][side]
+        begin[whole] = len(tokens)
+        tokens.extend([x for x, _ in reversed(chain)])
+        ends.extend([x for _, x in reversed(chain)])
+    return begin, tokens, ends
+
+
+def with_tables(rules: dict) -> dict:
+    """The rules with what every encoder derives from them, made once and broadcast;
+    the merges as two rows of tokens."""
+    vocab = rules["vocab"]
+    return {"vocab": vocab, "special": rules["special"], "endings": endings(vocab), "right": edges(rules, 1), "left": edges(rules, 0),
+            "pairs": tuple(array("i", [vocab[m[side]] for m in rules["merges"]]) for side in (0, 1))}
+
+
 def _class(wanted: str, added: tuple[tuple[int, int], ...]) -> str:
     """Ranges, as the inside of a pattern's brackets, of the characters whose
     category starts with ``wanted``."""
@@ -112,6 +170,7 @@ class Encoder:
     """Encodes words with a memory of what it has met; one per task."""
 
     def __init__(self, rules: dict, pattern: str):
+        rules = rules if "endings" in rules else with_tables(rules)
         self.vocab, self.special = rules["vocab"], rules["special"]
         self.pattern = re.compile(pattern)
         self.gap = re.compile(r"(?<=\S) (?=\S)")
@@ -119,35 +178,18 @@ class Encoder:
         self.uneven = {k: ["  "] + [x for c in others if k or c.isascii() for x in (" " + c, c + " ")] for k in (0, 1)}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(rules["merges"])}
-        made = {self.vocab[a + b]: (self.vocab[a], self.vocab[b], r) for r, (a, b) in enumerate(rules["merges"])}
-        self.right, self.left = self._edges(made, 1), self._edges(made, 0)
-        #: every suffix of a token -> its own id, or -1 if it is no token
-        self.ending = {t[i:]: -1 for t in self.vocab for i in range(len(t))} | self.vocab
+        self.rank = {pair: r for r, pair in enumerate(zip(*rules["pairs"], strict=True))}
+        self.right, self.left = rules["right"], rules["left"]
+        found = rules["endings"]
+        self.fail, self.token, self.shorter, self.length, self.id_of = (found[k] for k in ("fail", "token", "shorter", "length", "id"))
+        self.goes = dict(zip(found["edge"], range(1, len(self.length))))
+        self.steps: dict[int, int] = {}              # steps met that leave the beginning of a token
         self.bytes_of = {i: t for t, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}            # words and pieces met of late ...
         self.before: dict[str, bytes] = {}           # ... and those before them
 
-    def _edges(self, made: dict, side: int) -> tuple[array, array, array]:
-        """For each token, the tokens that stand at its right (1) or left (0)
-        edge while it is being built, from a byte up, each with the rank of
-        the merge that ends it: where a token's begin, the tokens, the ranks (packed,
-        for there are some hundred thousand)."""
-        begin, tokens, ends = array("l", bytes(8 * (max(self.vocab.values(), default=-1) + 1))), array("l"), array("q")
-        for whole in self.vocab.values():
-            chain, t, end = [], whole, NEVER
-            while True:
-                chain.append((t, end))
-                if t not in made:
-                    break
-                end, t = made[t][2], made[t][side]
-            begin[whole] = len(tokens)
-            tokens.extend([x for x, _ in reversed(chain)])
-            ends.extend([x for _, x in reversed(chain)])
-        return begin, tokens, ends
-
     def stays_apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` together gives exactly
         these two tokens: no merge across the border has an earlier turn than
@@ -167,36 +209,52 @@ class Encoder:
             else:
                 j += 1
 
+    def _step(self, edge: int) -> int:
+        """The state after a state and a byte that no token goes on with."""
+        state, b, goes = edge >> 8, edge & 255, self.goes
+        while state:
+            state = self.fail[state]
+            if state << 8 | b in goes:
+                state = goes[state << 8 | b]
+                break
+        self.steps[edge] = state
+        return state
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Token ids (packed) of distinct words, by depth-first traversal of
-        their trie.  A node is a range of the sorted words; ``last`` and
-        ``at`` hold, for each prefix on the path from the root, its last token
-        and where that token starts."""
+        their trie.  A node is a range of the sorted words; ``last``, ``at`` and
+        ``states`` hold, for each prefix on the path from the root, its last token,
+        where that token starts and the state of the automaton (see :func:`endings`)."""
         words = sorted(set(words))
-        ending, apart, packed, out = self.ending, self.apart, self.packed, {}
+        apart, packed, out = self.apart, self.packed, {}
+        goes, steps, token, shorter, length, id_of = self.goes, self.steps, self.token, self.shorter, self.length, self.id_of
         if len(apart) > CACHE_ENTRIES:
             apart.clear()
-        last, at = [-1], [0]
+        if len(steps) > STEP_ENTRIES:
+            steps.clear()
+        last, at, states = [-1], [0], [0]
         stack = [(0, len(words), 0)] if words else []
         while stack:
             lo, hi, end = stack.pop()                # words[lo:hi] share their first `end` bytes
-            del last[end + 1:], at[end + 1:]
+            del last[end + 1:], at[end + 1:], states[end + 1:]
+            state = states[end]
             first, final = words[lo], words[hi - 1]
             shared = len(first)
             if hi - lo > 1:
                 shared = end
                 while shared < len(first) and first[shared] == final[shared]:
                     shared += 1
-            while end < shared:                      # the states along the node's edge
+            for b in first[end:shared]:              # the states along the node's edge
                 end += 1
-                fitting = []
-                for start in range(end - 1, -1, -1):
-                    t = ending.get(first[start:end])
-                    if t is None:
-                        break
-                    if t >= 0:
-                        fitting.append((start, t))
-                for start, t in reversed(fitting):
+                edge = state << 8 | b
+                state = goes.get(edge)
+                if state is None:
+                    state = steps.get(edge)
+                    if state is None:
+                        state = self._step(edge)
+                ends = token[state]
+                while ends:                          # tokens that end here, the longest first
+                    start, t = end - length[ends], id_of[ends]
                     if not start:
                         break
                     key = last[start] << 32 | t
@@ -205,10 +263,12 @@ class Encoder:
                         fits = apart[key] = self.stays_apart(last[start], t)
                     if fits:
                         break
+                    ends = shorter[ends]
                 else:
                     raise ValueError(f"no token ends at byte {end} of {first[:60]!r}")
                 last.append(t)
                 at.append(start)
+                states.append(state)
             if len(first) == end:
                 ids, i = [], end
                 while i:
@@ -253,20 +313,21 @@ class Encoder:
         """Bring pieces into ``known``; only what neither memory holds is
         encoded.  The older half of the memory goes when the newer is full."""
         known, before = self.known, self.before
-        cut, new = {}, set()
+        cut, raw = {}, {}
         for p in pieces:
             if p in before:
                 known[p] = before[p]
+            elif p.isalpha():                        # a word as it is
+                raw[p] = b" " + p.encode()
             else:
                 cut[p] = ws = self._words(p)
-                new.update(ws)
-        raw = {}
-        for w in new:
-            if w not in known:
-                if w in before:
-                    known[w] = before[w]
-                else:
-                    raw[w] = (w[1:] if w[0] == " " else " " + w).encode()
+                for w in ws:
+                    if w in raw or w in known:
+                        continue
+                    if w in before:
+                        known[w] = before[w]
+                    else:
+                        raw[w] = (w[1:] if w[0] == " " else " " + w).encode()
         ids = self.encode_words(raw.values())
         for w, b in raw.items():
             known[w] = ids[b]
@@ -327,7 +388,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", decode:
     unsigned 32-bit token ids); with ``decode`` also ``decoded``, the text
     that the ids stand for."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((load_rules(tokenizer_path), split_pattern()))   # fixed size
+    shared = spark.sparkContext.broadcast((with_tables(load_rules(tokenizer_path)), split_pattern()))   # fixed size
     fields = [("n_tokens", "bigint"), ("ids", "binary")] + [("decoded", "string")] * decode
     schema = with_fields(docs.schema, fields)
     kept = [f.name for f in schema.fields[:-len(fields)]]

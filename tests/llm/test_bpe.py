@@ -101,3 +101,29 @@ def test_memory_goes_back_when_a_task_ends(monkeypatch):
     monkeypatch.setattr(common, "trim", lambda: calls.append(1))
     run = common.tidy(lambda batches: (x + 1 for x in batches))
     assert list(run(iter([1, 2]))) == [2, 3] and calls == [1]
+
+
+def test_tokens_that_end_at_a_place_are_found_by_states(coder):
+    """A state of the automaton is the longest beginning of a token that the bytes read end with; the
+    tokens that end there come longest first, and tables that were made once and sent give the same encoder."""
+    vocab = {b"a": 0, b"b": 1, b"ab": 2, b"bab": 3, b"abab": 4, b"c": 5, b"abc": 6}
+    rules = {"vocab": vocab, "merges": [(b"a", b"b"), (b"b", b"ab"), (b"ab", b"ab"), (b"ab", b"c")], "special": {}}
+    small = bpe.Encoder(bpe.with_tables(rules), bpe.split_pattern())
+    rng = random.Random(6)
+    words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 12))) for _ in range(400)}
+    for w in words:
+        state = 0
+        for end, b in enumerate(w, 1):
+            state = small.goes[state << 8 | b] if state << 8 | b in small.goes else small._step(state << 8 | b)
+            found, ends = [], small.token[state]
+            while ends:
+                found.append(small.id_of[ends])
+                ends = small.shorter[ends]
+            assert found == [vocab[w[s:end]] for s in range(end) if w[s:end] in vocab]
+    for w, ids in small.encode_words(words).items():
+        assert np.frombuffer(ids, "<u4").tolist() == plain_merging(small, w), w
+    sent = bpe.Encoder(bpe.with_tables(bpe.load_rules(PATH)), bpe.split_pattern())
+    texts = ["The quick brown fox, it's 123 …", "supercalifragilistic  \n naïve 日本"]
+    assert sent.encode_batch(texts) == coder.encode_batch(texts)
+    with pytest.raises(ValueError, match="no token ends"):
+        small.encode_words([b"abx"])
