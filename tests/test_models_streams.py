@@ -4,6 +4,7 @@ streaming = batch."""
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +370,43 @@ def test_learners_read_rows_that_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(MD.Pipeline, "fit", spy)
     MD.train_risk_cv(planted_risk(spark, 200), 3, params=MD.RiskParams(max_iter=1, max_depth=1), parallelism=1)
     assert len(plans) == 3 and not any(step in p for p in plans for step in ("Window", "Join", "Aggregate"))
+
+
+def test_fold_models_are_saved_and_loaded_side_by_side(spark, tmp_path, monkeypatch):
+    """Models wait for each other, so one at a time would never end; they come back in order."""
+    import threading
+    meet = threading.Barrier(4, timeout=30)
+
+    class Model:
+        def __init__(self, name):
+            self.name = name
+
+        def write(self):
+            return self
+
+        def overwrite(self):
+            return self
+
+        def save(self, path):
+            meet.wait()
+            (tmp_path / path.rsplit("/", 1)[1]).write_text(self.name)
+
+    class Loader:
+        @staticmethod
+        def load(path):
+            meet.wait()
+            return (tmp_path / path.rsplit("/", 1)[1]).read_text()
+
+    class Indexer(Model):
+        def save(self, path):
+            pass
+
+    vocab = spark.createDataFrame([("a", 0, 1.0)], "term string, term_idx int, idf double")
+    basis = spark.createDataFrame([(0, [1.0])], "term_idx int, comp array<double>")
+    bundle = MD.Bundle(TX.TfidfModel(vocab, 1, 1), TX.LsaModel(np.ones((1, 1)), np.ones(1), basis), Indexer(""),
+                       MD.FoldEnsemble("effort", [Model("e0"), Model("e1")], [0.1, 0.2]), MD.FoldEnsemble("risk", [Model("r0"), Model("r1")], [0.3, 0.4]), "run")
+    MD.save_bundle(bundle, str(tmp_path / "b"))
+    monkeypatch.setattr(MD, "PipelineModel", Loader)
+    monkeypatch.setattr(MD.StringIndexerModel, "load", lambda path: None)
+    back = MD.load_bundle(spark, str(tmp_path / "b"))
+    assert (back.effort.models, back.risk.models, back.run_id) == (["e0", "e1"], ["r0", "r1"], "run")

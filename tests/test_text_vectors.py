@@ -76,3 +76,36 @@ def test_document_rows_hold_the_long_weights(spark):
     assert "Exchange" not in lsa.transform(rows)._jdf.queryExecution().executedPlan().toString()
     got = {r.ticket_id: r.embedding for r in quick.collect()}
     assert set(got) == set(whole) and all(np.allclose(got[i], whole[i]) for i in got)
+
+
+def test_lsa_finds_every_copy_of_a_singular_value(spark):
+    """Singular values that occur many times are found as often as they occur, in few jobs;
+    documents without a term count for nothing."""
+    pairs = [(2 * i, 0.6, 2 * i + 1, 0.8) for i in range(520) for _ in range(4 if i < 20 else 2 if i < 40 else 1)]
+    rows = [(n, [(a, x), (b, y)]) for n, (a, x, b, y) in enumerate(pairs)] + [(-1, []), (-2, None)]
+    w = spark.createDataFrame(rows, "ticket_id long, weights array<struct<term_idx int, weight double>>")
+    sc = spark.sparkContext
+    sc.setJobGroup("lsa", "lsa")
+    try:
+        lsa = TX.fit_lsa(w, 1040, 30)
+        assert len(sc.statusTracker().getJobIdsForGroup("lsa")) < 60
+    finally:
+        sc.setJobGroup("", "")
+    assert np.allclose(lsa.singular_values, [2.0] * 20 + [math.sqrt(2)] * 10, rtol=1e-9)
+    V = lsa.components
+    assert np.allclose(V.T @ V, np.eye(30), atol=1e-9)
+    got = np.array([r.embedding for r in lsa.transform(w).collect()])
+    assert np.allclose(got.T @ got, np.diag(lsa.singular_values ** 2), atol=1e-8)
+
+
+def test_block_decomposition_of_few_dimensions(spark):
+    """More components asked for than there are: only those there are, equal to a dense decomposition."""
+    rng = np.random.default_rng(3)
+    A = np.zeros((90, 1100))
+    A[:, :] = rng.standard_normal((90, 7)) @ rng.standard_normal((7, 1100))
+    w = spark.createDataFrame([(i, [(j, float(x)) for j, x in enumerate(r)]) for i, r in enumerate(A)],
+                              "ticket_id long, weights array<struct<term_idx int, weight double>>")
+    s, V = TX.block_svd(w, 1100, 20)
+    want = np.linalg.svd(A, compute_uv=False)[:7]
+    assert np.allclose(s[:7], want, rtol=1e-9) and (s[7:] < want[0] * 1e-6).all()
+    assert np.allclose(np.linalg.norm(A @ V[:, :7], axis=0), want, rtol=1e-9)
