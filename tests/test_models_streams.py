@@ -410,3 +410,22 @@ def test_fold_models_are_saved_and_loaded_side_by_side(spark, tmp_path, monkeypa
     monkeypatch.setattr(MD.StringIndexerModel, "load", lambda path: None)
     back = MD.load_bundle(spark, str(tmp_path / "b"))
     assert (back.effort.models, back.risk.models, back.run_id) == (["e0", "e1"], ["r0", "r1"], "run")
+
+
+def test_effort_and_risk_are_trained_side_by_side(spark, monkeypatch):
+    """Either waits for the other to begin, so one after the other would never end; each gets its own result."""
+    import threading
+    from effortlab.plans import train as TR
+    meet = threading.Barrier(2, timeout=60)
+
+    def trainer(kind):
+        def run(cv, folds, params=None):
+            assert {"fold", "emb_vec"} <= set(cv.columns)
+            meet.wait()
+            return MD.FoldEnsemble(kind, [])
+        return run
+
+    for kind in ("effort", "risk"):
+        monkeypatch.setattr(MD, f"train_{kind}_cv", trainer(kind))
+    bundle = TR.train_all(prepare_dataset(S.tickets(spark, SF01)), k=4).bundle
+    assert (bundle.effort.kind, bundle.risk.kind) == ("effort", "risk")
