@@ -99,3 +99,16 @@ def test_trees_of_uneven_depth_and_other_splits():
     assert SC.margins(trees, x).tolist() == [1.501, -2.5, 9.5, 9.5]
     assert SC.read_trees(text.replace("<= -2.0", "in {1.0}"), [1.0, 0.5]) is None
     assert SC.read_trees(text, [1.0]) is None
+
+
+def test_learners_at_a_time_fit_in_memory(spark, cv, monkeypatch):
+    """Folds run side by side only as far as the executors can keep their rows; the models are the same."""
+    held = MD.fits_at_once(spark, 1)
+    assert MD.fits_at_once(spark, 1000) == held // 1000 > 1 and MD.fits_at_once(spark, 1 << 50) == 1 and MD.fits_at_once(spark, 0) >= held
+    used, inner = [], MD._run_folds
+    monkeypatch.setattr(MD, "_run_folds", lambda fit, folds, parallelism: (used.append(parallelism), inner(fit, folds, parallelism))[1])
+    params = MD.EffortParams(max_iter=1, max_depth=2)
+    many = MD.train_effort_cv(cv, 3, params=params)
+    monkeypatch.setattr(MD, "ROW_BYTES", 1 << 50)
+    one = MD.train_effort_cv(cv, 3, params=params)
+    assert used == [5, 1] and many.scores == one.scores

@@ -109,3 +109,17 @@ def test_block_decomposition_of_few_dimensions(spark):
     want = np.linalg.svd(A, compute_uv=False)[:7]
     assert np.allclose(s[:7], want, rtol=1e-9) and (s[7:] < want[0] * 1e-6).all()
     assert np.allclose(np.linalg.norm(A @ V[:, :7], axis=0), want, rtol=1e-9)
+
+
+def test_long_batches_are_embedded_some_tokens_at_a_time(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    terms, idf, basis = pa.array([f"t{i}" for i in range(50)]), rng.random(50) + 1, rng.random((50, 3))
+    lists = pa.array([None if i % 7 == 3 else [f"t{j}" for j in rng.integers(0, 60, rng.integers(0, 40))] for i in range(90)], pa.list_(pa.string()))
+    whole = TX.embed_token_lists(lists, terms, idf, basis).to_pylist()
+    seen, inner = [], TX._embed_into
+    monkeypatch.setattr(TX, "EMBED_TOKENS", 64)
+    monkeypatch.setattr(TX, "_embed_into", lambda out, some, *rest: (seen.append((len(some), len(some.flatten()))), inner(out, some, *rest)))
+    assert TX.embed_token_lists(lists, terms, idf, basis).to_pylist() == whole
+    assert TX.embed_token_lists(lists.slice(10, 30), terms, idf, basis).to_pylist() == whole[10:40]
+    assert len(seen) > 20 and all(tokens <= 64 or rows == 1 for rows, tokens in seen)
