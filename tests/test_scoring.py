@@ -1,6 +1,7 @@
 """Boosted fold models scored as arrays, against their stages."""
 
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,14 +102,37 @@ def test_trees_of_uneven_depth_and_other_splits():
     assert SC.read_trees(text, [1.0]) is None
 
 
-def test_learners_at_a_time_fit_in_memory(spark, cv, monkeypatch):
+def test_learners_at_a_time_fit_in_memory(cv, monkeypatch):
     """Folds run side by side only as far as the executors can keep their rows; the models are the same."""
-    held = MD.fits_at_once(spark, 1)
-    assert MD.fits_at_once(spark, 1000) == held // 1000 > 1 and MD.fits_at_once(spark, 1 << 50) == 1 and MD.fits_at_once(spark, 0) >= held
-    used, inner = [], MD._run_folds
-    monkeypatch.setattr(MD, "_run_folds", lambda fit, folds, parallelism: (used.append(parallelism), inner(fit, folds, parallelism))[1])
+    import threading
+    seen, taken, lock = [], [], threading.Lock()
+    inner = MD.Room.take
+
+    @contextmanager
+    def take(self, size, most):
+        with inner(self, size, most):
+            with lock:
+                seen.append(len(taken) + 1)
+                taken.append(size)
+            try:
+                yield
+            finally:
+                with lock:
+                    taken.pop()
+
+    monkeypatch.setattr(MD.Room, "take", take)
     params = MD.EffortParams(max_iter=1, max_depth=2)
     many = MD.train_effort_cv(cv, 3, params=params)
+    assert len(seen) == 3 and max(seen) > 1 and MD.ROOM.held == 0
+    seen.clear()
     monkeypatch.setattr(MD, "ROW_BYTES", 1 << 50)
     one = MD.train_effort_cv(cv, 3, params=params)
-    assert used == [5, 1] and many.scores == one.scores
+    assert seen == [1, 1, 1] and MD.ROOM.held == 0 and many.scores == one.scores
+
+
+def test_room_is_given_back_when_a_learner_fails(spark):
+    room = MD.Room()
+    with pytest.raises(ValueError):
+        with room.take(5, 3):
+            raise ValueError
+    assert room.held == 0 and MD.storage_bytes(spark) > 1 << 20

@@ -123,3 +123,17 @@ def test_long_batches_are_embedded_some_tokens_at_a_time(monkeypatch):
     assert TX.embed_token_lists(lists, terms, idf, basis).to_pylist() == whole
     assert TX.embed_token_lists(lists.slice(10, 30), terms, idf, basis).to_pylist() == whole[10:40]
     assert len(seen) > 20 and all(tokens <= 64 or rows == 1 for rows, tokens in seen)
+
+
+def test_products_some_vectors_at_a_time_are_the_same_to_the_last_bit(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 30, 200)
+    begins, terms, weights = np.cumsum(sizes) - sizes, rng.integers(0, 90, sizes.sum()).astype(np.int32), rng.random(sizes.sum())
+    x = rng.random((90, 12))
+    monkeypatch.setattr(TX, "GRAM_WEIGHTS", 100)
+    few = TX.gram_product(begins, terms, weights, x)
+    monkeypatch.setattr(TX, "GRAM_VECTORS", 12)
+    assert (few == TX.gram_product(begins, terms, weights, x)).all()
+    dense = np.zeros((200, 90))
+    np.add.at(dense, (np.repeat(np.arange(200), sizes), terms), weights)
+    assert np.allclose(few, dense.T @ (dense @ x))
